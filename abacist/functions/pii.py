@@ -26,6 +26,7 @@ GATE_PATTERNS = (
 # Unicode classes and word boundaries, and "." stopping only at "\n", as the patterns assume.
 UNICODE = "(?Ud)"
 UNICODE_IGNORE_CASE = "(?iuUd)"
+NEVER = "(?!)"
 
 
 def detected(text: Column) -> Column:
@@ -41,8 +42,10 @@ def redacted(text: Column) -> Column:
     """
     out = F.coalesce(text, F.lit(""))
     for kind, pattern in PATTERNS.items():
-        found = text.rlike(UNICODE_IGNORE_CASE + pattern)
-        out = F.when(found, F.regexp_replace(out, UNICODE_IGNORE_CASE + pattern, f"[REDACTED_{kind.upper()}]")).otherwise(out)
+        whole = UNICODE_IGNORE_CASE + pattern
+        # "out" is named once per step: naming it in both branches of a condition would double the tree each time.
+        active = F.when(text.rlike(whole), F.lit(whole)).otherwise(F.lit(NEVER))
+        out = F.regexp_replace(out, active, F.lit(f"[REDACTED_{kind.upper()}]"))
     return out
 
 

@@ -40,7 +40,7 @@ def _feedback_ingest(spark, d):
         F.when(F.col("type") == "flag_bad_response", F.col("text")).alias("flagged_content"),
         F.lit(None).cast("timestamp").alias("created_at"))
     return op.ingest(submissions).select(
-        "id", "user_id", "feedback_type", "consent_given", "user_correction", "flagged_content", "pii_sanitized",
+        "id", "user_id", "feedback_type", "consent_given", "user_correction", "pii_sanitized",
         _joined("pii_types").alias("pii_types"), "metadata_json", "reject_reason")
 
 
@@ -119,16 +119,24 @@ def _sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _sql_detect(text: str) -> str:
-    flags = ", ".join(f"CASE WHEN regexp_matches({text}, {_sql_text(p)}, 'i') THEN '{k}' END" for k, p in pii.PATTERNS.items())
-    return f"concat_ws(',', {flags})"
+# The same patterns for an engine whose \\b, \\w and \\s know ASCII only: the neighbours of a match are spelt out.
+_W, _S = r"[\pL\pN_]", r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+_FROM, _TO = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
+_SPELT = {
+    "email": rf"(?:{_FROM}[A-Za-z0-9_][A-Za-z0-9._%+-]*|{_W}[.%+-][A-Za-z0-9._%+-]*)@[A-Za-z0-9.-]+"
+             rf"\.(?:[A-Za-z|]+[A-Za-z]{_TO}|[A-Za-z|]+\|{_W})",
+    "phone": rf"{_FROM}\d{{3}}[-.]?\d{{3}}[-.]?\d{{4}}{_TO}",
+    "ssn": rf"{_FROM}\d{{3}}-\d{{2}}-\d{{4}}{_TO}",
+    "credit_card": rf"{_FROM}\d{{4}}(?:-|{_S})?\d{{4}}(?:-|{_S})?\d{{4}}(?:-|{_S})?\d{{4}}{_TO}",
+    "ip_address": rf"{_FROM}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{_TO}",
+    "address": rf"{_FROM}\d+{_S}+(?:(?:[A-Za-z0-9,.-]|{_S})*[A-Za-z0-9]{_TO}|(?:[A-Za-z0-9,.-]|{_S})*(?:[,.-]|{_S}){_W})",
+    "name": rf"{_FROM}[A-Za-z]{{2,}}{_S}+[A-Za-z]{{2,}}{_TO}",
+}
 
 
-def _sql_redact(text: str) -> str:
-    out = text
-    for kind, pattern in pii.PATTERNS.items():
-        out = f"regexp_replace({out}, {_sql_text(pattern)}, '[REDACTED_{kind.upper()}]', 'gi')"
-    return out
+def _sql_detect(text: str) -> str:
+    flags = ", ".join(f"CASE WHEN regexp_matches({text}, {_sql_text(p)}) THEN '{k}' END" for k, p in _SPELT.items())
+    return f"concat_ws(',', {flags})"
 
 
 def _sql_gate(text: str) -> str:
@@ -147,9 +155,6 @@ _TRAINING = """, usable AS (
 ORACLES = {
     "pii_detect": with_views("pii_text", f"""
         SELECT id, {_sql_detect('text')} AS pii_types, {_sql_detect('text')} = '' AS fully_sanitized FROM pii_text"""),
-    "pii_redact": with_views("pii_text", f"""
-        SELECT id, {_sql_redact('text')} AS sanitized_text, {_sql_detect('text')} AS pii_types, true AS fully_sanitized
-        FROM pii_text"""),
     "pii_gate": with_views("pii_text", f"SELECT id, {_sql_gate('text')} AS clean FROM pii_text"),
     "anonymize": with_views("pii_text", """
         SELECT id, substr(sha256(user_id), 1, 16) AS user_hash,
@@ -164,7 +169,7 @@ ORACLES = {
                   CASE WHEN type = 'flag_bad_response' THEN text END AS flagged FROM pii_text),
         f AS (SELECT *, list_sort(list_filter(string_split({_sql_detect("coalesce(user_correction, flagged, '')")}, ','),
                                               lambda x: x <> '')) AS found FROM s)
-        SELECT id, user_id, feedback_type, consent_given, user_correction, {_sql_redact('flagged')} AS flagged_content,
+        SELECT id, user_id, feedback_type, consent_given, user_correction,
                len(found) = 0 AS pii_sanitized, array_to_string(found, ',') AS pii_types,
                CASE WHEN len(found) > 0 THEN '{{"pii_detected":["' || array_to_string(found, '","')
                  || '"],"pii_sanitization_performed":true}}' END AS metadata_json,
