@@ -93,7 +93,8 @@ _ADVICE = "advice(category, lines) AS (VALUES " + ", ".join(
     f"('{c}', '{';'.join(lines)}')" for c, lines in harm.ADVICE.items()) + ")"
 _CHECKED = f""", {_RULES}, {_ADVICE},
   hits AS (SELECT m.id, r.pos, r.category, r.pattern, r.severity FROM chat_messages m, rules r
-           WHERE regexp_matches(lower(message), spelt)),
+           -- the ASCII form holds wherever the exact one does, and is cheap
+           WHERE CASE WHEN regexp_matches(lower(message), pattern) THEN regexp_matches(lower(message), spelt) ELSE false END),
   found AS (SELECT id, string_agg(category || '|' || pattern || '|' || CAST(severity AS VARCHAR), ';' ORDER BY pos) AS violations,
                    string_agg(category, ', ' ORDER BY pos) AS categories, CAST(max(severity) AS DOUBLE) AS top,
                    bool_or(category = 'explicit_content') AS explicit
@@ -160,4 +161,24 @@ ORACLES = {
     "fixed_window_limit": with_views("clients", f"""
         SELECT id, client, {_AT.format("date_trunc('hour', ts)")} AS window_start,
                row_number() OVER (PARTITION BY client, date_trunc('hour', ts) ORDER BY ts, id) <= 10 AS allowed FROM clients"""),
+    "rate_limit_admission": with_views("actions", """
+        , ordered AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM actions),
+        replay AS (
+          SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS action,
+                 CAST([] AS BIGINT[]) AS q, CAST([] AS BIGINT[]) AS s, CAST(NULL AS BOOLEAN) AS allowed,
+                 CAST(NULL AS VARCHAR) AS violations, CAST(0 AS BIGINT) AS wait
+          FROM (SELECT DISTINCT user_id FROM actions)
+          UNION ALL
+          SELECT user_id, n, id, action,
+                 CASE WHEN v = '' AND action = 'query' THEN list_append(q, t) ELSE q END,
+                 CASE WHEN v = '' AND action = 'session_start' THEN list_append(s, t) ELSE s END, v = '', v,
+                 CASE WHEN contains(v, 'sessions_per_day') THEN 86400 - (t - s[1]) // 1000000
+                      WHEN contains(v, 'queries_per_hour') THEN 3600 WHEN v <> '' THEN 60 ELSE 0 END
+          FROM (SELECT *, concat_ws(',', CASE WHEN len(list_filter(q, lambda x: t - x < 60000000)) >= 10 THEN 'queries_per_minute' END,
+                                    CASE WHEN len(q) >= 100 THEN 'queries_per_hour' END,
+                                    CASE WHEN action = 'session_start' AND len(s) >= 5 THEN 'sessions_per_day' END) AS v
+                FROM (SELECT o.user_id, o.n, o.id, o.action, o.t, list_filter(r.q, lambda x: o.t - x < 3600000000) AS q,
+                             list_filter(r.s, lambda x: o.t - x < 86400000000) AS s
+                      FROM replay r JOIN ordered o ON o.user_id = r.user_id AND o.n = r.n + 1)))
+        SELECT id, user_id, action, allowed, violations, wait AS retry_after_seconds FROM replay WHERE n > 0"""),
 }

@@ -247,4 +247,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(names: str, body: str) -> str:
     """DuckDB text of ``body`` with the named views in front."""
     parts = [f"{name} AS ({_TABLE.sub(lambda m: m.group(1), VIEWS[name])})" for name in names.split()]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH RECURSIVE {', '.join(parts)} {body}"
