@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # 2^96, 2^64, 2^32 and 1 modulo 100: the weights of the four 32-bit pieces of a 128-bit number.
 _WEIGHTS = tuple(pow(2, 32 * (3 - i), 100) for i in range(4))
@@ -63,7 +64,10 @@ def _fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value; runs on one row per experiment only."""
+def _p_values(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_two_sided(float(a), float(b)) for a, b in zip(t, df)])
+
+
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value; runs on one row per experiment only."""
+    return F.pandas_udf(_p_values, DoubleType())(t, df)

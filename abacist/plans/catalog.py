@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("usage", "feedback", "metrics", "safety")
+MODULES = ("usage", "feedback", "metrics", "safety", "registry")
 
 
 def _collect(attribute: str) -> dict:
