@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("usage", "feedback", "metrics", "safety", "registry")
+MODULES = ("usage", "feedback", "metrics", "safety", "registry", "wallet", "texts")
 
 
 def _collect(attribute: str) -> dict:
