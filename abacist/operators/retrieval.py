@@ -21,10 +21,9 @@ SLACK = 1e-6  # widening of angle bounds against rounding
 
 
 @dataclass
-class Index:
-    """Unit vectors with their cell and block, and what is known of each cell (one row per cell)."""
+class Cells:
+    """What is known of each cell: small arrays that travel with the tasks."""
 
-    rows: DataFrame  # id, unit, cell, block
     pivots: np.ndarray  # the last cell has no pivot: it holds vectors of length 0
     near: np.ndarray  # smallest and
     far: np.ndarray  # largest angle between a cell's vectors and its pivot
@@ -32,6 +31,14 @@ class Index:
     blocks: np.ndarray  # blocks per cell, so that a crowded cell is many tasks
 
 
+@dataclass
+class Index:
+    """Unit vectors with their cell and block."""
+
+    rows: DataFrame  # id, unit, cell, block
+    cells: Cells
+
+
 def _units(vectors) -> np.ndarray:
     matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -79,35 +86,35 @@ def build_index(vectors: DataFrame, id_column: str = "id", vector: str = "embedd
     blocks = np.maximum(1, -(-size // BLOCK_ROWS))
     per_cell = F.array(*(F.lit(int(b)) for b in blocks))
     placed = assigned.withColumn("block", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))).cast("int")).drop("angle")
-    return Index(placed, pivots, near, far, size, blocks)
+    return Index(placed, Cells(pivots, near, far, size, blocks))
 
 
-def _probes(index: Index, k: int, bounded: bool):
+def _probes(about: Cells, k: int, bounded: bool):
     """Rows (query_id, unit, worst, cell, block, part) for the cells a query has to look into.
 
     Unbounded: the nearest cells that hold ``k`` vectors together. Bounded: every cell that may hold something
     at least as near as the ``worst`` angle found so far; by the triangle inequality no other can.
     """
-    cells = np.flatnonzero(index.size)
+    cells = np.flatnonzero(about.size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             units = _units(pdf["unit"])
-            to_pivot = np.full((len(pdf), len(index.size)), math.pi / 2)
-            to_pivot[:, :-1] = _angles(units, index.pivots)
+            to_pivot = np.full((len(pdf), len(about.size)), math.pi / 2)
+            to_pivot[:, :-1] = _angles(units, about.pivots)
             zero = ~units.any(axis=1)
             out = []
             for i in range(len(pdf)):
                 if bounded:
-                    low = np.maximum(to_pivot[i] - index.far, index.near - to_pivot[i])
+                    low = np.maximum(to_pivot[i] - about.far, about.near - to_pivot[i])
                     low[-1] = 0.0
                     chosen = cells if zero[i] else cells[low[cells] <= pdf["worst"].iat[i] + SLACK]
                 else:
                     nearest = cells[np.argsort(to_pivot[i][cells], kind="stable")]
-                    chosen = nearest[: 1 + int(np.searchsorted(np.cumsum(index.size[nearest]), k))]
-                out += [(i, c, b) for c in chosen for b in range(index.blocks[c])]
+                    chosen = nearest[: 1 + int(np.searchsorted(np.cumsum(about.size[nearest]), k))]
+                out += [(i, c, b) for c in chosen for b in range(about.blocks[c])]
             at = np.array([i for i, _, _ in out], dtype=np.int64)
             yield pd.DataFrame({
                 "query_id": pdf["query_id"].to_numpy()[at], "unit": pdf["unit"].to_numpy()[at], "part": pdf["part"].to_numpy()[at],
@@ -156,10 +163,10 @@ def topk(queries: DataFrame, index: Index, k: int = 5, id_column: str = "id", ve
     kinds = (asked.schema["query_id"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString())
     normal = asked.mapInPandas(_normalised, asked.schema)
     shape = f"query_id {kinds[0]}, unit ARRAY<DOUBLE>, part INT, cell INT, block INT"
-    first = _search(normal.mapInPandas(_probes(index, k, False), shape), index, parts, k, kinds)
+    first = _search(normal.mapInPandas(_probes(index.cells, k, False), shape), index, parts, k, kinds)
     worst = first.filter(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))).alias("worst"))
     bounded = normal.join(worst, "query_id", "left").withColumn("worst", F.coalesce("worst", F.lit(math.pi)))
-    return _search(bounded.mapInPandas(_probes(index, k, True), shape), index, parts, k, kinds)
+    return _search(bounded.mapInPandas(_probes(index.cells, k, True), shape), index, parts, k, kinds)
 
 
 def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
