@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("usage", "feedback", "metrics", "safety", "registry", "wallet", "texts")
+MODULES = ("usage", "feedback", "metrics", "safety", "registry", "wallet", "texts", "live")
 
 
 def _collect(attribute: str) -> dict:

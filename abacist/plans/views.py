@@ -236,12 +236,15 @@ VIEWS: dict[str, str] = {
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a DataFrame; only the columns a query uses are read from parquet."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """One view as a DataFrame, or as a stream of its table's files; only the columns a query uses are read."""
     (table,) = set(_TABLE.findall(VIEWS[name]))
     text = VIEWS[name].replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
     text = text.replace("{", "{{").replace("}", "}}").replace("{{" + table + "}}", "{source}")
-    return spark.sql(text, source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    path = f"{sf_dir}/{table}.parquet"
+    rows = spark.read.parquet(path)
+    # As a pattern the path may be one file as well as a folder of files.
+    return spark.sql(text, source=spark.readStream.schema(rows.schema).parquet(path[:-1] + "[t]") if stream else rows)
 
 
 def with_views(names: str, body: str) -> str:
