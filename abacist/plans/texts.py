@@ -102,6 +102,34 @@ ORACLES = {
     "src_files_text": with_views("files", """
         SELECT id, filename AS name, string_split(lower(filename), '.')[-1] AS ext, extracted_text AS text FROM files
         WHERE CAST(id AS BIGINT) % 7 <> 0 AND (CAST(id AS BIGINT) % 5 = 0 OR CAST(id AS BIGINT) % 11 <> 0) AND extracted_text <> ''"""),
+    # Walks each page's tokens with the stack of open elements; enough for the markup these pages use.
+    "src_html_extract": with_views("pages_html", """
+        , clean AS (SELECT page_id, url, regexp_replace(regexp_replace(html,
+                      '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[^>]*$', '') AS h FROM pages_html),
+        lists AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS l FROM clean),
+        tokens AS (SELECT page_id, n, l[n] AS tok, regexp_extract(l[n], '^</?([a-z0-9]+)', 1) AS tag, starts_with(l[n], '</') AS ends
+                   FROM lists, range(1, 100000) r(n) WHERE n <= len(l)),
+        walk AS (
+          SELECT page_id, CAST(0 AS BIGINT) AS n, CAST('' AS VARCHAR) AS tok, CAST([] AS VARCHAR[]) AS tags, CAST([] AS BIGINT[]) AS ids
+          FROM pages_html
+          UNION ALL
+          SELECT t.page_id, t.n, t.tok,
+                 CASE WHEN t.tag = '' OR t.tag IN ('br', 'meta') THEN tags WHEN NOT ends THEN list_append(tags, t.tag)
+                      WHEN NOT list_contains(tags, t.tag) THEN tags
+                      ELSE tags[:len(tags) - list_position(list_reverse(tags), t.tag)] END,
+                 CASE WHEN t.tag = '' OR t.tag IN ('br', 'meta') THEN ids WHEN NOT ends THEN list_append(ids, t.n)
+                      WHEN NOT list_contains(tags, t.tag) THEN ids
+                      ELSE ids[:len(tags) - list_position(list_reverse(tags), t.tag)] END
+          FROM walk w JOIN tokens t ON t.page_id = w.page_id AND t.n = w.n + 1),
+        elements AS (SELECT page_id, n AS element, tag FROM tokens WHERE tag IN ('p', 'title') AND NOT ends),
+        open AS (SELECT page_id, n, tok, unnest(ids) AS element FROM walk WHERE NOT starts_with(tok, '<') AND tok <> ''),
+        texts AS (SELECT e.page_id, e.element, e.tag, coalesce(string_agg(tok, '' ORDER BY n), '') AS text
+                  FROM elements e LEFT JOIN open USING (page_id, element) GROUP BY 1, 2, 3),
+        plain AS (SELECT page_id, element, tag, regexp_replace(replace(replace(replace(text, '&quot;', '"'), '&copy;', '©'),
+                    '&middot;', '·'), '&amp;?', '&', 'g') AS text FROM texts)
+        SELECT url, coalesce((SELECT arg_min(text, element) FROM plain t WHERE t.page_id = p.page_id AND tag = 'title'), '') AS title,
+               coalesce((SELECT string_agg(text, ' ' ORDER BY element) FROM plain t WHERE t.page_id = p.page_id AND tag = 'p'), '') AS content
+        FROM pages_html p"""),
     "vector_topk": with_views("vectors", _TOP + """
         SELECT query_id, rank, id, text, source, round(score, 6) AS score FROM top"""),
     "rag_context": with_views("vectors", _TOP + """
