@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,13 +27,19 @@ GATE_PATTERNS = (
 
 # Unicode classes and word boundaries, and "." stopping only at "\n", as the patterns assume.
 UNICODE = "(?Ud)"
-UNICODE_IGNORE_CASE = "(?iuUd)"
 NEVER = "(?!)"
+# The letters outside ASCII that equal an ASCII letter when case is ignored.
+FOLDED = "\u0130\u0131\u017f\u212a"
+
+
+def ignore_case(pattern: str) -> str:
+    """The pattern with its letter ranges widened to both cases, which is exact and faster than a case flag."""
+    return UNICODE + re.sub(r"A-Z(\|?)a-z|A-Z|a-z", lambda m: "A-Za-z" + FOLDED + (m.group(1) or ""), pattern)
 
 
 def detected(text: Column) -> Column:
     """Types found in the original text, in pattern order; empty for null or empty text."""
-    flags = [F.when(text.rlike(UNICODE_IGNORE_CASE + p), F.lit(kind)) for kind, p in PATTERNS.items()]
+    flags = [F.when(text.rlike(ignore_case(p)), F.lit(kind)) for kind, p in PATTERNS.items()]
     return F.filter(F.array(*flags), lambda kind: kind.isNotNull())
 
 
@@ -42,7 +50,7 @@ def redacted(text: Column) -> Column:
     """
     out = F.coalesce(text, F.lit(""))
     for kind, pattern in PATTERNS.items():
-        whole = UNICODE_IGNORE_CASE + pattern
+        whole = ignore_case(pattern)
         # "out" is named once per step: naming it in both branches of a condition would double the tree each time.
         active = F.when(text.rlike(whole), F.lit(whole)).otherwise(F.lit(NEVER))
         out = F.regexp_replace(out, active, F.lit(f"[REDACTED_{kind.upper()}]"))
