@@ -20,8 +20,8 @@ def detect(df: DataFrame, text: str) -> DataFrame:
 
 def redact(df: DataFrame, text: str) -> DataFrame:
     """Adds ``sanitized_text``, ``pii_types`` and ``fully_sanitized`` (always true: everything found is replaced)."""
-    return df.withColumns({"sanitized_text": pii.redacted(F.col(text)), "pii_types": pii.detected(F.col(text)),
-                           "fully_sanitized": F.lit(True)})
+    return (df.withColumn("pii_types", pii.detected(F.col(text)))
+            .withColumns({"sanitized_text": pii.redacted(F.col(text), F.col("pii_types")), "fully_sanitized": F.lit(True)}))
 
 
 def anonymize(df: DataFrame) -> DataFrame:
@@ -40,17 +40,16 @@ def ingest(submissions: DataFrame) -> DataFrame:
     Columns: id, user_id, type, consent_given, correction, flagged_content, rating, model_version_id,
     created_at. Corrections are only checked, flagged text is redacted.
     """
-    kind = F.coalesce("type", F.lit("general"))
-    consent = F.coalesce("consent_given", F.lit(False))
-    has_correction, has_flagged = F.col("correction").isNotNull(), F.col("flagged_content").isNotNull()
     none = F.array().cast("array<string>")
-    found = F.concat(F.when(has_correction, pii.detected(F.col("correction"))).otherwise(none),
-                     F.when(has_flagged, pii.detected(F.col("flagged_content"))).otherwise(none))
-    rows = submissions.select(
-        "id", "user_id", "model_version_id", kind.alias("feedback_type"), "rating", consent.alias("consent_given"),
-        F.col("correction").alias("user_correction"),
-        F.when(has_flagged, pii.redacted(F.col("flagged_content"))).alias("flagged_content"),
-        F.array_sort(F.array_distinct(found)).alias("pii_types"), "created_at")
+    checked = submissions.select(
+        "*", F.when(F.col("correction").isNotNull(), pii.detected(F.col("correction"))).otherwise(none).alias("in_correction"),
+        F.when(F.col("flagged_content").isNotNull(), pii.detected(F.col("flagged_content"))).otherwise(none).alias("in_flagged"))
+    rows = checked.select(
+        "id", "user_id", "model_version_id", F.coalesce("type", F.lit("general")).alias("feedback_type"), "rating",
+        F.coalesce("consent_given", F.lit(False)).alias("consent_given"), F.col("correction").alias("user_correction"),
+        F.when(F.col("flagged_content").isNotNull(), pii.redacted(F.col("flagged_content"), F.col("in_flagged")))
+        .alias("flagged_content"),
+        F.array_sort(F.array_union("in_correction", "in_flagged")).alias("pii_types"), "created_at")
     # A correction is stored as given, so only text free of findings counts as sanitized; a submission
     # without a correction differs from nothing, and passes only when nothing was found either.
     return rows.select(

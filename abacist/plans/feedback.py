@@ -8,6 +8,7 @@ from abacist.functions import pii
 from abacist.functions.timing import iso
 from abacist.operators import feedback as op
 from abacist.plans.views import AS_OF_ORDERS, view, with_views
+from abacist.sources.tables import spread
 
 
 def _joined(column):
@@ -15,25 +16,25 @@ def _joined(column):
 
 
 def _pii_detect(spark, d):
-    return op.detect(view(spark, d, "pii_text"), "text").select(
+    return op.detect(spread(view(spark, d, "pii_text")), "text").select(
         "id", _joined("pii_types").alias("pii_types"), "fully_sanitized")
 
 
 def _pii_redact(spark, d):
-    return op.redact(view(spark, d, "pii_text"), "text").select(
+    return op.redact(spread(view(spark, d, "pii_text")), "text").select(
         "id", "sanitized_text", _joined("pii_types").alias("pii_types"), "fully_sanitized")
 
 
 def _pii_gate(spark, d):
-    return view(spark, d, "pii_text").select("id", pii.passes_gate(F.col("text")).alias("clean"))
+    return spread(view(spark, d, "pii_text")).select("id", pii.passes_gate(F.col("text")).alias("clean"))
 
 
 def _anonymize(spark, d):
-    return op.anonymize(view(spark, d, "pii_text").select("id", "user_id", "email", "ip_address"))
+    return op.anonymize(spread(view(spark, d, "pii_text")).select("id", "user_id", "email", "ip_address"))
 
 
 def _feedback_ingest(spark, d):
-    text = view(spark, d, "pii_text")
+    text = spread(view(spark, d, "pii_text"))
     submissions = text.select(
         "id", "user_id", "type", "consent_given", "rating", F.lit(None).cast("string").alias("model_version_id"),
         F.when(F.col("type").isin("correction", "training_suggestion"), F.col("text")).alias("correction"),
@@ -45,7 +46,7 @@ def _feedback_ingest(spark, d):
 
 
 def _rating_ingest(spark, d):
-    return op.ingest_ratings(view(spark, d, "pii_text"))
+    return op.ingest_ratings(spread(view(spark, d, "pii_text")))
 
 
 def _flag_ingest(spark, d):
@@ -56,7 +57,7 @@ def _flag_ingest(spark, d):
 
 
 def _correction_ingest(spark, d):
-    return op.ingest_corrections(view(spark, d, "pii_text").withColumnRenamed("text", "user_correction"))
+    return op.ingest_corrections(spread(view(spark, d, "pii_text")).withColumnRenamed("text", "user_correction"))
 
 
 def _consent_requests(spark, d):

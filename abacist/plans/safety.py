@@ -8,21 +8,22 @@ from abacist.functions import harm
 from abacist.functions.timing import iso
 from abacist.operators import limits, safety
 from abacist.plans.views import AS_OF_ORDERS, view, with_views
+from abacist.sources.tables import spread
 
 
 def _content_safety(spark, d):
-    out = safety.content_safety(view(spark, d, "chat_messages"), "message", "user_age")
+    out = safety.content_safety(spread(view(spark, d, "chat_messages")), "message", "user_age")
     found = F.transform("violations", lambda v: F.concat_ws("|", v.category, v.pattern, v.severity.cast("string")))
     return out.select("id", F.array_join(found, ";").alias("violations"), F.round("severity_score", 6).alias("severity_score"),
                       "is_safe", F.array_join("recommendations", ";").alias("recommendations"))
 
 
 def _chat_moderation(spark, d):
-    return safety.moderate(view(spark, d, "chat_messages")).select("id", "user_id", "approved", "verdict")
+    return safety.moderate(spread(view(spark, d, "chat_messages"))).select("id", "user_id", "approved", "verdict")
 
 
 def _moderation_incidents(spark, d):
-    out = safety.incidents_of(safety.moderate(view(spark, d, "chat_messages")))
+    out = safety.incidents_of(safety.moderate(spread(view(spark, d, "chat_messages"))))
     return out.withColumn("created_at", iso("created_at"))
 
 

@@ -39,8 +39,8 @@ def python_redact(text):
 
 def test_pii_on_boundary_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i INT, text STRING")
-    rows = df.select("i", pii.detected(F.col("text")).alias("d"), pii.redacted(F.col("text")).alias("r"),
-                     pii.passes_gate(F.col("text")).alias("g")).orderBy("i").collect()
+    rows = df.select("i", "text", pii.detected(F.col("text")).alias("d")).select(
+        "d", pii.redacted(F.col("text"), F.col("d")).alias("r"), pii.passes_gate(F.col("text")).alias("g"), "i").orderBy("i").collect()
     for text, row in zip(TEXTS, rows):
         assert row.d == python_detect(text), text
         assert row.r == python_redact(text), text
