@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000  # rank error of a quantile sketch is n / ACCURACY
-STEPS = 1_000  # grid of the second sketch
+STEPS = 200  # grid of the second sketch
 
 
 def quantile_element(values: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row ``value`` = ``sorted(column)[int(n * fraction)]``; null when there is no value.
 
-    Two mergeable quantile sketches narrow the column to a band of about n / 350,000 rows round
+    Two mergeable quantile sketches narrow the column to a band of about n / 70,000 rows round
     the wanted rank; only that band is ranked, by counts per distinct value, so duplicates
     collapse before they move. Rows below the band are counted exactly, and the band is many
     times wider than the guaranteed rank error of a sketch, so the element is exact.
@@ -22,9 +22,9 @@ def quantile_element(values: DataFrame, column: str, fraction: float) -> DataFra
     slack = 2 / ACCURACY
     coarse = data.agg(F.percentile_approx(
         "v", [max(0.0, fraction - slack), min(1.0, fraction + slack)], ACCURACY).alias("q"))
-    low, high = coarse.select(F.col("q")[0]).scalar(), coarse.select(F.col("q")[1]).scalar()
+    bounds = coarse.select("q").scalar()
 
-    probe = data.select("v", low.alias("low"), high.alias("high")).agg(
+    probe = data.select("v", bounds.getItem(0).alias("low"), bounds.getItem(1).alias("high")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(v < F.col("low")).alias("below"),
         F.count_if(v <= F.col("high")).alias("upto"),
@@ -34,13 +34,12 @@ def quantile_element(values: DataFrame, column: str, fraction: float) -> DataFra
     ).withColumn("rank", F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1))
     inside = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("upto"))
     cell = F.floor((F.col("rank") - F.col("below")) / F.greatest(F.lit(1), F.col("upto") - F.col("below")) * STEPS)
-    plan = probe.select(
+    plan = probe.select(F.struct(
         "rank",
         F.when(inside, F.element_at("grid", F.greatest(cell - 2, F.lit(1)).cast("int"))).alias("low"),
-        F.when(inside, F.element_at("grid", F.least(cell + 5, F.lit(STEPS + 1)).cast("int"))).alias("high"))
-    rank, low, high = (plan.select(c).scalar() for c in ("rank", "low", "high"))
+        F.when(inside, F.element_at("grid", F.least(cell + 5, F.lit(STEPS + 1)).cast("int"))).alias("high")).alias("plan"))
 
-    final = data.select("v", rank.alias("rank"), low.alias("low"), high.alias("high"))
+    final = data.select("v", plan.scalar().alias("plan")).select("v", "plan.*")
     below = F.col("low").isNotNull() & (v < F.col("low"))
     above = F.col("high").isNotNull() & (v > F.col("high"))
     # Everything below the band becomes one group, so the running sum starts from an exact count.
