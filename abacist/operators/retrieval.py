@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from abacist.session import shared_dir
 
 MAX_CELLS = 1024  # pivots held by every task: MAX_CELLS x dimension floats, whatever the index size
+CELL_ROWS = 500  # vectors per cell while that needs no more than MAX_CELLS
+BROADCAST_BYTES = 16 << 20  # queries up to this size travel to the index instead of meeting it in a shuffle
 BLOCK_ROWS = 20_000  # index rows one task compares at a time
 QUERY_ROWS = 20_000  # queries one task compares at a time
 SLICE = 256  # queries per matrix product
@@ -56,7 +58,7 @@ def build_index(vectors: DataFrame, id_column: str = "id", vector: str = "embedd
     """
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
     count = rows.count()
-    wanted = cells or min(MAX_CELLS, max(1, math.isqrt(count)))
+    wanted = cells or min(MAX_CELLS, max(1, count // CELL_ROWS))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     pivots = _units([r["v"] for r in picked]) if picked else np.zeros((1, 1))
     empty = len(pivots)
@@ -146,21 +148,84 @@ def _search(probes: DataFrame, index: Index, parts: int, k: int, kinds: tuple[st
     keys = ["cell", "block", "part"]
     found = probes.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
         best, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
+    return _ranked(found, k)
+
+
+def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str, str]) -> DataFrame:
+    """Best ``k`` per query and task, the queries broadcast: the index is read once and nothing of it moves.
+
+    A task keeps ``k`` rows per query. A cell is skipped for the queries whose bound rules it out: with the
+    cells nearest to a query holding ``k`` vectors, the farthest of those is a bound on the k-th best angle.
+    """
+    about, cells = index.cells, np.flatnonzero(index.cells.size)
+    worst = np.full(len(units), math.pi)
+    for s in range(0, len(units), SLICE):
+        block = units[s:s + SLICE]
+        reach = np.full((len(block), len(about.size)), math.pi)
+        reach[:, :-1] = np.minimum(_angles(block, about.pivots) + about.far[:-1], math.pi)
+        nearest = cells[np.argsort(reach[:, cells], axis=1)]
+        enough = np.minimum((np.cumsum(about.size[nearest], axis=1) < k).sum(axis=1), len(cells) - 1)
+        each = np.arange(len(block))
+        worst[s:s + SLICE] = np.where(block.any(axis=1), reach[each, nearest[each, enough]], math.pi)
+    shared = index.rows.sparkSession.sparkContext.broadcast((units, worst, np.asarray(names)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units, worst, names = shared.value
+        scores, ids = np.full((len(units), k), -np.inf), None
+        for pdf in batches:
+            for cell, rows in pdf.groupby("cell"):
+                rows = rows.sort_values("id")
+                own = np.asarray(rows["id"].tolist())
+                if ids is None:
+                    ids = np.zeros((len(units), k), dtype=own.dtype)
+                ids = ids.astype(np.result_type(ids, own), copy=False)
+                matrix = np.stack(rows["unit"].to_numpy())
+                for s in range(0, len(units), SLICE):
+                    part = np.arange(s, min(s + SLICE, len(units)))
+                    if cell < len(about.pivots):
+                        angle = _angles(units[part], about.pivots[cell:cell + 1])[:, 0]
+                        low = np.maximum(angle - about.far[cell], about.near[cell] - angle)
+                        part = part[(low <= worst[part] + SLACK) | ~units[part].any(axis=1)]
+                    if not len(part):
+                        continue
+                    found = np.round(units[part] @ matrix.T, 9)
+                    top = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                    both = np.hstack([scores[part], np.take_along_axis(found, top, axis=1)])
+                    named = np.hstack([ids[part], own[top]])
+                    order = np.lexsort((named, -both), axis=1)[:, :k]
+                    scores[part] = np.take_along_axis(both, order, axis=1)
+                    ids[part] = np.take_along_axis(named, order, axis=1)
+        if ids is not None:
+            at, place = np.nonzero(np.isfinite(scores))
+            yield pd.DataFrame({"query_id": names[at], "id": ids[at, place], "score": scores[at, place]})
+
+    found = index.rows.select("id", "unit", "cell").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def topk(queries: DataFrame, index: Index, k: int = 5, id_column: str = "id", vector: str = "embedding") -> DataFrame:
+def topk(queries: DataFrame, index: Index, k: int = 5, id_column: str = "id", vector: str = "embedding",
+         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` index vectors of highest cosine for every query, exactly.
 
-    The nearest cells give each query a first bound; the second pass visits only cells the bound cannot rule
-    out. Scores are rounded to 9 digits before ranking and ties go to the smaller id.
+    Few queries (by their counted size) are broadcast to the index. Many meet it by cell: the nearest cells
+    give each query a first bound, and the second pass visits only cells the bound cannot rule out. Scores are
+    rounded to 9 digits before ranking and ties go to the smaller id.
     """
     asked = queries.select(F.col(id_column).alias("query_id"), F.col(vector).cast("array<double>").alias("unit"))
     asked = asked.filter(F.col("unit").isNotNull())
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     kinds = (asked.schema["query_id"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString())
+    count = asked.count()
+    if 0 < count * (index.cells.pivots.shape[1] * 8 + 64) <= broadcast_bytes:
+        rows = asked.collect()
+        return _scan(_units([r["unit"] for r in rows]), [r["query_id"] for r in rows], index, k, kinds)
+
+    parts = max(1, -(-count // QUERY_ROWS))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     normal = asked.mapInPandas(_normalised, asked.schema)
     shape = f"query_id {kinds[0]}, unit ARRAY<DOUBLE>, part INT, cell INT, block INT"
     first = _search(normal.mapInPandas(_probes(index.cells, k, False), shape), index, parts, k, kinds)
