@@ -89,7 +89,8 @@ def ttest(observed: DataFrame) -> DataFrame:
     enough = (n1 >= MIN_PER_VARIANT) & (n2 >= MIN_PER_VARIANT)
     tested = (stats.filter(enough)
               .withColumn("t_statistic", pooled_t(n1, m1, F.col("variant_a_var"), n2, m2, F.col("variant_b_var")))
-              .withColumn("p_value", t_p_value(F.col("t_statistic"), (n1 + n2 - 2).cast("double"))))
+              .withColumn("p_value", F.when(F.isnan("t_statistic"), F.lit(float("nan"))).otherwise(
+                  t_p_value(F.col("t_statistic"), (n1 + n2 - 2).cast("double")))))
     significant = ~F.isnan("p_value") & (F.col("p_value") < SIGNIFICANT_BELOW)
     high, low = F.greatest(m1, m2), F.least(m1, m2)
     improvement = F.when(low == 0, F.lit(float("inf"))).otherwise(F.try_divide(high - low, low) * 100)

@@ -139,10 +139,9 @@ def _search(probes: DataFrame, index: Index, parts: int, k: int, kinds: tuple[st
         for s in range(0, len(units), SLICE):
             scores = np.round(units[s:s + SLICE] @ matrix.T, 9)
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({
-                "query_id": np.repeat(names[s:s + SLICE], top.shape[1]), "id": ids[top].ravel(),
-                "score": np.take_along_axis(scores, top, axis=1).ravel()}))
-        return pd.concat(found, ignore_index=True)
+            found.append((np.repeat(names[s:s + SLICE], top.shape[1]), ids[top].ravel(),
+                          np.take_along_axis(scores, top, axis=1).ravel()))
+        return pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found)))))
 
     copies = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = ["cell", "block", "part"]

@@ -96,19 +96,21 @@ def abuse_patterns(interactions: DataFrame) -> DataFrame:
 def safety_stats(incidents: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Incident counts by type, by severity and overall, with resolved counts and average hours to resolve.
 
-    Rows carry ``breakdown`` (type, severity or total). Counted once per (type, severity), then rolled up.
+    Rows carry ``breakdown`` (type, severity or total), all summed from one count per (type, severity); the total
+    is there even without incidents.
     """
     timed = F.col("resolved") & F.col("resolved_at").isNotNull()
     hours = seconds_between("resolved_at", "created_at") / 3600
     base = incidents.filter(since(incidents, "created_at", as_of, days)).groupBy("incident_type", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.count_if(timed).alias("timed"),
         F.sum(F.when(timed, hours)).alias("hours"))
-    rolled = base.groupingSets([["incident_type"], ["severity"], []], "incident_type", "severity").agg(
-        F.grouping_id().alias("level"), F.coalesce(F.sum("n"), F.lit(0)).alias("incidents"),
-        F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved_incidents"),
-        F.coalesce(F.try_divide(F.sum("hours"), F.sum("timed")), F.lit(0.0)).alias("average_resolution_time_hours"))
-    level = F.col("level")
-    return rolled.select(
-        F.when(level == 1, "type").when(level == 2, "severity").otherwise("total").alias("breakdown"),
-        F.when(level == 1, F.col("incident_type")).when(level == 2, F.col("severity")).alias("value"),
-        "incidents", "resolved_incidents", "average_resolution_time_hours")
+    def part(breakdown: str, value: str | None) -> DataFrame:
+        rows = base if value is None else base.groupBy(F.col(value).alias("value"))
+        summed = rows.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("incidents"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved_incidents"),
+            F.coalesce(F.try_divide(F.sum("hours"), F.sum("timed")), F.lit(0.0)).alias("average_resolution_time_hours"))
+        named = summed if value is not None else summed.withColumn("value", F.lit(None).cast("string"))
+        return named.select(F.lit(breakdown).alias("breakdown"), "value", "incidents", "resolved_incidents",
+                            "average_resolution_time_hours")
+
+    return part("type", "incident_type").unionByName(part("severity", "severity")).unionByName(part("total", None))

@@ -57,18 +57,18 @@ def usage_trend(ai_sessions: DataFrame, as_of: datetime, days: int = 30) -> Data
 def payment_failures(transactions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Purchases of amount 0: one row per description and one ``total`` row with the failure rate.
 
-    A missing description is a reason of its own. One scan; the total is rolled up from the reasons.
+    A missing description is a reason of its own. The total is summed from the few rows of the reasons.
     """
     reasons = _purchases(transactions, as_of, days).groupBy("description").agg(
         F.count_if(F.col("amount") == 0).alias("failed"), F.count(F.lit(1)).alias("purchases"))
-    summed = reasons.rollup("description").agg(
-        F.grouping_id().alias("level"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_payments"),
-        F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchases"))
-    return summed.filter((F.col("level") == 1) | (F.col("failed_payments") > 0)).select(
-        F.when(F.col("level") == 1, "total").otherwise("reason").alias("row_type"),
-        F.col("description").alias("reason"), "failed_payments",
-        F.when(F.col("level") == 1, F.col("failed_payments") / F.greatest(F.lit(1), F.col("purchases")))
-        .alias("failure_rate"))
+    total = reasons.agg(F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
+                        F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchases"))
+    rate = F.col("failed") / F.greatest(F.lit(1), F.col("purchases"))
+    return reasons.filter(F.col("failed") > 0).select(
+        F.lit("reason").alias("row_type"), F.col("description").alias("reason"), F.col("failed").alias("failed_payments"),
+        F.lit(None).cast("double").alias("failure_rate"),
+    ).unionByName(total.select(F.lit("total").alias("row_type"), F.lit(None).cast("string").alias("reason"),
+                               F.col("failed").alias("failed_payments"), rate.alias("failure_rate")))
 
 
 def system_performance(model_metrics: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
