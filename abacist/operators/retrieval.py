@@ -128,9 +128,8 @@ def _probes(about: Cells, k: int, bounded: bool):
 def _search(probes: DataFrame, index: Index, parts: int, k: int, kinds: tuple[str, str]) -> DataFrame:
     """Best ``k`` per query: each (cell, block, part) is one bounded matrix product, and only its winners leave it."""
     def best(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
         if not len(queries) or not len(rows):
-            return empty
+            return pd.DataFrame()
         matrix, ids = np.stack(rows["unit"].to_numpy()), rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         matrix, ids = matrix[order], ids[order]
