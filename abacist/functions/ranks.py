@@ -6,44 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000  # rank error of a quantile sketch is n / ACCURACY
-STEPS = 200  # grid of the second sketch
+STEPS = 200  # grid of the later sketches
+ROUNDS = 2  # later sketches
 
 
 def quantile_element(values: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row ``value`` = ``sorted(column)[int(n * fraction)]``; null when there is no value.
 
-    Two mergeable quantile sketches narrow the column to a band of about n / 70,000 rows round
-    the wanted rank; only that band is ranked, by counts per distinct value, so duplicates
-    collapse before they move. Rows below the band are counted exactly, and the band is many
-    times wider than the guaranteed rank error of a sketch, so the element is exact.
+    Mergeable quantile sketches narrow the column, pass by pass, to a band of about n / 2,000,000 rows round
+    the wanted rank; only that band is ranked, by counts per distinct value, so duplicates collapse before
+    they move. Rows below the band are counted exactly, and a band is many times wider than the guaranteed
+    rank error of a sketch, so the element is exact.
     """
-    v = F.col("v")
-    data = values.select(F.col(column).alias("v")).filter(v.isNotNull())
+    data = values.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
     slack = 2 / ACCURACY
-    coarse = data.agg(F.percentile_approx(
-        "v", [max(0.0, fraction - slack), min(1.0, fraction + slack)], ACCURACY).alias("q"))
-    bounds = coarse.select("q").scalar()
-
-    probe = data.select("v", bounds.getItem(0).alias("low"), bounds.getItem(1).alias("high")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(v < F.col("low")).alias("below"),
-        F.count_if(v <= F.col("high")).alias("upto"),
-        F.first("low").alias("low"), F.first("high").alias("high"),
-        F.percentile_approx(F.when((v >= F.col("low")) & (v <= F.col("high")), v),
-                            [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("grid"),
-    ).withColumn("rank", F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1))
-    inside = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("upto"))
-    cell = F.floor((F.col("rank") - F.col("below")) / F.greatest(F.lit(1), F.col("upto") - F.col("below")) * STEPS)
-    plan = probe.select(F.struct(
-        "rank",
-        F.when(inside, F.element_at("grid", F.greatest(cell - 2, F.lit(1)).cast("int"))).alias("low"),
-        F.when(inside, F.element_at("grid", F.least(cell + 5, F.lit(STEPS + 1)).cast("int"))).alias("high")).alias("plan"))
-
-    final = data.select("v", plan.scalar().alias("plan")).select("v", "plan.*")
-    below = F.col("low").isNotNull() & (v < F.col("low"))
-    above = F.col("high").isNotNull() & (v > F.col("high"))
+    sketch = F.percentile_approx("v", [max(0.0, fraction - slack), min(1.0, fraction + slack)], ACCURACY)
+    band = data.agg(sketch.alias("q")).select(
+        F.struct(F.lit(0).cast("bigint").alias("rank"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high")).alias("band"))
+    for _ in range(ROUNDS):
+        band = _narrow(data, band.scalar(), fraction)
+
+    v = F.col("v")
+    final = data.select("v", band.scalar().alias("band")).select("v", "band.*")
+    below = ~_from(v)
     # Everything below the band becomes one group, so the running sum starts from an exact count.
-    counts = final.filter(~above).groupBy(below.alias("outside"), F.when(~below, v).alias("v")).agg(
+    counts = final.filter(_upto(v)).groupBy(below.alias("outside"), F.when(~below, v).alias("v")).agg(
         F.count(F.lit(1)).alias("c"), F.first("rank").alias("rank"))
     running = counts.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first())))
     return running.filter(~F.col("outside") & (F.col("upto") > F.col("rank"))).agg(F.min("v").alias("value"))
+
+
+def _from(v: Column) -> Column:
+    return F.coalesce(v >= F.col("low"), F.lit(True))
+
+
+def _upto(v: Column) -> Column:
+    return F.coalesce(v <= F.col("high"), F.lit(True))
+
+
+def _narrow(data: DataFrame, band: Column, fraction: float) -> DataFrame:
+    """The part of ``band`` that holds the rank, checked against exact counts; unbounded if the band misses it."""
+    v = F.col("v")
+    probe = data.select("v", band.alias("band")).select("v", "band.low", "band.high").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~_from(v)).alias("below"), F.count_if(_upto(v)).alias("upto"),
+        F.percentile_approx(F.when(_from(v) & _upto(v), v), [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("grid"),
+    ).withColumn("rank", F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1))
+    inside = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("upto"))
+    cell = F.floor((F.col("rank") - F.col("below")) / F.greatest(F.lit(1), F.col("upto") - F.col("below")) * STEPS)
+
+    def edge(offset: int) -> Column:
+        place = F.greatest(F.lit(1), F.least(cell + offset, F.lit(STEPS + 1))).cast("int")
+        return F.when(inside, F.element_at("grid", place))
+
+    return probe.select(F.struct("rank", edge(-2).alias("low"), edge(5).alias("high")).alias("band"))

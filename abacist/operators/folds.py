@@ -49,15 +49,23 @@ class Fold:
         return None
 
 
-def replay(rows: DataFrame, fold: Fold, key: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """``rows`` with the fold's output columns; rows of a key are taken in ``order``, which must be unique."""
+def range_chunks(rows: DataFrame, key: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``rows`` sorted by (key, order) over range partitions, with their number as ``chunk``.
+
+    A key with many rows spans several chunks. The checkpoint fixes which rows a chunk holds (a second run
+    could draw other bounds) and is where the work restarts if executors are lost.
+    """
     spark = rows.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [f.name for f in rows.schema.fields]
-    ranged = rows.repartitionByRange(count, key, *order).sortWithinPartitions(key, *order)
-    # The checkpoint fixes which rows a partition holds; it is also where a lost executor restarts from.
     shared_dir(spark)
-    chunks = ranged.withColumn("chunk", F.spark_partition_id()).checkpoint()
+    ranged = rows.repartitionByRange(count, key, *order).sortWithinPartitions(key, *order)
+    return ranged.withColumn("chunk", F.spark_partition_id()).checkpoint()
+
+
+def replay(rows: DataFrame, fold: Fold, key: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``rows`` with the fold's output columns; rows of a key are taken in ``order``, which must be unique."""
+    columns = rows.columns
+    chunks = range_chunks(rows, key, order, partitions)
     starts = _boundary_states(chunks, fold, key)
     schema = StructType(chunks.drop("chunk").schema.fields + StructType.fromDDL(fold.output).fields)
     return chunks.mapInPandas(_decider(fold, key, starts), schema).select(*columns, *StructType.fromDDL(fold.output).names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.functions.timing import at, seconds_between
-from abacist.operators.folds import Fold, replay
+from abacist.operators.folds import Fold, range_chunks, replay
 
 # Package id -> (price, coins).
 PACKAGES = {1: (7, 15), 2: (14, 35), 3: (21, 75)}
@@ -169,19 +169,19 @@ def session_replay(events: DataFrame, partitions: int | None = None) -> DataFram
         "ts_us", "drift", "expires_us")
 
 
-def ledger_balance(transactions: DataFrame, grain: str = "HOUR") -> DataFrame:
+def ledger_balance(transactions: DataFrame, partitions: int | None = None) -> DataFrame:
     """Adds ``balance``, the running sum per user in (created_at, id) order.
 
-    Two levels, so no task holds a whole busy user: totals per (user, time slot) are summed over the slots,
-    and rows are summed within their slot only.
+    Rows are range-partitioned by (user, time), so a busy user fills many chunks. The chunks' totals, a few
+    rows per user, are summed first; rows are then summed within their chunk only.
     """
-    rows = transactions.withColumn("slot", F.date_trunc(grain, "created_at"))
-    totals = rows.groupBy("user_id", "slot").agg(F.sum("amount").alias("total"))
-    earlier = Window.partitionBy("user_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    opening = totals.select("user_id", "slot", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("opening"))
-    within = Window.partitionBy("user_id", "slot").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.join(opening, ["user_id", "slot"])
-            .withColumn("balance", F.col("opening") + F.sum("amount").over(within)).drop("slot", "opening"))
+    rows = range_chunks(transactions, "user_id", ["created_at", "id"], partitions)
+    totals = rows.groupBy("user_id", "chunk").agg(F.sum("amount").alias("total"))
+    earlier = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opening = totals.select("user_id", "chunk", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("opening"))
+    within = Window.partitionBy("user_id", "chunk").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.join(opening, ["user_id", "chunk"])
+            .withColumn("balance", F.col("opening") + F.sum("amount").over(within)).drop("chunk", "opening"))
 
 
 def reconcile(coins: DataFrame, transactions: DataFrame) -> DataFrame:

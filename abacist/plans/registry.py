@@ -57,7 +57,8 @@ def _review_eligibility(spark, d):
 
 
 def _judged(spark, d):
-    return reviews.judge(view(spark, d, "review_decisions"), view(spark, d, "human_reviews").dropDuplicates(["id"]))
+    once = view(spark, d, "human_reviews").select("id", "model_version_id", "reviewer_id").distinct()
+    return reviews.judge(view(spark, d, "review_decisions"), once)
 
 
 def _review_decision(spark, d):
@@ -94,7 +95,7 @@ def _review_history(spark, d):
 
 
 def _review_escalate(spark, d):
-    rows = view(spark, d, "human_reviews").dropDuplicates(["id"])
+    rows = view(spark, d, "human_reviews").select("id", "reviewer_id", "status", "comments").distinct()
     escalations = rows.filter(F.col("status") == "pending").select("id", F.concat(F.lit("late by "), "reviewer_id", F.lit(" \n")).alias("reason"))
     return reviews.escalate(rows, escalations).select("id", "status", "comments")
 
@@ -119,12 +120,13 @@ def _ab_assign(spark, d):
 
 
 def _nested_tests(spark, d):
-    """Tests whose results column nests the observations of a (test, user), as the service stores them."""
-    item = F.struct("user_id", "variant", "metric_value", iso("timestamp").alias("timestamp"),
-                    F.lit(None).cast("string").alias("metadata"))
+    """Tests whose results column nests observations, as the service stores them: here two, one the other's mirror."""
+    def item(sign):
+        return F.struct("user_id", "variant", (F.col("metric_value") * sign).alias("metric_value"),
+                        iso("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("metadata"))
+
     seen = view(spark, d, "ab_observations")
-    return seen.groupBy(F.col("experiment_id").alias("id"), "user_id").agg(
-        F.to_json(F.struct(F.collect_list(item).alias("observations"))).alias("results"))
+    return seen.select(F.col("experiment_id").alias("id"), F.to_json(F.struct(F.array(item(1), item(-1)).alias("observations"))).alias("results"))
 
 
 def _ab_observations(spark, d):
@@ -311,7 +313,8 @@ ORACLES = {
                                  lambda acc, x: (acc * 16 + x) % 100) AS bucket FROM h)
         SELECT user_id, experiment_id, CASE WHEN bucket < traffic_split * 100 THEN 'A' ELSE 'B' END AS variant FROM digits"""),
     "ab_observations": with_views("ab_observations", f"""
-        SELECT experiment_id, user_id, variant, metric_value, {_AT.format('timestamp')} AS timestamp FROM ab_observations"""),
+        SELECT experiment_id, user_id, variant, metric_value * s AS metric_value, {_AT.format('timestamp')} AS timestamp
+        FROM ab_observations, (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) x(s)"""),
     "ab_summary": with_views("ab_observations", """
         , e AS (SELECT experiment_id, count(*) AS total_observations FROM ab_observations GROUP BY 1),
         v AS (SELECT experiment_id, variant, count(*) AS n, sum(metric_value) AS s FROM ab_observations GROUP BY 1, 2)

@@ -144,7 +144,7 @@ def test_never_more_than_the_limit(spark):
 
 def test_running_balance_equals_window(spark):
     rows = frame(spark, events(4, ["x"])).select("user_id", "id", "amount", F.col("ts").alias("created_at"))
-    got = {r.id: r.balance for r in wallet.ledger_balance(rows, "MINUTE").collect()}
+    got = {r.id: r.balance for r in wallet.ledger_balance(rows, 20).collect()}
     for user in in_order(events(4, ["x"])).values():
         total = 0
         for _, i, _, amount, _ in user:
