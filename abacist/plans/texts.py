@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from abacist.operators import retrieval
+from abacist.functions.timing import iso
+from abacist.operators import chat, retrieval
 from abacist.plans.views import view, with_views
-from abacist.sources import documents, tables
+from abacist.sources import documents, sinks, tables
 
 
 def _src_tables(spark, d):
@@ -79,7 +80,46 @@ def _attachment_resolve(spark, d):
                       .alias("files"))
 
 
+def _messages(spark, d):
+    return view(spark, d, "chat_messages").withColumn("attachments", F.from_json("attachments", "array<string>"))
+
+
+def _global_chat_rows(spark, d):
+    out = chat.public_rows(_messages(spark, d).withColumn("user_id", F.when(F.col("user_age") != 12, F.col("user_id"))))
+    return out.select("id", "user_id", "message", F.array_join("attachments", ",").alias("attachments"), "is_moderated",
+                      iso("created_at").alias("created_at"))
+
+
+def _admin_chat(spark, d):
+    """Stored encrypted and read back."""
+    key = F.lit(b"0123456789abcdef")
+    rows = _messages(spark, d).withColumns({
+        "admin_id": F.when(F.col("user_age") > 20, F.lit("a1")), "is_from_admin": F.when(F.col("user_age") > 15, F.lit(True))})
+    out = chat.read_private(chat.private_rows(rows, key), key)
+    return out.select("id", "user_id", "admin_id", "message", "is_from_admin")
+
+
+def _feedback_queue(spark, d):
+    items = view(spark, d, "user_feedback").select(
+        F.col("id").alias("interaction_id"), F.col("feedback_type").alias("type"), "rating", "created_at")
+    return chat.feedback_queue(items).withColumn("timestamp", iso("timestamp"))
+
+
+def _upsert_vectors(spark, d):
+    """The even half of the index, then every vector of id divisible by 3 written again, scaled."""
+    vectors = view(spark, d, "vectors").select("id", "embedding", "source")
+    old = vectors.filter(F.col("id") % 2 == 0)
+    new = vectors.filter(F.col("id") % 3 == 0).select(
+        "id", F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"), F.lit("again").alias("source"), F.lit(1).alias("at"))
+    out = sinks.upsert(old, new, ["id"], "at")
+    return out.select("id", "source", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
 QUERIES = {
+    "global_chat_rows": _global_chat_rows,
+    "admin_chat_encrypted": _admin_chat,
+    "sink_append_feedback_queue": _feedback_queue,
+    "sink_upsert_vectors": _upsert_vectors,
     "src_tables": _src_tables,
     "src_files_text": _src_files_text,
     "src_html_extract": _src_html_extract,
@@ -95,7 +135,25 @@ _TOP = """, pairs AS (SELECT q.id AS query_id, v.id, v.text, v.source,
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs QUALIFY rank <= 5) """
 _VOWELS = " || ',' || ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{v}', '')) AS VARCHAR)" for v in "aeiou")
 
+_AT = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"
+
 ORACLES = {
+    "global_chat_rows": with_views("chat_messages", f"""
+        SELECT id, CASE WHEN user_age <> 12 THEN user_id ELSE 'anonymous' END AS user_id, message,
+               coalesce(array_to_string(CAST(CAST(attachments AS JSON) AS VARCHAR[]), ','), '') AS attachments,
+               false AS is_moderated, {_AT.format('created_at')} AS created_at
+        FROM chat_messages WHERE NOT regexp_matches(lower(message), 'spam|abuse|hate|violence')"""),
+    "admin_chat_encrypted": with_views("chat_messages", """
+        SELECT id, user_id, CASE WHEN user_age > 20 THEN 'a1' ELSE 'admin' END AS admin_id, message,
+               user_age > 15 AS is_from_admin FROM chat_messages"""),
+    "sink_append_feedback_queue": with_views("user_feedback", f"""
+        SELECT id AS interaction_id, '{{"type":"' || feedback_type || '"' || coalesce(',"rating":' || CAST(rating AS VARCHAR), '') || '}}'
+                 AS feedback, {_AT.format('created_at')} AS timestamp FROM user_feedback"""),
+    "sink_upsert_vectors": with_views("vectors", """
+        SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'again' ELSE source END AS source,
+               round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))
+                     * CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END, 4) AS total
+        FROM vectors WHERE CAST(id AS BIGINT) % 2 = 0 OR CAST(id AS BIGINT) % 3 = 0"""),
     "src_tables": with_views("user_feedback", """
         SELECT id, user_id, CAST(NULL AS VARCHAR) AS session_id, feedback_type, rating,
                coalesce(CASE WHEN rating <> 3 THEN consent_given END, false) AS consent_given, pii_sanitized FROM user_feedback"""),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import stats
 from abacist.functions.ranks import quantile_element
-from abacist.operators import (experiments, feedback, jobs, metrics, registry, retrieval, reviews, safety, support, usage,
+from abacist.operators import (chat, experiments, feedback, jobs, metrics, registry, retrieval, reviews, safety, support, usage,
                                wallet)
 from abacist.sources import sinks, tables
 
@@ -308,3 +308,22 @@ def test_export_both_ends(spark, tmp_path):
     assert sorted(r.value for r in out.collect()) == [1.0, 2.0]
     sinks.export(out, str(tmp_path / "out"))
     assert (tmp_path / "out" / "date=2024-02-01").exists()
+
+
+def test_private_chat_needs_its_key(spark):
+    df = spark.createDataFrame([("1", "u", None, "héllo", None, None, NOW), ("2", "u", "x", "héllo", True, ["f"], NOW)],
+                               "id STRING, user_id STRING, admin_id STRING, message STRING, is_from_admin BOOLEAN, attachments ARRAY<STRING>, created_at TIMESTAMP")
+    key, other = F.lit(b"k" * 16), F.lit(b"o" * 16)
+    stored = chat.private_rows(df, key)
+    assert all("llo" not in r.message for r in stored.collect())
+    back = chat.read_private(stored, key).orderBy("id").collect()
+    assert [(r.message, r.admin_id, r.is_from_admin, r.attachments) for r in back] == [("héllo", "admin", False, []), ("héllo", "x", True, ["f"])]
+    assert [r.message for r in chat.read_private(stored, other).collect()] == [None, None]
+
+
+def test_nested_observations(spark):
+    one = '{"user_id": "u", "variant": "A", "metric_value": 1.5, "timestamp": "t", "metadata": null}'
+    df = spark.createDataFrame([("e", f'{{"observations": [{one}, {one}, {one}]}}'), ("none", None), ("empty", '{"observations": []}')],
+                               "id STRING, results STRING")
+    rows = experiments.observations(df).collect()
+    assert [(r.experiment_id, r.variant, r.metric_value) for r in rows] == [("e", "A", 1.5)] * 3
