@@ -84,37 +84,49 @@ def _boundary_states(chunks: DataFrame, fold: Fold, key: str) -> dict[int, tuple
     if not runs:
         return {}
 
-    cut = chunks.filter(F.col(key).isin(list(runs)))
-    state: dict[int, object] = {}  # start of a run's second and later chunks
+    cut = chunks.filter(F.col(key).isin(list(runs))).select(
+        "chunk", F.col(key).alias("k"), *fold.columns)
+    begin: dict[tuple[int, object], object] = {}  # (chunk, key) -> start to try
+    drift = {}
     if fold.drift() is not None:
-        sums = {(r["chunk"], r["k"]): r["s"] for r in cut.groupBy("chunk", F.col(key).alias("k")).agg(
-            F.sum(fold.drift()).alias("s")).collect()}
+        sums = chunks.filter(F.col(key).isin(list(runs))).groupBy("chunk", F.col(key).alias("k")).agg(F.sum(fold.drift()).alias("s"))
+        drift = {(r["chunk"], r["k"]): r["s"] for r in sums.collect()}
     for k, run in runs.items():
         guess = fold.start()
-        for chunk, following in zip(run, run[1:]):
-            guess = fold.guess(guess, sums[chunk, k]) if fold.drift() is not None else fold.start()
-            state[following] = guess
+        for chunk in run[:-1]:
+            begin[chunk, k] = guess
+            guess = fold.guess(guess, drift[chunk, k]) if drift else fold.start()
 
     ends: dict[tuple[int, object], tuple[object, object]] = {}  # (chunk, key) -> (start used, end)
-    todo = {(chunk, k): state[chunk] if i else fold.start() for k, run in runs.items() for i, chunk in enumerate(run[:-1])}
+    done = dict.fromkeys(runs, 0)  # leading chunks of a run whose start is known to be right
+    starts: dict[int, tuple[object, object]] = {}
+    todo, first = begin, True
     while todo:
         wanted = cut.filter(F.col("chunk").isin(sorted({chunk for chunk, _ in todo})))
-        for r in wanted.mapInPandas(_ender(fold, key, todo), f"chunk INT, k {_type(chunks, key)}, state STRING").collect():
+        for r in wanted.mapInPandas(_ender(fold, todo), f"chunk INT, k {_type(chunks, key)}, state STRING").collect():
             ends[r["chunk"], r["k"]] = (todo[r["chunk"], r["k"]], json.loads(r["state"]))
         todo = {}
         for k, run in runs.items():
+            state, settled, wrong = fold.start(), 0, []
             for chunk, following in zip(run, run[1:]):
                 used, end = ends[chunk, k]
-                begin = fold.start() if chunk == run[0] else state[chunk]
-                if used != begin:
-                    shifted = fold.reuse(used, end, begin)
-                    if shifted is None:
-                        todo[chunk, k] = begin
+                if used != state:
+                    moved = fold.reuse(used, end, state)
+                    if moved is None:
+                        wrong.append((chunk, state))
                     else:
-                        end = shifted
-                        ends[chunk, k] = (begin, end)
-                state[following] = fold.carry(end)
-    return {chunk: (k, state[chunk]) for k, run in runs.items() for chunk in run[1:]}
+                        end = moved
+                        ends[chunk, k] = (state, end)
+                settled += not wrong
+                state = fold.carry(end)
+                starts[following] = (k, state)
+            # Starts behind the first wrong chunk are hopes. As many are tried as the last round's success
+            # suggests, so a state that never settles costs no more than reading its chunks in turn.
+            hopes = len(wrong) if first else 1 + 2 * (settled - done[k])
+            done[k] = settled
+            todo.update({(chunk, k): state for chunk, state in wrong[:hopes]})
+        first = False
+    return starts
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -146,13 +158,13 @@ def _decider(fold: Fold, key: str, starts: dict[int, tuple[object, object]]):
     return run
 
 
-def _ender(fold: Fold, key: str, begin: dict[tuple[int, object], object]):
+def _ender(fold: Fold, begin: dict[tuple[int, object], object]):
     def run(batches):
         import pandas as pd
 
         states: dict[tuple[int, object], object] = {}
         for pdf in batches:
-            for chunk, k, *row in zip(pdf["chunk"].tolist(), pdf[key].tolist(), *(pdf[c].tolist() for c in fold.columns)):
+            for chunk, k, *row in zip(pdf["chunk"].tolist(), pdf["k"].tolist(), *(pdf[c].tolist() for c in fold.columns)):
                 if (chunk, k) not in states:
                     if (chunk, k) not in begin:
                         continue
