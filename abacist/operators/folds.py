@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 from abacist.session import shared_dir
 
 
+CHUNK_ROWS = 50_000
+
+
 class Fold:
     """What a replay does with one row. States are small JSON values."""
 
@@ -53,12 +56,15 @@ def range_chunks(rows: DataFrame, key: str, order: Sequence[str], partitions: in
     """``rows`` sorted by (key, order) over range partitions, with their number as ``chunk``.
 
     A key with many rows spans several chunks. The checkpoint fixes which rows a chunk holds (a second run
-    could draw other bounds) and is where the work restarts if executors are lost.
+    could draw other bounds) and is where the work restarts if executors are lost. Unless given, the number of
+    partitions follows the rows, up to the session's shuffle partitions.
     """
     spark = rows.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, min(most, -(-rows.count() // CHUNK_ROWS)))
     shared_dir(spark)
-    ranged = rows.repartitionByRange(count, key, *order).sortWithinPartitions(key, *order)
+    ranged = rows.repartitionByRange(partitions, key, *order).sortWithinPartitions(key, *order)
     return ranged.withColumn("chunk", F.spark_partition_id()).checkpoint()
 
 

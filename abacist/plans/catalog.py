@@ -18,8 +18,17 @@ def _collect(attribute: str) -> dict:
     return merged
 
 
+def _in_utc(query):
+    """The query with the session's zone pinned: days and ISO texts must not depend on where it runs."""
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {name: _in_utc(query) for name, query in _collect("QUERIES").items()}
 
 
 def oracles() -> dict[str, str]:

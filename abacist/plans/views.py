@@ -243,8 +243,10 @@ def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> D
     text = text.replace("{", "{{").replace("}", "}}").replace("{{" + table + "}}", "{source}")
     path = f"{sf_dir}/{table}.parquet"
     rows = spark.read.parquet(path)
-    # As a pattern the path may be one file as well as a folder of files.
-    return spark.sql(text, source=spark.readStream.schema(rows.schema).parquet(path[:-1] + "[t]") if stream else rows)
+    if stream:
+        # As a pattern the path may be one file as well as a folder of files; a batch is bounded by its bytes.
+        rows = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", 1 << 30).parquet(path[:-1] + "[t]")
+    return spark.sql(text, source=rows)
 
 
 def with_views(names: str, body: str) -> str:
