@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions.timing import at, on_day
+from abacist.sources import sinks
 
 GRANT = 4
 GRANT_COLUMN = "free_daily_coins_last_grant_date"
@@ -44,6 +45,24 @@ def grant_ledger(granted: DataFrame, as_of: datetime, description: str = "Daily
         F.lit(as_of).alias("created_at"))
 
 
+def run_daily_grant(users: DataFrame, coins: DataFrame, coins_path: str, ledger_path: str, as_of: datetime) -> DataFrame:
+    """Write the next coins snapshot and the day's ledger rows; returns the number of grants.
+
+    The ledger is taken from the snapshot just written, so the join runs once and both agree even if the job
+    is restarted in between.
+    """
+    sinks.write_snapshot(daily_grant(users, coins, as_of), coins_path, as_of)
+    written = sinks.read_snapshot(users.sparkSession, coins_path, as_of)
+    sinks.write_snapshot(grant_ledger(written, as_of), ledger_path, as_of)
+    return written.agg(F.count_if("granted").alias("granted_to_users"))
+
+
+def run_delete_old_chats(chats: DataFrame, path: str, as_of: datetime, days: int = 7) -> DataFrame:
+    """Write the chats that stay as the next snapshot; returns the number of deleted ones."""
+    sinks.write_snapshot(delete_old_chats(chats, as_of, days), path, as_of)
+    return count_old_chats(chats, as_of, days)
+
+
 def grant_on_read(coins: DataFrame, as_of: datetime) -> DataFrame:
     """The twin that runs when wallets are read: a grant where the last one was before today or never."""
     start = datetime(as_of.year, as_of.month, as_of.day)

@@ -35,9 +35,9 @@ class Cells:
 
 @dataclass
 class Index:
-    """Unit vectors with their cell and block."""
+    """The vectors as given, with their cell and block."""
 
-    rows: DataFrame  # id, unit, cell, block
+    rows: DataFrame  # id, v, cell, block
     cells: Cells
 
 
@@ -72,10 +72,10 @@ def build_index(vectors: DataFrame, id_column: str = "id", vector: str = "embedd
             cell = angles.argmin(axis=1)
             angle = angles[np.arange(len(cell)), cell]
             cell[~units.any(axis=1)] = empty
-            yield pd.DataFrame({"id": pdf["id"], "unit": list(units), "cell": cell, "angle": angle})
+            yield pdf.assign(cell=cell, angle=angle)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    assigned = rows.mapInPandas(assign, f"id {kind}, unit ARRAY<DOUBLE>, cell INT, angle DOUBLE")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    assigned = rows.mapInPandas(assign, f"{kinds}, cell INT, angle DOUBLE")
     shared_dir(vectors.sparkSession)
     assigned = assigned.checkpoint()
     near, far = np.zeros(empty + 1), np.full(empty + 1, math.pi)
@@ -130,7 +130,7 @@ def _search(probes: DataFrame, index: Index, parts: int, k: int, kinds: tuple[st
     def best(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame()
-        matrix, ids = np.stack(rows["unit"].to_numpy()), rows["id"].to_numpy()
+        matrix, ids = _units(rows["v"]), rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         matrix, ids = matrix[order], ids[order]
         units, names = np.stack(queries["unit"].to_numpy()), queries["query_id"].to_numpy()
@@ -177,7 +177,7 @@ def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str
                 if ids is None:
                     ids = np.zeros((len(units), k), dtype=own.dtype)
                 ids = ids.astype(np.result_type(ids, own), copy=False)
-                matrix = np.stack(rows["unit"].to_numpy())
+                matrix = _units(rows["v"])
                 for s in range(0, len(units), SLICE):
                     part = np.arange(s, min(s + SLICE, len(units)))
                     if cell < len(about.pivots):
@@ -197,7 +197,7 @@ def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str
             at, place = np.nonzero(np.isfinite(scores))
             yield pd.DataFrame({"query_id": names[at], "id": ids[at, place], "score": scores[at, place]})
 
-    found = index.rows.select("id", "unit", "cell").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
+    found = index.rows.select("id", "v", "cell").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
     return _ranked(found, k)
 
 

@@ -17,8 +17,9 @@ def daily_active_users(ai_sessions: DataFrame, as_of: datetime, days: int = 30)
     The two-step distinct spreads a busy day over (day, user) groups, pre-aggregated on the map side.
     """
     return (ai_sessions.filter(since(ai_sessions, "started_at", as_of, days))
-            .select(day_of("started_at").alias("date"), "user_id").distinct()
-            .groupBy("date").agg(F.count("user_id").alias("active_users")).orderBy("date"))
+            .select(F.to_date("started_at").alias("date"), "user_id").distinct()
+            .groupBy("date").agg(F.count("user_id").alias("active_users"))
+            .orderBy("date").withColumn("date", day_of("date")))
 
 
 def _purchases(transactions: DataFrame, as_of: datetime, days: int) -> DataFrame:
@@ -33,9 +34,9 @@ def purchase_totals(transactions: DataFrame, as_of: datetime, days: int = 30) ->
 
 
 def purchase_trend(transactions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    return (_purchases(transactions, as_of, days).groupBy(day_of("created_at").alias("date"))
+    return (_purchases(transactions, as_of, days).groupBy(F.to_date("created_at").alias("date"))
             .agg(F.abs(F.sum("amount")).alias("coins_purchased"), F.count(F.lit(1)).alias("transaction_count"))
-            .orderBy("date"))
+            .orderBy("date").withColumn("date", day_of("date")))
 
 
 def usage_totals(ai_sessions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
@@ -48,10 +49,10 @@ def usage_totals(ai_sessions: DataFrame, as_of: datetime, days: int = 30) -> Dat
 
 def usage_trend(ai_sessions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     return (ai_sessions.filter(since(ai_sessions, "started_at", as_of, days))
-            .groupBy(day_of("started_at").alias("date"))
+            .groupBy(F.to_date("started_at").alias("date"))
             .agg(F.coalesce(F.sum("minutes_used"), F.lit(0.0)).alias("minutes_used"),
                  F.count(F.lit(1)).alias("session_count"))
-            .orderBy("date"))
+            .orderBy("date").withColumn("date", day_of("date")))
 
 
 def payment_failures(transactions: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:

@@ -53,7 +53,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "stream_moderation": with_views("chat_messages", batch_safety._CHECKED + """
+    "stream_moderation": with_views("chat_messages", batch_safety.CHECKED + """
         SELECT m.id, CASE WHEN coalesce(top, 0) < 0.7 THEN 'approved' ELSE 'blocked' END AS outcome,
                CASE WHEN top > 0.8 THEN 'medium' WHEN top >= 0.7 THEN 'low' END AS severity
         FROM chat_messages m LEFT JOIN found USING (id)"""),

@@ -92,7 +92,7 @@ _RULES = "rules(pos, category, pattern, spelt, severity) AS (VALUES " + ", ".joi
     f"({i}, '{c}', '{p}', '{_spelt(p)}', {harm.SEVERITY[c]})" for i, (c, p) in enumerate(_FLAT)) + ")"
 _ADVICE = "advice(category, lines) AS (VALUES " + ", ".join(
     f"('{c}', '{';'.join(lines)}')" for c, lines in harm.ADVICE.items()) + ")"
-_CHECKED = f""", {_RULES}, {_ADVICE},
+CHECKED = f""", {_RULES}, {_ADVICE},
   hits AS (SELECT m.id, r.pos, r.category, r.pattern, r.severity FROM chat_messages m, rules r
            -- the ASCII form holds wherever the exact one does, and is cheap
            WHERE CASE WHEN regexp_matches(lower(message), pattern) THEN regexp_matches(lower(message), spelt) ELSE false END),
@@ -111,18 +111,18 @@ def _sql_intents(text: str) -> str:
 
 
 ORACLES = {
-    "content_safety": with_views("chat_messages", _CHECKED + """
+    "content_safety": with_views("chat_messages", CHECKED + """
         , s AS (SELECT m.id, coalesce(violations, '') AS violations,
                   coalesce(top, 0) + CASE WHEN user_age < 18 AND explicit THEN 0.5 ELSE 0 END AS score, recommendations
                 FROM chat_messages m LEFT JOIN found USING (id) LEFT JOIN advised USING (id))
         SELECT id, violations, round(score, 6) AS severity_score, score < 0.7 AS is_safe,
                CASE WHEN score < 0.7 THEN '' ELSE recommendations END AS recommendations FROM s"""),
-    "chat_moderation": with_views("chat_messages", _CHECKED + """
+    "chat_moderation": with_views("chat_messages", CHECKED + """
         SELECT m.id, user_id, coalesce(top, 0) < 0.7 AS approved,
                CASE WHEN coalesce(top, 0) < 0.7 THEN 'Message approved'
                     ELSE 'Message blocked due to safety concerns: ' || categories END AS verdict
         FROM chat_messages m LEFT JOIN found USING (id)"""),
-    "chat_moderation_incidents": with_views("chat_messages", _CHECKED + f"""
+    "chat_moderation_incidents": with_views("chat_messages", CHECKED + f"""
         SELECT m.id, 'harmful_content' AS incident_type, CASE WHEN top > 0.8 THEN 'medium' ELSE 'low' END AS severity,
                'Harmful content detected in global chat' AS description, user_id,
                CASE WHEN length(message) > 200 THEN substr(message, 1, 200) || '...' ELSE message END AS content_snippet,

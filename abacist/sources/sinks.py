@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abacist.sources.tables import conform
@@ -38,6 +39,21 @@ def upsert(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], newest:
     return joined.select(*columns)
 
 
+def write_snapshot(rows: DataFrame, path: str, as_of: datetime) -> None:
+    """A whole table as of a time, in a folder of its own: the table it was derived from stays readable, and a
+    job that runs again replaces its own result only.
+    """
+    rows.write.mode("overwrite").parquet(_snapshot(path, as_of))
+
+
+def read_snapshot(spark: SparkSession, path: str, as_of: datetime) -> DataFrame:
+    return spark.read.parquet(_snapshot(path, as_of))
+
+
+def _snapshot(path: str, as_of: datetime) -> str:
+    return f"{path}/as_of={as_of:%Y-%m-%dT%H-%M-%S}"
+
+
 def export(rows: DataFrame, path: str, fmt: str = "json", time_column: str = "timestamp") -> None:
     """Write an export partitioned by the date of its ISO time column."""
     rows.withColumn("date", F.substring(time_column, 1, 10)).write.mode("overwrite").partitionBy("date").format(fmt).save(path)

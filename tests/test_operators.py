@@ -327,3 +327,47 @@ def test_nested_observations(spark):
                                "id STRING, results STRING")
     rows = experiments.observations(df).collect()
     assert [(r.experiment_id, r.variant, r.metric_value) for r in rows] == [("e", "A", 1.5)] * 3
+
+
+def test_jobs_written_twice_are_written_once(spark, tmp_path):
+    users = spark.createDataFrame([("a",), ("b",)], "id STRING")
+    coins = spark.createDataFrame([("a", 1, NOW)], "user_id STRING, balance BIGINT, free_daily_coins_last_grant_date TIMESTAMP")
+    for _ in range(2):
+        done = jobs.run_daily_grant(users, coins, str(tmp_path / "coins"), str(tmp_path / "ledger"), NOW + timedelta(hours=1))
+        assert done.first().granted_to_users == 1
+    ledger = sinks.read_snapshot(spark, str(tmp_path / "ledger"), NOW + timedelta(hours=1))
+    assert [(r.user_id, r.amount) for r in ledger.collect()] == [("b", 4)]
+    chats = spark.createDataFrame([("old", NOW - timedelta(days=8)), ("new", NOW)], "id STRING, created_at TIMESTAMP")
+    assert jobs.run_delete_old_chats(chats, str(tmp_path / "chats"), NOW).first().deleted_chats == 1
+    assert [r.id for r in sinks.read_snapshot(spark, str(tmp_path / "chats"), NOW).collect()] == ["new"]
+
+
+def test_newest_first_with_id_as_tie_break(spark):
+    rows = [("2", "u", "open", NOW), ("1", "u", "open", NOW), ("3", "v", "open", NOW + timedelta(1)), ("4", "v", "closed", NOW)]
+    df = spark.createDataFrame(rows, "id STRING, user_id STRING, status STRING, created_at TIMESTAMP")
+    assert [r.id for r in support.tickets_by_status(df, "open", 2).collect()] == ["3", "1"]
+    assert [r.id for r in support.tickets_of_user(df, "u").collect()] == ["1", "2"]
+    assert [r.id for r in registry.list_models(df, status="open").collect()] == ["3", "1", "2"]
+
+
+def test_share_of_variants(spark):
+    pairs = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"), F.lit("e").alias("experiment_id"))
+    tests = spark.createDataFrame([("e", 0.3)], "id STRING, traffic_split DOUBLE")
+    share = experiments.assign(pairs, tests).filter("variant = 'A'").count() / 20_000
+    assert abs(share - 0.3) < 0.015
+
+
+def test_hot_model_and_user_keep_their_rows(spark):
+    """A third of all rows on one key: counts stay whole and only the latest ten per user are ranked."""
+    rows = spark.range(30_000).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "m").otherwise(F.concat(F.lit("m"), F.col("id") % 9)).alias("model_version_id"),
+        F.lit("correction").alias("feedback_type"), (F.col("id") % 6).alias("rating"), F.lit("text").alias("user_correction"),
+        (F.col("id") % 2 == 0).alias("consent_given"), F.lit(True).alias("pii_sanitized"), F.lit(None).cast("string").alias("metadata_json"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("created_at"))
+    report = {r.user_id: r for r in feedback.privacy_report(rows).collect()}
+    assert report["hot"].total_feedback_items == 10_000 and sum(r.total_feedback_items for r in report.values()) == 30_000
+    assert feedback.privacy_history(rows).count() == 30_000
+    assert feedback.training_corrections(rows).groupBy().count().first()[0] == 15_000
+    status = {r.user_id: r for r in feedback.consent_status(rows).collect()}
+    assert all(len(r.consent_history) == 10 for r in status.values())

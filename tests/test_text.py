@@ -5,6 +5,8 @@ import re
 import zipfile
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from abacist.functions import harm, pii
@@ -55,6 +57,15 @@ def test_pii_on_whole_documents(spark):
         assert row.sanitized_text == python_redact(row.text)
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(alphabet="aZé1@.- \n_,9ß\u0130\u017f", max_size=60), min_size=20, max_size=60))
+def test_pii_on_any_text(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    for row in feedback.redact(df, "text").collect():
+        assert row.pii_types == python_detect(row.text), repr(row.text)
+        assert row.sanitized_text == python_redact(row.text), repr(row.text)
+
+
 def test_ingest_rejects_and_flags(spark):
     df = spark.createDataFrame(
         [("1", "u", "correction", None, "fine", None), ("2", "u", "correction", True, "call 555-123-4567", None),
