@@ -36,6 +36,12 @@ class Fold:
         """(next state, output values)"""
         raise NotImplementedError
 
+    def advance(self, state, columns):
+        """State after all rows of ``columns`` (one array each); a fold that can skip rows overrides this."""
+        for row in zip(*(column.tolist() for column in columns)):
+            state, _ = self.step(state, row)
+        return state
+
     def drift(self) -> Column | None:
         """Column whose sum helps to guess the state after some rows."""
         return None
@@ -170,12 +176,12 @@ def _ender(fold: Fold, begin: dict[tuple[int, object], object]):
 
         states: dict[tuple[int, object], object] = {}
         for pdf in batches:
-            for chunk, k, *row in zip(pdf["chunk"].tolist(), pdf["k"].tolist(), *(pdf[c].tolist() for c in fold.columns)):
-                if (chunk, k) not in states:
-                    if (chunk, k) not in begin:
-                        continue
-                    states[chunk, k] = _copy(begin[chunk, k])
-                states[chunk, k], _ = fold.step(states[chunk, k], row)
+            # Sorted rows of one chunk: few keys, each in one piece.
+            for (chunk, k), rows in pdf.groupby(["chunk", "k"], sort=False):
+                place = (int(chunk), k)
+                if place in begin:
+                    state = states[place] if place in states else _copy(begin[place])
+                    states[place] = fold.advance(state, [rows[c].to_numpy() for c in fold.columns])
         if states:
             yield pd.DataFrame([(c, k, json.dumps(s)) for (c, k), s in states.items()], columns=["chunk", "k", "state"])
 

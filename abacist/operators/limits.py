@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +40,45 @@ class Admission(Fold):
     def start(self):
         return [[], []]
 
-    def step(self, state, row):
-        action, now = row
+    @staticmethod
+    def _forget(state, now):
         queries, sessions = state
         while queries and now - queries[0] >= HOUR:
             queries.pop(0)
         while sessions and now - sessions[0] >= DAY:
             sessions.pop(0)
+
+    def advance(self, state, columns):
+        """Refused rows leave no trace, so it is enough to visit those that may be admitted: a few hundred an hour."""
+        action, times = columns
+        if not len(times):
+            return state
+        query_at, session_at = np.flatnonzero(action == "query"), np.flatnonzero(action == "session_start")
+
+        def following(places, i):
+            j = np.searchsorted(places, i)
+            return int(places[j]) if j < len(places) else len(times)
+
+        i = 0
+        while i < len(times):
+            state, (allowed, _, _) = self.step(state, (action[i], int(times[i])))
+            queries, sessions = state
+            free = queries[0] + HOUR if len(queries) >= QUERIES_PER_HOUR else 0
+            if len(queries) >= QUERIES_PER_MINUTE:
+                free = max(free, queries[-QUERIES_PER_MINUTE] + MINUTE)
+            if allowed:
+                i += 1
+            elif free > times[i]:
+                i = int(np.searchsorted(times, free))
+            else:
+                i = min(following(query_at, i + 1), following(session_at, max(i + 1, np.searchsorted(times, sessions[0] + DAY))))
+        self._forget(state, int(times[-1]))
+        return state
+
+    def step(self, state, row):
+        action, now = row
+        self._forget(state, now)
+        queries, sessions = state
         violations, wait = [], 0
         if len(queries) >= QUERIES_PER_MINUTE and now - queries[-QUERIES_PER_MINUTE] < MINUTE:
             violations.append("queries_per_minute")
