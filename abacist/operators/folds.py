@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from abacist.session import shared_dir
+from abacist.session import scratch_path, shared_dir
 
 
 CHUNK_ROWS = 50_000
@@ -78,12 +78,12 @@ def replay(rows: DataFrame, fold: Fold, key: str, order: Sequence[str], partitio
     """``rows`` with the fold's output columns; rows of a key are taken in ``order``, which must be unique."""
     columns = rows.columns
     chunks = range_chunks(rows, key, order, partitions)
-    starts = _boundary_states(chunks, fold, key)
+    starts = _boundary_states(chunks, fold, key, order)
     schema = StructType(chunks.drop("chunk").schema.fields + StructType.fromDDL(fold.output).fields)
     return chunks.mapInPandas(_decider(fold, key, starts), schema).select(*columns, *StructType.fromDDL(fold.output).names)
 
 
-def _boundary_states(chunks: DataFrame, fold: Fold, key: str) -> dict[int, tuple[object, object]]:
+def _boundary_states(chunks: DataFrame, fold: Fold, key: str, order: Sequence[str]) -> dict[int, tuple[object, object]]:
     """chunk -> (key, state) for chunks that begin in the middle of a key.
 
     The driver sees one row per partition here, never the keys' rows.
@@ -96,8 +96,13 @@ def _boundary_states(chunks: DataFrame, fold: Fold, key: str) -> dict[int, tuple
     if not runs:
         return {}
 
-    cut = chunks.filter(F.col(key).isin(list(runs))).select(
-        "chunk", F.col(key).alias("k"), *fold.columns)
+    # Only keys that span chunks are looked at again, and only the columns that matter: one folder per chunk, so
+    # that a round reads no more than the chunks it tries.
+    spark, path = chunks.sparkSession, scratch_path(chunks.sparkSession, "replay")
+    needed = dict.fromkeys([*order, *fold.columns])
+    cut = chunks.filter(F.col(key).isin(list(runs))).select("chunk", F.col(key).alias("k"), *needed)
+    cut.write.partitionBy("chunk").parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
     begin: dict[tuple[int, object], object] = {}  # (chunk, key) -> start to try
     drift = {}
     if fold.drift() is not None:
@@ -114,8 +119,8 @@ def _boundary_states(chunks: DataFrame, fold: Fold, key: str) -> dict[int, tuple
     starts: dict[int, tuple[object, object]] = {}
     todo, first = begin, True
     while todo:
-        wanted = cut.filter(F.col("chunk").isin(sorted({chunk for chunk, _ in todo})))
-        for r in wanted.mapInPandas(_ender(fold, todo), f"chunk INT, k {_type(chunks, key)}, state STRING").collect():
+        wanted = cut.filter(F.col("chunk").isin(sorted({chunk for chunk, _ in todo}))).repartition("chunk")
+        for r in wanted.sortWithinPartitions("chunk", "k", *order).mapInPandas(_ender(fold, todo), f"chunk INT, k {_type(chunks, key)}, state STRING").collect():
             ends[r["chunk"], r["k"]] = (todo[r["chunk"], r["k"]], json.loads(r["state"]))
         todo = {}
         for k, run in runs.items():
