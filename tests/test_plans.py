@@ -28,7 +28,7 @@ def test_no_pairs_of_everything(spark, name):
     ("dashboard_summary", r"LessThan\(ts,2024-01-31T00:00\)"), ("sink_range_export", r"LessThanOrEqual\(ts,2024-01-20T12:00\)"),
 ])
 def test_time_filters_reach_the_scan(spark, name, pushed):
-    assert re.search(r"PushedFilters: \[[^\]]*" + pushed, plan(spark, name))
+    assert re.search(r"PushedFilters: .*" + pushed + r".*ReadSchema", plan(spark, name))
 
 
 @pytest.mark.parametrize("name", ["consent_status", "wallet_recent", "model_metrics_recent", "version_compare", "rapid_fire_gaps",
