@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,32 @@ class Sessions(_Budget):
     def start(self):
         return [0, None, None, 0, None]
 
+    def advance(self, state, columns):
+        """Starts during a live session and refusals change nothing, so only payments and credits are visited."""
+        kind, amount, times, event = columns
+        is_credit = kind == "credit"
+        earned = np.concatenate([[0], np.cumsum(np.where(is_credit, amount, 0))])
+        credit_at, other_at, extend_at = (np.flatnonzero(x) for x in (is_credit, ~is_credit, kind == "extend"))
+
+        def following(places, i):
+            j = np.searchsorted(places, i)
+            return int(places[j]) if j < len(places) else len(times)
+
+        i = 0
+        while i < len(times):
+            if is_credit[i]:
+                after, stop = i, following(other_at, i)
+            else:
+                state, (outcome, *_) = self.step(state, (kind[i], int(amount[i]), int(times[i]), event[i]))
+                after = stop = i + 1
+                if outcome == "live":
+                    stop = min(following(extend_at, after), max(after, int(np.searchsorted(times, state[3]))))
+                elif outcome == "rejected":
+                    stop = following(credit_at, after)
+            state[0] += int(earned[stop] - earned[after])
+            i = stop
+        return state
+
     def step(self, state, row):
         kind, amount, now, event = row
         live = state[3] > now

@@ -371,3 +371,11 @@ def test_hot_model_and_user_keep_their_rows(spark):
     assert feedback.training_corrections(rows).groupBy().count().first()[0] == 15_000
     status = {r.user_id: r for r in feedback.consent_status(rows).collect()}
     assert all(len(r.consent_history) == 10 for r in status.values())
+
+
+def test_estimated_users_are_near(spark):
+    df = spark.range(40_000).select((F.col("id") % 9_000).cast("string").alias("user_id"),
+                                    F.timestamp_seconds(F.lit(1_706_000_000) + F.col("id")).alias("started_at"))
+    exact = {r.date: r.active_users for r in usage.daily_active_users(df, NOW).collect()}
+    near = {r.date: r.active_users for r in usage.daily_active_users(df, NOW, error=0.01).collect()}
+    assert exact.keys() == near.keys() and all(abs(near[d] - n) <= 0.05 * n for d, n in exact.items())

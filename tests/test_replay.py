@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,12 +85,27 @@ def python_sessions(rows):
 
 
 @pytest.mark.parametrize("partitions", [1, 25])
-def test_sessions(spark, partitions):
-    rows = events(2, ["start", "extend", "credit", "credit"])
+@pytest.mark.parametrize("kinds", [["start", "extend", "credit", "credit"], ["start"] * 20 + ["credit"], ["start"] * 9 + ["credit"] * 9 + ["extend"]])
+def test_sessions(spark, partitions, kinds):
+    rows = events(2, kinds)
     got = wallet.session_replay(frame(spark, rows), partitions).collect()
     assert {r.id: (r.outcome, r.session_id, r.balance_after) for r in got} == python_sessions(rows)
 
 
+@pytest.mark.parametrize("fold, row", [
+    (wallet.Sessions(), lambda rng, i: (rng.choice(["start", "start", "extend", "credit"]), rng.randrange(9), i * 90_000_000, str(i))),
+    (limits.Admission(), lambda rng, i: (rng.choice(["query", "query", "session_start", "other"]), i * 5_000_000)),
+])
+def test_advance_is_step_by_step(fold, row):
+    rng = random.Random(9)
+    for size in (1, 2, 17, 400):
+        rows = [row(rng, i) for i in range(size)]
+        stepped = fold.start()
+        for r in rows:
+            stepped, _ = fold.step(stepped, r)
+        assert fold.advance(fold.start(), [np.array(c) for c in zip(*rows)]) == stepped
+
+
 def python_admission(rows):
     out = {}
     for user in in_order(rows).values():
