@@ -35,9 +35,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For processor-bound work on whole texts: at least one partition per core.
+    """For processor-bound work on whole texts of a plain read: at least one partition per core.
 
-    Large inputs already arrive in more splits than that and are left alone.
+    Large inputs already arrive in more splits than that and are left alone, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
