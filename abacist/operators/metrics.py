@@ -77,15 +77,14 @@ def histogram(rows: DataFrame, name: str, labels: Sequence[str], value: str,
 
     One aggregation counts all bounds; the buckets are unpivoted from its few result rows.
     """
-    counts = [F.count_if(F.col(value) <= F.lit(b)).alias(f"b{i}") for i, b in enumerate(bounds)]
+    counts = [F.expr(f"count_if(`{value}` <= {b}D) AS b{i}") for i, b in enumerate(bounds)]
     wide = rows.filter(F.col(value).isNotNull()).groupBy(*labels).agg(
         *counts, F.sum(value).alias("sum"), F.count(F.lit(1)).alias("count"))
-    buckets = F.array(*(F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)),
-                      F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("n")))
+    buckets = ", ".join([f"struct('{b}' AS le, b{i} AS bucket_count)" for i, b in enumerate(bounds)] + ["struct('+Inf' AS le, count AS bucket_count)"])
     return wide.select(
         F.lit(name).alias("histogram"), F.to_json(F.struct(*labels), {"ignoreNullFields": "false"}).alias("labels"),
-        F.explode(buckets).alias("bucket"), "sum", "count",
-    ).select("histogram", "labels", "bucket.le", F.col("bucket.n").alias("bucket_count"), "sum", "count")
+        F.expr(f"inline(array({buckets}))"), "sum", "count",
+    )
 
 
 def recent_per_version(model_metrics: DataFrame, limit: int = 100, metric_type: str | None = None) -> DataFrame:

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python call sites on every column expression cost more than small plans themselves.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
