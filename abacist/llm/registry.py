@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_files", "token_counts")
+MODULES = ("token_files", "token_counts", "divergence")
 
 
 def _collect(attribute: str) -> dict:
