@@ -6,12 +6,13 @@ exactly the tokens of the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct pieces kept at once by a task; beyond it the table starts anew.
-TABLE_PIECES = 400_000
+TABLE_PIECES = 600_000
 
 
 class Slots(dict):
@@ -28,12 +29,12 @@ class Slots(dict):
 
 
 class PieceTable:
-    """Token ids by piece; ``encode`` maps a list of pieces to the number of ids of each and all ids in a row.
+    """Token ids by piece; ``encode`` maps a list of pieces to the number of ids of each, where they begin, and the ids.
 
     Where only the numbers are wanted, ``encode`` returns no ids.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = TABLE_PIECES) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = TABLE_PIECES) -> None:
         self.encode, self.most = encode, most
         self._empty()
 
@@ -43,19 +44,20 @@ class PieceTable:
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def look_up(self, texts: Iterable[list]) -> list[np.ndarray]:
-        """Slots of the pieces of each text; pieces met for the first time are encoded together."""
+    def look_up(self, pieces: pa.Array) -> np.ndarray:
+        """The slot of every piece; those met for the first time are encoded together. Slots hold until the next call."""
         if len(self.slots) > self.most:
             self._empty()
-        get = self.slots.__getitem__
-        found = [np.fromiter(map(get, pieces), np.int64, len(pieces)) for pieces in texts]
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
         fresh, self.slots.fresh = self.slots.fresh, []
         if fresh:
-            counts, ids = self.encode(fresh)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            counts, starts, ids = self.encode(fresh)
+            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
             self.counts = np.concatenate([self.counts, counts])
             self.flat = np.concatenate([self.flat, ids])
-        return found
+        return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
     def gather(self, slots: np.ndarray) -> np.ndarray:
         """The ids of all pieces in a row."""
@@ -65,6 +67,12 @@ class PieceTable:
         return self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(total)]
 
 
+def by_text(lists: pa.ListArray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values of each list's elements; ``values`` has one for every element, in order."""
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
+
+
 def in_batches(pieces: list, limit: int):
     """Consecutive ranges of ``pieces`` of about ``limit`` bytes or characters each."""
     at, held = 0, 0

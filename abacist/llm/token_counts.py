@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abacist.llm.arrow import slices, text_bytes
-from abacist.llm.pieces import PieceTable, in_batches
+from abacist.llm.arrow import slices
+from abacist.llm.pieces import PieceTable, by_text, in_batches
 
 ROWS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Bytes of distinct pieces that go to the tokenizer at once.
@@ -38,21 +39,20 @@ class Lengths:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        mark = self.separator.encode()
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts, at = [], 0
-        for i in [*(i for i, p in enumerate(pieces) if mark in p), len(pieces)]:
+        for i in [*(i for i, p in enumerate(pieces) if self.separator in p), len(pieces)]:
             words = pieces[at:i]
             for a, b in in_batches(words, BATCH_BYTES):
-                ids = self.whole(mark.join(words[a:b]).decode())
+                ids = self.whole(self.separator.join(words[a:b]))
                 parts = np.diff(np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])) - 1
                 if len(parts) != b - a:
                     raise RuntimeError("the separator did not stand alone")
                 counts.append(parts)
             if i < len(pieces):
-                counts.append([len(self.whole(pieces[i].decode()))])
+                counts.append([len(self.whole(pieces[i]))])
             at = i + 1
-        return np.concatenate(counts).astype(np.int64), np.zeros(0, np.uint32)
+        return np.concatenate(counts).astype(np.int64), np.zeros(len(pieces), np.int64), np.zeros(0, np.uint32)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, separator: str, limit: int) -> DataFrame:
@@ -61,11 +61,13 @@ def token_counts(docs: DataFrame, tokenizer: str, separator: str, limit: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(Lengths(tokenizer, separator))
         for batch in slices(batches):
-            texts = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
-            totals = [int(table.counts[slots].sum()) for slots in table.look_up(texts)]
+            texts = pc.fill_null(batch.column("text"), "")
+            lists = pc.ascii_split_whitespace(texts)
+            slots = table.look_up(lists.flatten())
+            totals = by_text(lists, table.counts[slots])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(text_bytes(batch.column("text")), pa.int64()), pa.array(totals, pa.int64()),
-                 pa.array([n > limit for n in totals], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(totals, pa.int64()),
+                 pa.array(totals > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(count, ROWS)

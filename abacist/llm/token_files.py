@@ -19,70 +19,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacist.llm.arrow import slices
-from abacist.llm.pieces import PieceTable, in_batches
+from abacist.llm.pieces import PieceTable, by_text, in_batches
 from abacist.session import scratch_path
 
 SHARDS = "shard int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Bytes of distinct pieces that go to the tokenizer as one text.
-JOINED_BYTES = 1 << 16
+#: Characters of distinct pieces that go to the tokenizer as one text.
+JOINED = 2048
 #: Stands for a null doc_id in a file.
 NO_ID = np.iinfo(np.int64).min
 
 #: Texts in which a cut at every space and around every line feed might not be one of the tokenizer's own cuts: other white
-#: space, white space in a row, the cut mark itself, or the beginning of a special token.
-IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\x00|<\|")
+#: space, white space in a row, the cut mark itself, or the beginning of a special token. These go to the tokenizer whole.
+IRREGULAR = (r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+             r"|[ \n][ \n]|\x00|<\|")
 
 
-def byte_level_pieces(text: str) -> list:
-    """Words with the space before them, and line feeds; byte-level tokenizers never join over these cuts.
-
-    An irregular text is one piece, marked by a tuple.
-    """
-    if IRREGULAR.search(text):
-        return [(text,)]
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+def byte_level_pieces(texts: pa.Array) -> pa.ListArray:
+    """Words with the space before them, and line feeds; byte-level tokenizers never join over these cuts."""
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+    return pc.split_pattern(marked, "\x00")
 
 
 class ByteLevel:
-    """The tokenizers library over lists of pieces; words go to it joined by line feeds, which stay tokens of their own."""
+    """The tokenizers library over lists of pieces.
+
+    Words with their space go to it joined; which ids are whose is seen from the bytes that the ids stand for. Words without a
+    space are put after a line feed, whose id is dropped again.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line_feed = self.whole("\n")
-        if len(self.line_feed) != 1:
-            raise ValueError("the vocabulary has no token of its own for a line feed")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a character of a byte-level token is a byte
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def __call__(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        alone = [i for i, p in enumerate(pieces) if not p or p == "\n" or type(p) is tuple]
-        counts, flat, at = [], [], 0
-        for i in [*alone, len(pieces)]:
-            words = pieces[at:i]
-            for a, b in in_batches(words, JOINED_BYTES):
-                ids = self.whole("\n".join(words[a:b]))
-                feeds = ids == self.line_feed[0]
-                parts = np.diff(np.concatenate([[-1], np.flatnonzero(feeds), [len(ids)]])) - 1
-                if len(parts) != b - a:
-                    raise RuntimeError("a line feed was joined with its neighbours")
-                counts.append(parts)
-                flat.append(ids[~feeds])
-            if i < len(pieces):
-                ids = self.whole(pieces[i][0] if type(pieces[i]) is tuple else pieces[i])
-                counts.append([len(ids)])
-                flat.append(ids)
-            at = i + 1
-        return np.concatenate(counts).astype(np.int64), np.concatenate(flat)
+        return np.array(self.encode([text])[0], np.uint32)
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["".join(pieces[a:b]) for a, b in in_batches(pieces, JOINED)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self.encode(texts)])
+        ends = np.cumsum(self.n_bytes[ids])
+        cuts = np.cumsum([len(p.encode()) for p in pieces])
+        at = np.searchsorted(ends, cuts)
+        if not np.array_equal(ends[at], cuts):
+            raise RuntimeError("the tokenizer joined two pieces")
+        return np.diff(np.concatenate([[0], at + 1])), ids
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        flat, size = [], 0
+
+        def put(some: list[int], n: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal size
+            counts[some], starts[some] = n, size + np.cumsum(n) - n
+            flat.append(ids)
+            size += len(ids)
+
+        alone = [i for i, p in enumerate(pieces) if p in ("", " ", "\n")]
+        for i in alone:
+            ids = self.whole(pieces[i])
+            put([i], np.array([len(ids)]), ids)
+        spaced = [i for i, p in enumerate(pieces) if p[:1] == " " and p != " "]
+        if spaced:
+            put(spaced, *self._joined([pieces[i] for i in spaced]))
+        bare = [i for i, p in enumerate(pieces) if p[:1] not in ("", " ", "\n")]
+        if bare:
+            n, ids = self._joined(["\n" + pieces[i] for i in bare])
+            put(bare, n - 1, np.delete(ids, np.cumsum(n) - n))
+        return counts, starts, np.concatenate(flat)
+
+
+def encode_texts(texts: pa.Array, table: PieceTable, tokenizer: ByteLevel) -> Iterator[np.ndarray]:
+    """The ids of every text in turn."""
+    texts = pc.fill_null(texts, "")
+    irregular = pc.match_substring_regex(texts, IRREGULAR)
+    lists = byte_level_pieces(texts.filter(pc.invert(irregular)))
+    slots = table.look_up(lists.flatten())
+    bounds = np.concatenate([[0], np.cumsum(by_text(lists, table.counts[slots]))])
+    ids, at = table.gather(slots), 0
+    for i, odd in enumerate(irregular.to_pylist()):
+        if odd:
+            yield tokenizer.whole(texts[i].as_py())
+        else:
+            yield ids[bounds[at]:bounds[at + 1]]
+            at += 1
 
 
 def _open(uri: str, mode: str):
@@ -129,17 +164,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary:
         store.create_dir(path, recursive=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(ByteLevel(tokenizer))
+        library = ByteLevel(tokenizer)
+        table = PieceTable(library)
         shard, doc_ids, lengths = TaskContext.get().partitionId(), [], []
 
         def chunks():
             for batch in slices(batches):
                 doc_ids.extend(NO_ID if x is None else x for x in batch.column("doc_id").to_pylist())
-                texts = [byte_level_pieces(x or "") for x in batch.column("text").to_pylist()]
-                for slots in table.look_up(texts):
-                    ids = np.append(table.gather(slots), end_id).astype(kind)
-                    lengths.append(len(ids))
-                    yield ids.tobytes()
+                for ids in encode_texts(batch.column("text"), table, library):
+                    lengths.append(len(ids) + 1)
+                    yield np.append(ids, end_id).astype(kind).tobytes()
 
         _put(f"{folder}/{shard}.ids", chunks())
         _put(f"{folder}/{shard}.off", [np.cumsum([0, *lengths], dtype="<i8").tobytes()])
@@ -148,7 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary:
                                           "n_ids": [sum(lengths)]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")) \
+        .repartitionByRange(F.asc_nulls_first("doc_id")) \
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     shards, base, rows = ordered.mapInArrow(encode, SHARDS).collect(), 0, []
     for shard in sorted(shards, key=lambda x: x.shard):
