@@ -35,7 +35,7 @@ STRIP = 1 << 17
 #: Bounds of the training sample: documents by label (those first by a hash of their id) and bytes of each, in blocks spread
 #: evenly over the whole text.
 SAMPLE_DOCS, SAMPLE_BLOCKS = 1500, 32
-EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.02, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.02, 1e-4
 #: Every fifth document by checksum of its id never trains.
 FOLDS = 5
 CUT = 0.3
