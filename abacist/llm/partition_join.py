@@ -11,7 +11,9 @@ documents have (they are kept out of the segments). A set gets further segments
 indexed a second time, with all its shingles and its empty segments, and meets its like there.
 
 Equal sets are joined first. A signature that several sets share gives one pair for each of them with the smallest of them, not
-all pairs; pairs between different components of what that links are compared afterwards, so no link between components is lost.
+all pairs. Two of them that are not both linked to the smallest may still be linked with each other: such pairs are found by
+their differences from it (see ``_compared``) and verified too, unless links connect them already, so no link between components
+is lost.
 
 Shingles are 64-bit hashes of words; two different ones of a pair of sets of n elements agree with odds of about n² / 2⁶⁴.
 
@@ -219,8 +221,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int, tables: Tables, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar enough, by their whole sets."""
+def _with_sets(pairs: DataFrame, docs: DataFrame, width: int, tables: Tables, name: str) -> DataFrame:
+    """``pairs`` (a, b) with the whole sets of both, x and y."""
     wanted = tables.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -228,11 +230,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int, tab
     sets = tables.save(_sets(whole, width).dropDuplicates(["node"]), f"{name}-sets")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    close = pairs.join(left, "a").join(right, "b").where(q * both >= p * (F.size("x") + F.size("y") - both))
-    out = tables.save(close.select("a", "b"), f"{name}-edges")
-    tables.drop(f"{name}-nodes", f"{name}-sets")
-    return out
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _compared(pairs: DataFrame, p: int, q: int, common: np.ndarray) -> DataFrame:
+    """a, b, linked and, as ``prefix``, the first elements of b's difference from a.
+
+    Two sets b and c that are similar enough, of which b is not so to a, have differences from a that overlap: with D the most
+    that c may differ from b, by at least (|b's| + |c's| - D) / 2 elements. As b's difference is above its own D, that is over
+    (1 - (q - p) / (q + p)) / 2 of c's difference, and at least what b's is above D. So some element is among the first ones of
+    both, in any order; here what a or very many documents have comes last, as it would pair unlike documents.
+    """
+    order = np.sort(common)
+
+    def first(x: np.ndarray, y: np.ndarray, linked: bool) -> np.ndarray:
+        added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+        late = np.isin(added, order, assume_unique=True)
+        ordered = np.concatenate([added[~late], np.sort(np.concatenate([added[late], removed]))])
+        n, most = len(ordered), difference(len(y), p, q)
+        shared = max(1, n - most)
+        if linked:
+            shared = max(shared, n * p // (q + p) + 1)
+        return ordered[:n - shared + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, prefix = [], []
+            for at in range(batch.num_rows):
+                x, y = (batch.column(c)[at].values.to_numpy().view(np.uint64) for c in "xy")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(q * both >= p * (len(x) + len(y) - both))
+                prefix.append(first(x, y, linked[-1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()),
+                                              pa.array(prefix, pa.list_(pa.int64()))], names=["a", "b", "linked", "prefix"])
+
+    return pairs.mapInArrow(run, "a long, b long, linked boolean, prefix array<long>")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
@@ -265,30 +297,29 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
     members = tables.save(signed.drop("signatures"), "members")
     tables.drop("signed")
 
-    rows = nodes.select("node", "n", F.explode("signatures").alias("signature"))
-    shared = tables.save(rows.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("rows"))
-                         .where("first <> last"), "shared")
-    met = rows.join(shared, "signature")
-    pairs = tables.save(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = _verified(pairs, docs, width, p, q, tables, "star")
+    rows = nodes.select("node", F.explode("signatures").alias("signature"))
+    shared = tables.save(rows.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+                         .select("signature", "first"), "shared")
+    pairs = tables.save(rows.join(shared, "signature").where("node <> first")
+                        .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    stars = tables.save(_compared(_with_sets(pairs, docs, width, tables, "star"), p, q, index.common), "stars")
+    edges = stars.where("linked").select("a", "b")
     linked = tables.save(components(edges, tables, "linked"), "linked")
 
-    # What the pairs with the smallest member have not linked: only buckets that still hold several components.
-    several = met.where("rows > 2").join(linked, "node", "left") \
-        .select("signature", "node", "n", "first", F.coalesce("component", "node").alias("component"))
-    several = tables.save(several, "several")
-    open_ones = tables.save(several.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                            .where("low <> high").select("signature"), "open")
-    several = several.join(open_ones, "signature").where("node <> first")
-    a, b = (several.select("signature", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "ab")
-    rest = a.join(b, "signature").where(
-        (F.col("component_a") < F.col("component_b")) & (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))) \
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    # Pairs that share a signature with a smaller set, to which not both are linked, and that no links connect yet.
+    spread = stars.join(linked.withColumnRenamed("node", "b"), "b", "left") \
+        .select("a", "b", "linked", F.coalesce("component", "b").alias("component"), F.explode("prefix").alias("element"))
+    one = spread.where("not linked").select("a", "element", F.col("b").alias("one"), F.col("component").alias("of_one"))
+    two = spread.select("a", "element", F.col("b").alias("two"), F.col("component").alias("of_two"))
+    rest = one.join(two, ["a", "element"]).where("of_one <> of_two") \
+        .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
     rest = tables.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, docs, width, p, q, tables, "rest")
+    both = F.size(F.array_intersect("x", "y"))
+    more = tables.save(_with_sets(rest, docs, width, tables, "rest").where(q * both >= p * (F.size("x") + F.size("y") - both))
+                       .select("a", "b"), "more")
     if not more.isEmpty():
         linked = tables.save(components(edges.unionByName(more), tables, "all"), "all")
-    tables.drop("nodes", "shared", "pairs", "several", "open", "rest")
+    tables.drop("nodes", "shared", "pairs", "star-nodes", "star-sets", "stars", "rest", "rest-nodes", "rest-sets", "more")
 
     classes = classes.join(linked, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     return members.join(classes, key, "left").select(
