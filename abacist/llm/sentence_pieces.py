@@ -38,6 +38,7 @@ MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
 #: Kinds of models.
 UNIGRAM, MERGES = 1, 2
+HEAD_BITS = 20
 #: Stands for a character that is no piece.
 NO_PIECE = 0xFFFF
 #: Kinds of pieces in a model file.
@@ -113,6 +114,8 @@ class PieceModel:
             raise ValueError("two pieces share a hash")
         self.scores = np.array([s for _, s, _ in usable], np.float64)[order]
         self.ids = np.array([i for _, _, i in usable], np.int64)[order]
+        self.heads = np.zeros(1 << HEAD_BITS, bool)  # the keys' first bits: most probes end here
+        self.heads[self.keys >> np.uint64(64 - HEAD_BITS)] = True
         spelt = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind != NORMAL else p.replace(MARK, " ").encode()
                  for p, _, kind in self.pieces]
         self.spelt_counts = np.array([len(x) for x in spelt], np.int64)
@@ -195,14 +198,18 @@ class PieceModel:
             sizes = np.arange(min(self.longest, end), 0, -1)
             with np.errstate(over="ignore"):
                 keys = prefixes[:, end, None] - prefixes[:, end - sizes] * powers[sizes]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            ids = np.where(hit, self.ids[at], NO_PIECE)
+            rows_near, near = np.nonzero(self.heads[keys >> np.uint64(64 - HEAD_BITS)])
+            probes = keys[rows_near, near]
+            at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            hit = self.keys[at] == probes
+            at, rows_near, near = at[hit], rows_near[hit], near[hit]
+            ids, score = np.full(keys.shape, NO_PIECE), np.full(keys.shape, -np.inf)
+            ids[rows_near, near] = self.ids[at]
             if self.kind == UNIGRAM:
-                score = best[:, end - sizes] + np.where(hit, self.scores[at], -np.inf)
-                score[:, -1] = np.where(hit[:, -1], score[:, -1], best[:, end - 1] + self.unknown_score)
+                score[:, -1] = best[:, end - 1] + self.unknown_score
+                score[rows_near, near] = best[rows_near, end - sizes[near]] + self.scores[at]
             else:
-                score = np.where(hit & self.made[ids], 0.0, -np.inf)
+                score[rows_near, near] = np.where(self.made[self.ids[at]], 0.0, -np.inf)
                 score[:, -1] = 0.0
                 row, column = np.nonzero((score == 0) & (sizes < end))
                 border = self._may_follow(piece[row, end - sizes[column]], ids[row, column])
