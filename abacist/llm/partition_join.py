@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacist.llm.arrow import slices
+from abacist.llm.columns import fresh
 from abacist.llm.components import components
 from abacist.llm.tables import Tables
 
@@ -326,6 +327,34 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
+    """Rows of ``docs`` without those that are similar to one of a smaller doc_id, directly or by way of others.
+
+    Of several rows of one doc_id one stays; of rows without a doc_id those whose text no other row has, and one of equal ones.
+    """
+    found = jaccard_join(docs, width, p, q).where("doc_id is not null")
+    marks = found.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("copy"), F.count("*").alias("rows"))
+    id_name, copy_name = fresh(docs, "copy_id"), fresh(docs, "copy_of")
+    marks = Tables(docs.sparkSession, "one-of-each").save(
+        marks.where("copy or rows > 1").select(F.col("doc_id").alias(id_name), F.col("copy").alias(copy_name)), "marks")
+
+    def kept(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        listed = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+        return rows.join(listed.select(id_name), rows["doc_id"].cast("long") == listed[id_name], how)
+
+    out = kept(docs, marks, "left_anti")
+    repeated = marks.where(~F.col(copy_name))
+    if not repeated.isEmpty():
+        out = out.unionByName(kept(docs, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    if docs.where("doc_id is null").isEmpty():
+        return out
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    nameless = keyed.where("doc_id is null").dropDuplicates([key])
+    nameless = nameless.join(keyed.where("doc_id is not null").select(key).distinct(), key, "left_anti")
+    return out.where("doc_id is not null").unionByName(nameless.select(*docs.columns))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, p=90, q=100)
 
