@@ -52,18 +52,24 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, blocks
 
 
-def convolve(filters: np.ndarray, flat: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Answers of the filters at the positions of blocks ``first`` to ``last``: (blocks, positions, filters)."""
+def convolve(filters: np.ndarray, flat: np.ndarray, ends: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Answers of the filters at the positions of blocks ``first`` to ``last``: (blocks, positions, filters).
+
+    ``ends`` are the last blocks of the documents (of all, in order): what begins in the filling there and reaches into the next
+    document is no answer.
+    """
     a, b = first * BLOCK, last * BLOCK
     out = filters[0].take(flat[a:b], axis=0)
     for j in range(1, WIDTH):
         out += filters[j].take(flat[a + j:b + j], axis=0)
-    return out.reshape(last - first, BLOCK, FILTERS)
+    out = out.reshape(last - first, BLOCK, FILTERS)
+    out[ends[np.searchsorted(ends, first):np.searchsorted(ends, last)] - first, 1 - WIDTH:] = -np.inf
+    return out
 
 
-def block_maxima(filters: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
-    step = STRIP // BLOCK
-    parts = [convolve(filters, flat, i, min(n, i + step)).max(axis=1) for i in range(0, n, step)]
+def block_maxima(filters: np.ndarray, flat: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    step, ends, n = STRIP // BLOCK, np.cumsum(blocks) - 1, int(blocks.sum())
+    parts = [convolve(filters, flat, ends, i, min(n, i + step)).max(axis=1) for i in range(0, n, step)]
     return np.concatenate(parts) if parts else np.zeros((0, FILTERS), np.float32)
 
 
@@ -101,7 +107,7 @@ class Model:
             return np.zeros(0)
         flat, blocks = layout(texts)
         first, last, heads = chunk_bounds(blocks)
-        pooled = over_chunks(block_maxima(self.filters, flat, int(blocks.sum())), first, last)
+        pooled = over_chunks(block_maxima(self.filters, flat, blocks), first, last)
         logits = features(np.tanh(pooled + self.bias), heads) @ self.weights + self.offset
         return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
 
@@ -126,7 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float) -> Model:
             picked = order[at:at + BATCH]
             flat, blocks = layout([texts[i] for i in picked])
             first, last, heads = chunk_bounds(blocks)
-            answers = convolve(filters, flat, 0, int(blocks.sum()))
+            answers = convolve(filters, flat, np.cumsum(blocks) - 1, 0, int(blocks.sum()))
             where = answers.argmax(axis=1)
             maxima = np.take_along_axis(answers, where[:, None, :], axis=1)[:, 0, :]
             pooled = over_chunks(maxima, first, last)
