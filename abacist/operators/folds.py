@@ -19,9 +19,6 @@ from pyspark.sql.types import StructType
 from abacist.session import scratch_path, shared_dir
 
 
-CHUNK_ROWS = 50_000
-
-
 class Fold:
     """What a replay does with one row. States are small JSON values."""
 
@@ -63,12 +60,11 @@ def range_chunks(rows: DataFrame, key: str, order: Sequence[str], partitions: in
 
     A key with many rows spans several chunks. The checkpoint fixes which rows a chunk holds (a second run
     could draw other bounds) and is where the work restarts if executors are lost. Unless given, the number of
-    partitions follows the rows, up to the session's shuffle partitions.
+    partitions is the session's number of shuffle partitions, whatever the rows are.
     """
     spark = rows.sparkSession
     if partitions is None:
-        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(1, min(most, -(-rows.count() // CHUNK_ROWS)))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared_dir(spark)
     ranged = rows.repartitionByRange(partitions, key, *order).sortWithinPartitions(key, *order)
     return ranged.withColumn("chunk", F.spark_partition_id()).checkpoint()

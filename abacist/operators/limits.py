@@ -16,14 +16,18 @@ def fixed_window_limit(requests: DataFrame, client: str = "client", limit: int =
     """Adds ``window_start`` and ``allowed``: the first ``limit`` requests of a client per window pass.
 
     Only the first ``limit`` rows of each window are ranked (the rank filter runs before the shuffle);
-    every other row is judged against the last of them, so a crowded window is never sorted as a whole.
+    every other row is judged against the last of them, so a crowded window is never sorted as a whole. A row
+    without client or time belongs to no window and has no verdict (null).
     """
-    rows = requests.withColumn("window_start", F.window("ts", width).getField("start"))
+    nowhere = requests.where(F.col(client).isNull() | F.col("ts").isNull())
+    rows = requests.where(F.col(client).isNotNull()).withColumn("window_start", F.window("ts", width).getField("start"))
     first = Window.partitionBy(client, "window_start").orderBy("ts", "id")
     cut = (rows.select(client, "window_start", "ts", "id").withColumn("rn", F.row_number().over(first))
            .filter(F.col("rn") <= limit).groupBy(client, "window_start").agg(F.max(F.struct("ts", "id")).alias("cut")))
-    return (rows.join(cut, [client, "window_start"])
-            .withColumn("allowed", F.struct("ts", "id") <= F.col("cut")).drop("cut"))
+    judged = (rows.join(cut, [client, "window_start"])
+              .withColumn("allowed", F.struct("ts", "id") <= F.col("cut")).drop("cut"))
+    return judged.unionByName(nowhere.withColumns({"window_start": F.lit(None).cast(rows.schema["window_start"].dataType),
+                                                   "allowed": F.lit(None).cast("boolean")}).select(*judged.columns))
 
 
 # Limits per user, and the wait named when one is hit.

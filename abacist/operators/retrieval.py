@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 
 from abacist.session import shared_dir
 
-MAX_CELLS = 1024  # pivots held by every task: MAX_CELLS x dimension floats, whatever the index size
-CELL_ROWS = 500  # vectors per cell while that needs no more than MAX_CELLS
-BROADCAST_BYTES = 16 << 20  # queries up to this size travel to the index instead of meeting it in a shuffle
-BLOCK_ROWS = 20_000  # index rows one task compares at a time
-QUERY_ROWS = 20_000  # queries one task compares at a time
+QUERY_ROWS = 20_000  # queries that travel to the index at once; more make further passes over it
 SLICE = 256  # queries per matrix product
-SLACK = 1e-6  # widening of angle bounds against rounding
+SLACK = 1e-7  # of a score: more than rounding to 9 digits and the angles' own errors can move it
 
 
 @dataclass
@@ -30,14 +26,13 @@ class Cells:
     near: np.ndarray  # smallest and
     far: np.ndarray  # largest angle between a cell's vectors and its pivot
     size: np.ndarray
-    blocks: np.ndarray  # blocks per cell, so that a crowded cell is many tasks
 
 
 @dataclass
 class Index:
-    """The vectors as given, with their cell and block."""
+    """The vectors as given, with their cell."""
 
-    rows: DataFrame  # id, v, cell, block
+    rows: DataFrame  # id, v, cell
     cells: Cells
 
 
@@ -54,11 +49,11 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def build_index(vectors: DataFrame, id_column: str = "id", vector: str = "embedding", cells: int | None = None) -> Index:
     """Assign every vector to its nearest pivot; pivots are a hash-ordered pick of the vectors themselves.
 
+    Unless given, there are as many cells as the square root of the number of vectors, so cells and the vectors of one grow alike.
     The rows are checkpointed: an index is built once and searched many times.
     """
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
-    count = rows.count()
-    wanted = cells or min(MAX_CELLS, max(1, count // CELL_ROWS))
+    wanted = cells or max(1, math.isqrt(rows.count()))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     pivots = _units([r["v"] for r in picked]) if picked else np.zeros((1, 1))
     empty = len(pivots)
@@ -81,79 +76,19 @@ def build_index(vectors: DataFrame, id_column: str = "id", vector: str = "embedd
     near, far = np.zeros(empty + 1), np.full(empty + 1, math.pi)
     size = np.zeros(empty + 1, dtype=np.int64)
     stats = assigned.groupBy("cell").agg(F.min("angle").alias("near"), F.max("angle").alias("far"), F.count(F.lit(1)).alias("n"))
-    for r in stats.collect():  # at most MAX_CELLS + 1 rows
+    for r in stats.collect():  # one row for each cell
         size[r["cell"]] = r["n"]
         if r["cell"] != empty:
             near[r["cell"]], far[r["cell"]] = r["near"], r["far"]
-    blocks = np.maximum(1, -(-size // BLOCK_ROWS))
-    per_cell = F.array(*(F.lit(int(b)) for b in blocks))
-    placed = assigned.withColumn("block", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))).cast("int")).drop("angle")
-    return Index(placed, Cells(pivots, near, far, size, blocks))
-
-
-def _probes(about: Cells, k: int, bounded: bool):
-    """Rows (query_id, unit, worst, cell, block, part) for the cells a query has to look into.
-
-    Unbounded: the nearest cells that hold ``k`` vectors together. Bounded: every cell that may hold something
-    at least as near as the ``worst`` angle found so far; by the triangle inequality no other can.
-    """
-    cells = np.flatnonzero(about.size)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            units = _units(pdf["unit"])
-            to_pivot = np.full((len(pdf), len(about.size)), math.pi / 2)
-            to_pivot[:, :-1] = _angles(units, about.pivots)
-            zero = ~units.any(axis=1)
-            out = []
-            for i in range(len(pdf)):
-                if bounded:
-                    low = np.maximum(to_pivot[i] - about.far, about.near - to_pivot[i])
-                    low[-1] = 0.0
-                    chosen = cells if zero[i] else cells[low[cells] <= pdf["worst"].iat[i] + SLACK]
-                else:
-                    nearest = cells[np.argsort(to_pivot[i][cells], kind="stable")]
-                    chosen = nearest[: 1 + int(np.searchsorted(np.cumsum(about.size[nearest]), k))]
-                out += [(i, c, b) for c in chosen for b in range(about.blocks[c])]
-            at = np.array([i for i, _, _ in out], dtype=np.int64)
-            yield pd.DataFrame({
-                "query_id": pdf["query_id"].to_numpy()[at], "unit": pdf["unit"].to_numpy()[at], "part": pdf["part"].to_numpy()[at],
-                "cell": np.array([c for _, c, _ in out], dtype=np.int32), "block": np.array([b for _, _, b in out], dtype=np.int32)})
-
-    return run
-
-
-def _search(probes: DataFrame, index: Index, parts: int, k: int, kinds: tuple[str, str]) -> DataFrame:
-    """Best ``k`` per query: each (cell, block, part) is one bounded matrix product, and only its winners leave it."""
-    def best(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame()
-        matrix, ids = _units(rows["v"]), rows["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        matrix, ids = matrix[order], ids[order]
-        units, names = np.stack(queries["unit"].to_numpy()), queries["query_id"].to_numpy()
-        found = []
-        for s in range(0, len(units), SLICE):
-            scores = np.round(units[s:s + SLICE] @ matrix.T, 9)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found.append((np.repeat(names[s:s + SLICE], top.shape[1]), ids[top].ravel(),
-                          np.take_along_axis(scores, top, axis=1).ravel()))
-        return pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found)))))
-
-    copies = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = ["cell", "block", "part"]
-    found = probes.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
-        best, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
-    return _ranked(found, k)
+    return Index(assigned.drop("angle"), Cells(pivots, near, far, size))
 
 
 def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str, str]) -> DataFrame:
     """Best ``k`` per query and task, the queries broadcast: the index is read once and nothing of it moves.
 
     A task keeps ``k`` rows per query. A cell is skipped for the queries whose bound rules it out: with the
-    cells nearest to a query holding ``k`` vectors, the farthest of those is a bound on the k-th best angle.
+    cells nearest to a query holding ``k`` vectors, the farthest of those is a bound on the k-th best angle. Bounds are
+    compared as scores, where rounding decides, so near copies in other cells are not lost.
     """
     about, cells = index.cells, np.flatnonzero(index.cells.size)
     worst = np.full(len(units), math.pi)
@@ -183,7 +118,7 @@ def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str
                     if cell < len(about.pivots):
                         angle = _angles(units[part], about.pivots[cell:cell + 1])[:, 0]
                         low = np.maximum(angle - about.far[cell], about.near[cell] - angle)
-                        part = part[(low <= worst[part] + SLACK) | ~units[part].any(axis=1)]
+                        part = part[(np.cos(np.clip(low, 0.0, math.pi)) >= np.cos(worst[part]) - SLACK) | ~units[part].any(axis=1)]
                     if not len(part):
                         continue
                     found = np.round(units[part] @ matrix.T, 9)
@@ -197,8 +132,7 @@ def _scan(units: np.ndarray, names: list, index: Index, k: int, kinds: tuple[str
             at, place = np.nonzero(np.isfinite(scores))
             yield pd.DataFrame({"query_id": names[at], "id": ids[at, place], "score": scores[at, place]})
 
-    found = index.rows.select("id", "v", "cell").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
-    return _ranked(found, k)
+    return index.rows.select("id", "v", "cell").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -207,35 +141,24 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def topk(queries: DataFrame, index: Index, k: int = 5, id_column: str = "id", vector: str = "embedding",
-         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+         query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` index vectors of highest cosine for every query, exactly.
 
-    Few queries (by their counted size) are broadcast to the index. Many meet it by cell: the nearest cells
-    give each query a first bound, and the second pass visits only cells the bound cannot rule out. Scores are
+    Queries go to the index in batches of about ``query_rows`` by a hash of their id, each batch by way of the driver. Scores are
     rounded to 9 digits before ranking and ties go to the smaller id.
     """
     asked = queries.select(F.col(id_column).alias("query_id"), F.col(vector).cast("array<double>").alias("unit"))
     asked = asked.filter(F.col("unit").isNotNull())
     kinds = (asked.schema["query_id"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString())
-    count = asked.count()
-    if 0 < count * (index.cells.pivots.shape[1] * 8 + 64) <= broadcast_bytes:
-        rows = asked.collect()
-        return _scan(_units([r["unit"] for r in rows]), [r["query_id"] for r in rows], index, k, kinds)
-
-    parts = max(1, -(-count // QUERY_ROWS))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    normal = asked.mapInPandas(_normalised, asked.schema)
-    shape = f"query_id {kinds[0]}, unit ARRAY<DOUBLE>, part INT, cell INT, block INT"
-    first = _search(normal.mapInPandas(_probes(index.cells, k, False), shape), index, parts, k, kinds)
-    worst = first.filter(F.col("rank") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))).alias("worst"))
-    bounded = normal.join(worst, "query_id", "left").withColumn("worst", F.coalesce("worst", F.lit(math.pi)))
-    return _search(bounded.mapInPandas(_probes(index.cells, k, True), shape), index, parts, k, kinds)
-
-
-def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield pdf.assign(unit=list(_units(pdf["unit"])))
+    batches, found = max(1, -(-asked.count() // query_rows)), None
+    for batch in range(batches):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == batch).collect()
+        if rows:
+            some = _scan(_units([r["unit"] for r in rows]), [r["query_id"] for r in rows], index, k, kinds)
+            found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = index.rows.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
+    return _ranked(found, k)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:

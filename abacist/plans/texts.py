@@ -37,16 +37,17 @@ def _src_html_extract(spark, d):
 
 def _vector_topk(spark, d):
     vectors = view(spark, d, "vectors")
-    out = retrieval.vector_topk(vectors, vectors)
+    out = retrieval.vector_topk(vectors.filter(F.col("id") % 100 == 0), vectors)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "text", "source",
                       F.round("score", 6).alias("score"))
 
 
 def _rag_context(spark, d):
     vectors = view(spark, d, "vectors")
-    queries = vectors.select(F.col("id").alias("query_id"), F.concat(F.lit("what is "), "text", F.lit("?")).alias("query"),
-                             F.when(F.col("id") % 3 == 0, "direct").otherwise("rag").alias("mode"))
-    return retrieval.rag_context(queries, retrieval.vector_topk(vectors, vectors))
+    asked = vectors.filter(F.col("id") % 100 == 0)
+    queries = asked.select(F.col("id").alias("query_id"), F.concat(F.lit("what is "), "text", F.lit("?")).alias("query"),
+                             F.when(F.col("id") % 3 == 1, "direct").otherwise("rag").alias("mode"))
+    return retrieval.rag_context(queries, retrieval.vector_topk(asked, vectors))
 
 
 def _vowels(text: Column) -> Column:
@@ -131,7 +132,8 @@ QUERIES = {
 }
 
 _TOP = """, pairs AS (SELECT q.id AS query_id, v.id, v.text, v.source,
-    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM vectors q, vectors v),
+    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
+    FROM vectors q, vectors v WHERE CAST(q.id AS BIGINT) % 100 = 0),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs QUALIFY rank <= 5) """
 _VOWELS = " || ',' || ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{v}', '')) AS VARCHAR)" for v in "aeiou")
 
@@ -194,7 +196,8 @@ ORACLES = {
         , c AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS found FROM top GROUP BY 1),
         q AS (SELECT id AS query_id, 'Question: what is ' || text || '?' || chr(10) || chr(10)
                        || 'Provide an educational, helpful answer:' AS question,
-                     CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'direct' ELSE 'rag' END AS mode FROM vectors)
+                     CASE WHEN CAST(id AS BIGINT) % 3 = 1 THEN 'direct' ELSE 'rag' END AS mode
+              FROM vectors WHERE CAST(id AS BIGINT) % 100 = 0)
         SELECT query_id, mode, CASE WHEN mode = 'rag' THEN found ELSE '' END AS context,
                CASE WHEN mode = 'rag' THEN 'Context: ' || found || chr(10) || chr(10) || question ELSE question END AS prompt
         FROM q JOIN c USING (query_id)"""),

@@ -107,10 +107,14 @@ def _sink_upsert(spark, d):
 
 
 def _upsert_upi(spark, d):
+    """Users after the identifiers sent with purchases, and the refused ones of ids that no user has."""
     users = view(spark, d, "users").withColumn("upi_id", F.lit(None).cast("string"))
     changes = view(spark, d, "transactions").filter(F.col("type") == "purchase").select(
-        F.col("user_id").alias("id"), F.concat(F.lit("upi-"), "id").alias("upi_id"), "created_at")
-    return sinks.upsert(users, changes, ["id"], "created_at")
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("gone-"), "user_id")).otherwise(F.col("user_id")).alias("id"),
+        F.concat(F.lit("upi-"), "id").alias("upi_id"), "created_at")
+    after, refused = sinks.update(users, changes, ["id"], "created_at")
+    return after.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(refused.select("id", "upi_id", "reject_reason"),
+                                                                                      allowMissingColumns=True)
 
 
 def _settings_public(spark, d):
@@ -237,9 +241,11 @@ ORACLES = {
         SELECT gateway, merchant_id, salt_key, salt_index, qr_code_url, is_active, updated_by,
                {_AT.format('updated_at')} AS updated_at FROM settings"""),
     "sink_upsert_upi": with_views("users transactions", """
-        , changes AS (SELECT user_id, 'upi-' || id AS upi FROM transactions WHERE type = 'purchase'
-                      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC) = 1)
-        SELECT coalesce(u.id, user_id) AS id, email, upi AS upi_id FROM users u FULL JOIN changes ON u.id = user_id"""),
+        , sent AS (SELECT CASE WHEN CAST(id AS BIGINT) % 50 = 0 THEN 'gone-' || user_id ELSE user_id END AS id,
+                          'upi-' || id AS upi, created_at FROM transactions WHERE type = 'purchase'),
+        changes AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, upi DESC) = 1)
+        SELECT u.id, email, upi AS upi_id, NULL AS reject_reason FROM users u LEFT JOIN changes USING (id)
+        UNION ALL SELECT id, NULL, upi, 'not found' FROM sent WHERE id NOT IN (SELECT id FROM users)"""),
     "settings_public": with_views("gateway_settings", _SETTINGS + f"""
         SELECT gateway, merchant_id, qr_code_url, is_active, {_AT.format('updated_at')} AS updated_at FROM settings"""),
 }

@@ -8,31 +8,54 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from abacist.schemas import DEFAULTS
 from abacist.sources.tables import conform
 
 
-def append(rows: DataFrame, table: str, path: str, date_column: str | None = None) -> None:
-    """Append rows of a table, partitioned by the day of ``date_column`` where facts are written."""
-    out = conform(rows, table)
+def append(rows: DataFrame, table: str, path: str, batch: str, date_column: str | None = None) -> None:
+    """Add a batch of rows to a table, partitioned by the day of ``date_column`` where facts are written.
+
+    A batch has a folder of its own (``batch=...``), so a job that runs again replaces what it wrote and doubles nothing.
+    """
+    out, target = conform(rows, table), f"{path}/batch={batch}"
     if date_column is None:
-        out.write.mode("append").parquet(path)
+        out.write.mode("overwrite").parquet(target)
     else:
-        out.withColumn("day", F.to_date(date_column)).write.mode("append").partitionBy("day").parquet(path)
+        out.withColumn("day", F.to_date(date_column)).write.mode("overwrite").partitionBy("day").parquet(target)
+
+
+def latest(changes: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
+    """Per key the change with the latest ``newest``; of several, the greatest by its columns in order.
+
+    The rank filter runs before the shuffle, so a key changed very often sends one row per input partition.
+    """
+    ties = [F.col(c).desc() for c, kind in changes.dtypes if c != newest and c not in keys and not kind.startswith("map")]
+    order = Window.partitionBy(*keys).orderBy(F.col(newest).desc(), *ties)
+    return changes.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == 1).drop("rn")
+
+
+def update(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], newest: str) -> tuple[DataFrame, DataFrame]:
+    """The snapshot after changes of its own rows, and the changes of rows it does not have, with a ``reject_reason``."""
+    known = snapshot.select(*keys).distinct()
+    accepted = changes.join(known, list(keys), "left_semi")
+    refused = changes.join(known, list(keys), "left_anti").withColumn("reject_reason", F.lit("not found"))
+    return upsert(snapshot, accepted, keys, newest), refused
 
 
-def upsert(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
+def upsert(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str], newest: str, table: str | None = None) -> DataFrame:
     """The snapshot after the changes: per key the change with the latest ``newest``, else the old row.
 
-    Changes may lack columns (those of the snapshot are kept). The rank filter runs before the shuffle, so a
-    key changed very often sends one row per input partition.
+    Changes may lack columns: old rows keep theirs, new ones take the declared defaults of ``table``.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col(newest).desc(), F.hash(*changes.columns))
-    last = changes.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == 1).drop("rn")
+    last = latest(changes, keys, newest)
     kept = [c for c in snapshot.columns if c not in changes.columns]
+    defaults = DEFAULTS.get(table, {})
     joined = snapshot.withColumn("old", F.lit(True)).alias("s").join(last.withColumn("new", F.lit(True)).alias("c"), list(keys), "full_outer")
     columns = []
     for c in snapshot.columns:
-        if c in keys or c in kept:
+        if c in kept and c in defaults:
+            columns.append(F.when(F.col("old"), F.col(c)).otherwise(F.lit(defaults[c])).alias(c))
+        elif c in keys or c in kept:
             columns.append(F.col(c))
         else:
             columns.append(F.when(F.col("new"), F.col(f"c.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
@@ -55,5 +78,6 @@ def _snapshot(path: str, as_of: datetime) -> str:
 
 
 def export(rows: DataFrame, path: str, fmt: str = "json", time_column: str = "timestamp") -> None:
-    """Write an export partitioned by the date of its ISO time column."""
-    rows.withColumn("date", F.substring(time_column, 1, 10)).write.mode("overwrite").partitionBy("date").format(fmt).save(path)
+    """Write an export partitioned by the date of its ISO time column; dates that the rows do not have stay as they are."""
+    dated = rows.withColumn("date", F.substring(time_column, 1, 10)).write.mode("overwrite").partitionBy("date")
+    dated.option("partitionOverwriteMode", "dynamic").format(fmt).save(path)

@@ -35,9 +35,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For processor-bound work on whole texts of a plain read: at least one partition per core.
+    """``df`` over as many partitions as the setting ``spark.abacist.textPartitions`` says; untouched where it is not set.
 
-    Large inputs already arrive in more splits than that and are left alone, without a shuffle.
+    For processor-bound work on whole texts of an input with few splits; set it only where such a shuffle pays.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.abacist.textPartitions", None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -252,15 +252,13 @@ def vectors(spark, n, d, seed, clusters=5):
     return data, spark.createDataFrame([(f"{i:04d}", [float(x) for x in v]) for i, v in enumerate(data)], "id STRING, embedding ARRAY<DOUBLE>")
 
 
-@pytest.mark.parametrize("budget", [1 << 24, 0])
-def test_topk_is_brute_force(spark, budget, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(retrieval, "QUERY_ROWS", 30)
+@pytest.mark.parametrize("query_rows", [1000, 30])
+def test_topk_is_brute_force(spark, query_rows):
     data, df = vectors(spark, 400, 8, 1)
     asked, queries = vectors(spark, 70, 8, 2)
     index = retrieval.build_index(df, cells=12)
     got = {}
-    for r in retrieval.topk(queries, index, 5, broadcast_bytes=budget).collect():
+    for r in retrieval.topk(queries, index, 5, query_rows=query_rows).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     scores = np.round(unit(asked) @ unit(data).T, 9)
@@ -273,17 +271,31 @@ def test_topk_is_brute_force(spark, budget, monkeypatch):
 def test_topk_with_fewer_vectors_than_k(spark):
     _, df = vectors(spark, 3, 4, 3)
     assert retrieval.topk(df.limit(2), retrieval.build_index(df), 5).count() == 6
-    assert retrieval.topk(df.limit(2), retrieval.build_index(df), 5, broadcast_bytes=0).count() == 6
+    assert retrieval.topk(df.filter("false"), retrieval.build_index(df), 5).count() == 0
+
+
+def test_near_copies_in_other_cells_tie_by_id(spark):
+    angle = 1e-5
+    data = [("z", [1.0, 0.0]), ("a", [float(np.cos(angle)), float(np.sin(angle))]), ("m", [0.0, 1.0])]
+    df = spark.createDataFrame(data, "id STRING, embedding ARRAY<DOUBLE>")
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "id STRING, embedding ARRAY<DOUBLE>")
+    assert [r.id for r in retrieval.topk(query, retrieval.build_index(df, cells=3), 1).collect()] == ["a"]
+
+
+def test_cells_follow_the_vectors(spark):
+    _, df = vectors(spark, 400, 4, 3)
+    index = retrieval.build_index(df)
+    assert len(index.cells.pivots) == 20 and index.rows.select("cell").distinct().count() > 1
 
 
 def test_conform_and_append(spark, tmp_path):
     rows = spark.createDataFrame([("1", "u", NOW), ("2", "u", NOW + timedelta(days=1))], "id STRING, user_id STRING, created_at TIMESTAMP")
     path = str(tmp_path / "tickets")
-    sinks.append(rows, "support_tickets", path, "created_at")
-    sinks.append(rows, "support_tickets", path, "created_at")
+    for batch in ("one", "one", "two"):  # the first one twice, as a job that runs again does
+        sinks.append(rows, "support_tickets", path, batch, "created_at")
     back = tables.read(spark, "support_tickets", path)
     assert back.count() == 4 and {(r.status, r.priority) for r in back.collect()} == {("open", "medium")}
-    assert (tmp_path / "tickets" / "day=2024-01-31").exists()
+    assert (tmp_path / "tickets" / "batch=one" / "day=2024-01-31").exists()
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
@@ -301,6 +313,21 @@ def test_upsert(spark):
     assert got == {"a": (None, "keep"), "b": ("y", "keep"), "c": ("3", None)}
 
 
+def test_upsert_fills_declared_defaults(spark):
+    old = spark.createDataFrame([("1", "u", "closed", "high")], "id STRING, user_id STRING, status STRING, priority STRING")
+    new = spark.createDataFrame([("1", "v", 1), ("2", "w", 1)], "id STRING, user_id STRING, at INT")
+    got = {tuple(r) for r in sinks.upsert(old, new, ["id"], "at", "support_tickets").collect()}
+    assert got == {("1", "v", "closed", "high"), ("2", "w", "open", "medium")}
+
+
+def test_update_refuses_unknown_keys(spark):
+    old = spark.createDataFrame([("a", "x"), ("b", "y")], "k STRING, v STRING")
+    new = spark.createDataFrame([("a", "1", 1), ("a", "2", 1), ("z", "3", 1)], "k STRING, v STRING, at INT")
+    after, refused = sinks.update(old, new, ["k"], "at")
+    assert {tuple(r) for r in after.collect()} == {("a", "2"), ("b", "y")}
+    assert [(r.k, r.reject_reason) for r in refused.collect()] == [("z", "not found")]
+
+
 def test_export_both_ends(spark, tmp_path):
     rows = [("m", "t", 1.0, NOW), ("m", "t", 2.0, NOW + timedelta(days=1)), ("m", "t", 3.0, NOW + timedelta(days=1, microseconds=1))]
     df = spark.createDataFrame([(*r, None) for r in rows], "model_version_id STRING, metric_type STRING, value DOUBLE, collected_at TIMESTAMP, metadata_json STRING")
@@ -308,6 +335,8 @@ def test_export_both_ends(spark, tmp_path):
     assert sorted(r.value for r in out.collect()) == [1.0, 2.0]
     sinks.export(out, str(tmp_path / "out"))
     assert (tmp_path / "out" / "date=2024-02-01").exists()
+    sinks.export(metrics.export_metrics(df, NOW + timedelta(days=1), NOW + timedelta(days=1)), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2  # the first day is still there
 
 
 def test_private_chat_needs_its_key(spark):
