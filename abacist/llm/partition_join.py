@@ -8,7 +8,7 @@ without one element are). With levels t(i) of 0 and 1 a pair of difference D mus
 probed segments is above D. The levels are allocated by cost: the fewest signatures with which a set of the band's sizes is
 expected to get there. What would meet everybody is not probed at all: empty subsets, and shingles that a large part of all
 documents have (they are kept out of the segments). A set gets further segments in exchange; one that has not enough left is
-indexed a second time, with all its shingles and its empty segments, and meets its like there.
+indexed once more with all its shingles, and if that is not enough, with its empty segments too, and meets its like there.
 
 Equal sets are joined first. A signature that several sets share gives one pair for each of them with the smallest of them, not
 all pairs. Two of them that are not both linked to the smallest may still be linked with each other: such pairs are found by
@@ -155,9 +155,12 @@ class Partitions:
             scheme, need = self._scheme(k), difference(size, self.p, self.q) + 1
             found, enough = self._of(rare, scheme.m, scheme.m1, need, np.uint64(k << 24))
             out.append(found)
+            if not enough and len(rare) < size:
+                found, enough = self._of(elements, scheme.m, scheme.m1, need, np.uint64((1 << 40) + (k << 24)))
+                out.append(found)
             if not enough:
                 m = difference(self.starts[k + 1] - 1, self.p, self.q) + 1
-                out.append(self._of(elements, m, 0, need, np.uint64((1 << 40) + (k << 24)), True)[0])
+                out.append(self._of(elements, m, 0, need, np.uint64((2 << 40) + (k << 24)), True)[0])
         return np.unique(np.concatenate(out))
 
     @staticmethod
@@ -235,37 +238,46 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, width: int, tables: Tables, na
 
 
 def _compared(pairs: DataFrame, p: int, q: int, common: np.ndarray) -> DataFrame:
-    """a, b, linked and, as ``prefix``, the first elements of b's difference from a.
-
-    Two sets b and c that are similar enough, of which b is not so to a, have differences from a that overlap: with D the most
-    that c may differ from b, by at least (|b's| + |c's| - D) / 2 elements. As b's difference is above its own D, that is over
-    (1 - (q - p) / (q + p)) / 2 of c's difference, and at least what b's is above D. So some element is among the first ones of
-    both, in any order; here what a or very many documents have comes last, as it would pair unlike documents.
+    """a, b, linked, near (a similarity of a half), b's size, that of its difference from a (``apart``), and, as ``prefix``, the
+    first elements of this difference, of which ``short`` will do in one role.
+
+    Two sets b and c that are similar enough, of which b is not so to a, have differences from a that overlap, by at least half of
+    what both together are above the most that c may differ from b. With r = (q - p) / (q + p) the latter is r * (|b| + |c|),
+    while b's difference from a is above r * (|a| + |b|); so more than half of c's difference less r / 2 * (|c| - |a|) is shared,
+    and at least what b's is above its D. Then some element is among the first ones of both, in any order; here what a or very many
+    documents have comes last, as it would pair unlike documents.
     """
     order = np.sort(common)
 
-    def first(x: np.ndarray, y: np.ndarray, linked: bool) -> np.ndarray:
+    def first(x: np.ndarray, y: np.ndarray, linked: bool) -> tuple[int, np.ndarray, int]:
         added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
         late = np.isin(added, order, assume_unique=True)
         ordered = np.concatenate([added[~late], np.sort(np.concatenate([added[late], removed]))])
         n, most = len(ordered), difference(len(y), p, q)
-        shared = max(1, n - most)
-        if linked:
-            shared = max(shared, n * p // (q + p) + 1)
-        return ordered[:n - shared + 1]
+        far = max(1, n - most)
+        near = max(far, (n * (q + p) - (q - p) * (len(y) - len(x))) // (2 * (q + p)) + 1)
+        return n, ordered[:n - (near if linked else far) + 1], max(0, n - near + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, prefix = [], []
+            linked, near, size, apart, prefix, short = [], [], [], [], [], []
             for at in range(batch.num_rows):
                 x, y = (batch.column(c)[at].values.to_numpy().view(np.uint64) for c in "xy")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(q * both >= p * (len(x) + len(y) - both))
-                prefix.append(first(x, y, linked[-1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()),
-                                              pa.array(prefix, pa.list_(pa.int64()))], names=["a", "b", "linked", "prefix"])
+                near.append(3 * both >= len(x) + len(y))
+                n, elements, less = first(x, y, linked[-1])
+                size.append(len(y))
+                apart.append(n)
+                prefix.append(elements.view(np.int64))
+                short.append(less)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()),
+                 pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(prefix, pa.list_(pa.int64())),
+                 pa.array(short, pa.int32())], names=["a", "b", "linked", "near", "size", "apart", "prefix", "short"])
 
-    return pairs.mapInArrow(run, "a long, b long, linked boolean, prefix array<long>")
+    return pairs.mapInArrow(
+        run, "a long, b long, linked boolean, near boolean, size long, apart long, prefix array<long>, short int")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
@@ -307,20 +319,32 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
     edges = stars.where("linked").select("a", "b")
     linked = tables.save(components(edges, tables, "linked"), "linked")
 
-    # Pairs that share a signature with a smaller set, to which not both are linked, and that no links connect yet.
-    spread = stars.join(linked.withColumnRenamed("node", "b"), "b", "left") \
-        .select("a", "b", "linked", F.coalesce("component", "b").alias("component"), F.explode("prefix").alias("element"))
-    one = spread.where("not linked").select("a", "element", F.col("b").alias("one"), F.col("component").alias("of_one"))
-    two = spread.select("a", "element", F.col("b").alias("two"), F.col("component").alias("of_two"))
-    rest = one.join(two, ["a", "element"]).where("of_one <> of_two") \
-        .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    # Pairs that share a signature with a smaller set, to which not both are linked, and that no links connect yet. A set's home is
+    # the smallest near one it was compared with, else the smallest: two sets with one home are looked at there and nowhere else.
+    # From the first element that two differences share, in their order, on there must be as many left in both as they have to share.
+    homes = stars.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("near"), F.col("a"))), F.min("a")).alias("home"))
+    members_of = tables.save(stars.join(homes, "b").join(linked.withColumnRenamed("node", "b"), "b", "left")
+                             .withColumn("component", F.coalesce("component", "b")), "members-of")
+    groups = members_of.groupBy("a").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all_linked"),
+        F.min("home").alias("first_home"), F.max("home").alias("last_home"))
+    groups = groups.where("low <> high and not all_linked and (first_home <> last_home or first_home = a)").select("a")
+    spread = members_of.join(tables.save(groups, "groups"), "a", "left_semi") \
+        .select("a", "b", "linked", "component", "home", "size", "apart", "short", F.posexplode("prefix").alias("at", "element")) \
+        .withColumn("left", F.col("apart") - F.col("at"))
+    one, two = (some.select("a", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("b", "component", "home", "size", "apart", "left")])
+                for some, side in ((spread.where("not linked"), "one"), (spread.where("at < short"), "two")))
+    rest = one.join(two, ["a", "element"]).where("component_one <> component_two and (home_one <> home_two or home_one = a)") \
+        .where(2 * (q + p) * F.least("left_one", "left_two") >= (q + p) * (F.col("apart_one") + F.col("apart_two"))
+               - (q - p) * (F.col("size_one") + F.col("size_two"))) \
+        .select(F.least("b_one", "b_two").alias("a"), F.greatest("b_one", "b_two").alias("b")).distinct()
     rest = tables.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     both = F.size(F.array_intersect("x", "y"))
     more = tables.save(_with_sets(rest, docs, width, tables, "rest").where(q * both >= p * (F.size("x") + F.size("y") - both))
                        .select("a", "b"), "more")
     if not more.isEmpty():
         linked = tables.save(components(edges.unionByName(more), tables, "all"), "all")
-    tables.drop("nodes", "shared", "pairs", "star-nodes", "star-sets", "stars", "rest", "rest-nodes", "rest-sets", "more")
+    tables.drop("nodes", "shared", "pairs", "star-nodes", "star-sets", "stars", "members-of", "groups", "rest", "rest-nodes", "rest-sets", "more")
 
     classes = classes.join(linked, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     return members.join(classes, key, "left").select(
