@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.functions import pii
@@ -34,28 +34,51 @@ def anonymize(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Where an item belongs: kept as submitted by every kind of intake.
+PLACE = ("session_id", "chat_id", "model_version_id")
+
+
+def _anonymous(metadata: Column) -> Column:
+    """A metadata map with the coarse forms of user_id, email and ip_address in place of these."""
+    coarse = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("user_hash").alias("k"), pii.user_hash(metadata["user_id"]).alias("v")),
+        F.struct(F.lit("email_domain").alias("k"), pii.email_domain(metadata["email"]).alias("v")),
+        F.struct(F.lit("ip_region").alias("k"), pii.ip_region(metadata["ip_address"]).alias("v"))), lambda e: e["v"].isNotNull()))
+    rest = F.map_filter(metadata, lambda k, v: ~k.isin("user_id", "email", "ip_address", "user_hash", "email_domain", "ip_region"))
+    return F.map_concat(rest, coarse)
+
+
+def _merged(*objects: Column) -> Column:
+    """One JSON object from the members of several; null where all are empty or null."""
+    members = [F.nullif(F.substring(F.coalesce(o, F.lit("{}")), F.lit(2), F.length(F.coalesce(o, F.lit("{}"))) - 2), F.lit("")) for o in objects]
+    joined = F.concat_ws(",", *members)
+    return F.when(joined != "", F.concat(F.lit("{"), joined, F.lit("}")))
+
+
 def ingest(submissions: DataFrame) -> DataFrame:
     """Feedback rows from submissions, with ``reject_reason`` set instead of an error.
 
-    Columns: id, user_id, type, consent_given, correction, flagged_content, rating, model_version_id,
-    created_at. Corrections are only checked, flagged text is redacted.
+    Columns: id, user_id, type, consent_given, correction, flagged_content, rating, session_id, chat_id, model_version_id,
+    metadata (map of texts), created_at. Corrections are only checked, flagged text is redacted; metadata is made anonymous
+    and joined with what was found in the texts.
     """
     none = F.array().cast("array<string>")
     checked = submissions.select(
         "*", F.when(F.col("correction").isNotNull(), pii.detected(F.col("correction"))).otherwise(none).alias("in_correction"),
         F.when(F.col("flagged_content").isNotNull(), pii.detected(F.col("flagged_content"))).otherwise(none).alias("in_flagged"))
     rows = checked.select(
-        "id", "user_id", "model_version_id", F.coalesce("type", F.lit("general")).alias("feedback_type"), "rating",
+        "id", "user_id", *PLACE, "metadata", F.coalesce("type", F.lit("general")).alias("feedback_type"), "rating",
         F.coalesce("consent_given", F.lit(False)).alias("consent_given"), F.col("correction").alias("user_correction"),
         F.when(F.col("flagged_content").isNotNull(), pii.redacted(F.col("flagged_content"), F.col("in_flagged")))
         .alias("flagged_content"),
         F.array_sort(F.array_union("in_correction", "in_flagged")).alias("pii_types"), "created_at")
     # A correction is stored as given, so only text free of findings counts as sanitized; a submission
     # without a correction differs from nothing, and passes only when nothing was found either.
+    found = F.when(F.size("pii_types") > 0, F.to_json(F.struct(
+        F.col("pii_types").alias("pii_detected"), F.lit(True).alias("pii_sanitization_performed"))))
     return rows.select(
-        "*", (F.size("pii_types") == 0).alias("pii_sanitized"),
-        F.when(F.size("pii_types") > 0, F.to_json(F.struct(
-            F.col("pii_types").alias("pii_detected"), F.lit(True).alias("pii_sanitization_performed")))).alias("metadata_json"),
+        *[c for c in rows.columns if c != "metadata"], (F.size("pii_types") == 0).alias("pii_sanitized"),
+        _merged(F.to_json(_anonymous(F.col("metadata"))), found).alias("metadata_json"),
         F.when(F.col("feedback_type").isin(*TRAINING_TYPES) & ~F.col("consent_given"), F.lit("consent required"))
         .alias("reject_reason"))
 
@@ -63,15 +86,15 @@ def ingest(submissions: DataFrame) -> DataFrame:
 def ingest_ratings(ratings: DataFrame) -> DataFrame:
     """Rating rows; anything outside 1..5 (or missing) carries a ``reject_reason``."""
     return ratings.select(
-        "id", "user_id", F.lit("rating").alias("feedback_type"), "rating",
+        "id", "user_id", *PLACE, F.lit("rating").alias("feedback_type"), "rating",
         F.coalesce("consent_given", F.lit(False)).alias("consent_given"), F.lit(True).alias("pii_sanitized"),
-        F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), F.lit("rating out of range")).alias("reject_reason"))
+        F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), F.lit("rating out of range")).alias("reject_reason"), "created_at")
 
 
 def ingest_flags(flags: DataFrame) -> DataFrame:
-    """Flagged-response rows from (id, user_id, flagged_content, reason, created_at)."""
+    """Flagged-response rows from (id, user_id, session_id, chat_id, model_version_id, flagged_content, reason, created_at)."""
     return flags.select(
-        "id", "user_id", F.lit("flag_bad_response").alias("feedback_type"), "flagged_content",
+        "id", "user_id", *PLACE, F.lit("flag_bad_response").alias("feedback_type"), "flagged_content",
         F.lit(False).alias("consent_given"), F.lit(True).alias("pii_sanitized"),
         F.to_json(F.struct("reason", iso("created_at").alias("flagged_at"))).alias("metadata_json"), "created_at")
 
@@ -79,9 +102,9 @@ def ingest_flags(flags: DataFrame) -> DataFrame:
 def ingest_corrections(corrections: DataFrame) -> DataFrame:
     """Correction rows whose sanitized flag is the strict gate's verdict."""
     return corrections.select(
-        "id", "user_id", F.lit("correction").alias("feedback_type"), "user_correction",
+        "id", "user_id", *PLACE, F.lit("correction").alias("feedback_type"), "user_correction",
         F.coalesce("consent_given", F.lit(False)).alias("consent_given"),
-        pii.passes_gate(F.col("user_correction")).alias("pii_sanitized"))
+        pii.passes_gate(F.col("user_correction")).alias("pii_sanitized"), "created_at")
 
 
 def consent_requests(requests: DataFrame, retention_days: int = 365) -> DataFrame:

@@ -182,16 +182,17 @@ def rag_context(queries: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def interaction_rows(chats: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Index rows of stored interactions (id, session_id, user_id, query, response, error).
+    """Index rows of stored interactions (id, session_id, user_id, query, response, error, attachments, created_at).
 
-    A failed interaction is stored as "Error: ..." and not indexed. ``embed`` turns the text into a vector.
+    A failed interaction is stored as "Error: ..." without attachments and not indexed. ``embed`` turns the text into a vector.
     """
     failed = F.col("error").isNotNull()
     text = F.concat(F.lit("User: "), "query", F.lit("\nAI: "), "response")
     rows = chats.select(
         "id", "session_id", "user_id", F.col("query").alias("user_message"),
         F.when(failed, F.concat(F.lit("Error: "), "error")).otherwise(F.col("response")).alias("ai_response"),
-        F.when(~failed, text).alias("text"),
+        F.when(failed | F.col("attachments").isNull(), F.array().cast("array<string>")).otherwise(F.col("attachments")).alias("attachments"),
+        "created_at", F.when(~failed, text).alias("text"),
         F.when(~failed, F.concat(F.lit("user_interaction_"), "user_id")).alias("source"),
         F.when(~failed, F.lit("chat_history")).alias("type"))
     return rows if embed is None else rows.withColumn("embedding", F.when(F.col("text").isNotNull(), embed(F.col("text"))))

@@ -33,31 +33,45 @@ def _anonymize(spark, d):
     return op.anonymize(spread(view(spark, d, "pii_text")).select("id", "user_id", "email", "ip_address"))
 
 
+def _placed(rows):
+    """Rows with the session, chat, model and time that an item comes with."""
+    n = F.col("id").cast("bigint")
+    return rows.withColumns({
+        "session_id": F.concat(F.lit("s"), n % 40), "chat_id": F.when(n % 7 != 0, F.concat(F.lit("c"), n % 90)),
+        "model_version_id": F.when(n % 11 != 0, F.concat(F.lit("m"), n % 4)),
+        "created_at": F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=n.cast("int"))})
+
+
 def _feedback_ingest(spark, d):
-    text = spread(view(spark, d, "pii_text"))
+    text = _placed(spread(view(spark, d, "pii_text")))
+    sent = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (
+        ("page", "type"), ("user_id", "user_id"), ("email", "email"), ("ip_address", "ip_address"))]), lambda e: e["v"].isNotNull()))
     submissions = text.select(
-        "id", "user_id", "type", "consent_given", "rating", F.lit(None).cast("string").alias("model_version_id"),
+        "id", "user_id", "type", "consent_given", "rating", *op.PLACE,
+        F.when(F.col("id").cast("bigint") % 3 != 0, sent).alias("metadata"),
         F.when(F.col("type").isin("correction", "training_suggestion"), F.col("text")).alias("correction"),
         F.when(F.col("type") == "flag_bad_response", F.col("text")).alias("flagged_content"),
-        F.lit(None).cast("timestamp").alias("created_at"))
+        "created_at")
     return op.ingest(submissions).select(
-        "id", "user_id", "feedback_type", "consent_given", "user_correction", "pii_sanitized",
-        _joined("pii_types").alias("pii_types"), "metadata_json", "reject_reason")
+        "id", "user_id", *op.PLACE, "feedback_type", "rating", "consent_given", "user_correction", "pii_sanitized",
+        _joined("pii_types").alias("pii_types"), "metadata_json", "reject_reason", iso("created_at").alias("created_at"))
 
 
 def _rating_ingest(spark, d):
-    return op.ingest_ratings(spread(view(spark, d, "pii_text")))
+    return op.ingest_ratings(_placed(spread(view(spark, d, "pii_text")))).withColumn("created_at", iso("created_at"))
 
 
 def _flag_ingest(spark, d):
     flags = view(spark, d, "chat_messages").select(
-        "id", "user_id", F.col("message").alias("flagged_content"),
+        "id", "user_id", F.split("id", "-")[0].alias("session_id"), F.col("id").alias("chat_id"),
+        F.concat(F.lit("m"), F.col("user_age") % 4).alias("model_version_id"), F.col("message").alias("flagged_content"),
         F.when(F.col("user_age") > 18, "wrong").otherwise("unclear").alias("reason"), "created_at")
     return op.ingest_flags(flags).withColumn("created_at", iso("created_at"))
 
 
 def _correction_ingest(spark, d):
-    return op.ingest_corrections(spread(view(spark, d, "pii_text")).withColumnRenamed("text", "user_correction"))
+    rows = _placed(spread(view(spark, d, "pii_text"))).withColumnRenamed("text", "user_correction")
+    return op.ingest_corrections(rows).withColumn("created_at", iso("created_at"))
 
 
 def _consent_requests(spark, d):
@@ -114,6 +128,10 @@ QUERIES = {
 
 _TS = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"
 _CREATED = _TS.format("created_at")
+_PLACE = """'s' || CAST(CAST(id AS BIGINT) % 40 AS VARCHAR) AS session_id,
+               CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN 'c' || CAST(CAST(id AS BIGINT) % 90 AS VARCHAR) END AS chat_id,
+               CASE WHEN CAST(id AS BIGINT) % 11 <> 0 THEN 'm' || CAST(CAST(id AS BIGINT) % 4 AS VARCHAR) END AS model_version_id"""
+_PLACED_AT = _TS.format("TIMESTAMP '2024-01-01' + to_minutes(CAST(id AS BIGINT))") + " AS created_at"
 
 
 def _sql_text(pattern: str) -> str:
@@ -199,25 +217,34 @@ ORACLES = {
                   CASE WHEN type = 'flag_bad_response' THEN text END AS flagged FROM pii_text),
         f AS (SELECT *, list_sort(list_filter(string_split({_sql_detect("coalesce(user_correction, flagged, '')")}, ','),
                                               lambda x: x <> '')) AS found FROM s)
-        SELECT id, user_id, feedback_type, consent_given, user_correction,
+        , m AS (SELECT *, list_filter([
+                  CASE WHEN CAST(id AS BIGINT) % 3 <> 0 AND type IS NOT NULL THEN '"page":"' || type || '"' END,
+                  CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN '"user_hash":"' || substr(sha256(user_id), 1, 16) || '"' END,
+                  CASE WHEN CAST(id AS BIGINT) % 3 <> 0 AND email IS NOT NULL THEN '"email_domain":"'
+                       || CASE WHEN contains(email, '@') THEN string_split(email, '@')[-1] ELSE 'unknown' END || '"' END,
+                  CASE WHEN CAST(id AS BIGINT) % 3 <> 0 AND len(string_split(ip_address, '.')) = 4 THEN '"ip_region":"'
+                       || string_split(ip_address, '.')[1] || '.' || string_split(ip_address, '.')[2] || '.x.x"' END,
+                  CASE WHEN len(found) > 0 THEN '"pii_detected":["' || array_to_string(found, '","')
+                       || '"],"pii_sanitization_performed":true' END], lambda x: x IS NOT NULL) AS members FROM f)
+        SELECT id, user_id, {_PLACE}, feedback_type, rating, consent_given, user_correction,
                len(found) = 0 AS pii_sanitized, array_to_string(found, ',') AS pii_types,
-               CASE WHEN len(found) > 0 THEN '{{"pii_detected":["' || array_to_string(found, '","')
-                 || '"],"pii_sanitization_performed":true}}' END AS metadata_json,
+               CASE WHEN len(members) > 0 THEN '{{' || array_to_string(members, ',') || '}}' END AS metadata_json,
                CASE WHEN feedback_type IN ('correction', 'training_suggestion') AND NOT consent_given
-                    THEN 'consent required' END AS reject_reason
-        FROM f"""),
-    "rating_ingest": with_views("pii_text", """
-        SELECT id, user_id, 'rating' AS feedback_type, rating, consent_given, true AS pii_sanitized,
-               CASE WHEN rating IS NULL OR rating < 1 OR rating > 5 THEN 'rating out of range' END AS reject_reason
+                    THEN 'consent required' END AS reject_reason, {_PLACED_AT}
+        FROM m"""),
+    "rating_ingest": with_views("pii_text", f"""
+        SELECT id, user_id, {_PLACE}, 'rating' AS feedback_type, rating, consent_given, true AS pii_sanitized,
+               CASE WHEN rating IS NULL OR rating < 1 OR rating > 5 THEN 'rating out of range' END AS reject_reason, {_PLACED_AT}
         FROM pii_text"""),
     "flag_ingest": with_views("chat_messages", f"""
-        SELECT id, user_id, 'flag_bad_response' AS feedback_type, message AS flagged_content, false AS consent_given,
+        SELECT id, user_id, string_split(id, '-')[1] AS session_id, id AS chat_id, 'm' || CAST(user_age % 4 AS VARCHAR) AS model_version_id,
+               'flag_bad_response' AS feedback_type, message AS flagged_content, false AS consent_given,
                true AS pii_sanitized, '{{"reason":"' || CASE WHEN user_age > 18 THEN 'wrong' ELSE 'unclear' END
                  || '","flagged_at":"' || {_CREATED} || '"}}' AS metadata_json, {_CREATED} AS created_at
         FROM chat_messages"""),
     "correction_ingest": with_views("pii_text", f"""
-        SELECT id, user_id, 'correction' AS feedback_type, text AS user_correction, consent_given,
-               {_sql_gate('text')} AS pii_sanitized FROM pii_text"""),
+        SELECT id, user_id, {_PLACE}, 'correction' AS feedback_type, text AS user_correction, consent_given,
+               {_sql_gate('text')} AS pii_sanitized, {_PLACED_AT} FROM pii_text"""),
     "sink_append_consent_requests": with_views("support_tickets", f"""
         SELECT id, user_id, 'consent_request' AS feedback_type, false AS consent_given,
                '{{"user_id":"' || user_id || '","consent_type":"' || category || '","purpose":"model_training",'

@@ -64,9 +64,10 @@ def _interaction_index(spark, d):
     turns = view(spark, d, "chat_messages").select(
         "id", F.split("id", "-")[0].alias("session_id"), "user_id", F.col("message").alias("query"),
         F.concat(F.lit("Answer to "), "id").alias("response"),
-        F.when(F.col("user_age") % 5 == 0, F.concat(F.lit("timeout in "), "id")).alias("error"))
+        F.when(F.col("user_age") % 5 == 0, F.concat(F.lit("timeout in "), "id")).alias("error"),
+        F.from_json("attachments", "array<string>").alias("attachments"), "created_at")
     out = retrieval.interaction_rows(turns, _vowels)
-    return out.withColumn("embedding", _as_text("embedding"))
+    return out.withColumns({"embedding": _as_text("embedding"), "attachments": F.array_join("attachments", ","), "created_at": iso("created_at")})
 
 
 def _embedding_index(spark, d):
@@ -205,6 +206,8 @@ ORACLES = {
         , t AS (SELECT *, user_age % 5 = 0 AS failed, 'User: ' || message || chr(10) || 'AI: Answer to ' || id AS x FROM chat_messages)
         SELECT id, string_split(id, '-')[1] AS session_id, user_id, message AS user_message,
                CASE WHEN failed THEN 'Error: timeout in ' || id ELSE 'Answer to ' || id END AS ai_response,
+               CASE WHEN failed THEN '' ELSE coalesce(array_to_string(CAST(CAST(attachments AS JSON) AS VARCHAR[]), ','), '') END AS attachments,
+               {_AT.format('created_at')} AS created_at,
                CASE WHEN NOT failed THEN x END AS text, CASE WHEN NOT failed THEN 'user_interaction_' || user_id END AS source,
                CASE WHEN NOT failed THEN 'chat_history' END AS type, CASE WHEN NOT failed THEN {_VOWELS.format('x')} END AS embedding
         FROM t"""),

@@ -71,12 +71,15 @@ def test_ingest_rejects_and_flags(spark):
         [("1", "u", "correction", None, "fine", None), ("2", "u", "correction", True, "call 555-123-4567", None),
          ("3", "u", None, None, None, "mail a@b.co"), ("4", "u", "rating", False, None, None)],
         "id STRING, user_id STRING, type STRING, consent_given BOOLEAN, correction STRING, flagged_content STRING").withColumns(
-        {"rating": F.lit(3), "model_version_id": F.lit("m"), "created_at": F.lit(None).cast("timestamp")})
+        {"rating": F.lit(3), "session_id": F.lit("s"), "chat_id": F.lit("c"), "model_version_id": F.lit("m"),
+         "metadata": F.when(F.col("id").isin("2", "3"), F.create_map(F.lit("page"), F.lit("p"), F.lit("ip_address"), F.lit("1.2.3.4"))),
+         "created_at": F.lit(None).cast("timestamp")})
     rows = {r.id: r for r in feedback.ingest(df).collect()}
     assert rows["1"].reject_reason == "consent required" and rows["1"].pii_sanitized
     assert rows["2"].reject_reason is None and not rows["2"].pii_sanitized and rows["2"].user_correction == "call 555-123-4567"
     assert rows["3"].feedback_type == "general" and rows["3"].flagged_content == "mail [REDACTED_EMAIL]"
-    assert rows["3"].metadata_json == '{"pii_detected":["email"],"pii_sanitization_performed":true}'
+    assert rows["3"].metadata_json == '{"page":"p","ip_region":"1.2.x.x","pii_detected":["email"],"pii_sanitization_performed":true}'
+    assert (rows["3"].session_id, rows["3"].chat_id, rows["3"].model_version_id) == ("s", "c", "m")
     assert rows["4"].metadata_json is None and rows["4"].pii_sanitized
 
 
