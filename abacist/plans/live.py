@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from abacist.functions.timing import iso
 from abacist.plans import safety as batch_safety
@@ -12,11 +11,15 @@ from abacist.session import scratch_path
 from abacist.streaming import streams
 
 
-def _run(spark, stream, name, mode="append"):
+#: Files, and so batches, over which the rows of a table are dealt out in no order.
+FILES = 4
+
+
+def _run(spark, stream, name, reduce=None):
     """The rows a stream writes, with the number of the batch that wrote them."""
     path = scratch_path(spark, name)
-    streams.start(stream, streams.batch_folder(f"{path}/out"), f"{path}/checkpoint", mode, once=True).awaitTermination()
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    streams.start(stream, streams.batch_folder(f"{path}/out", reduce), f"{path}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out")
 
 
 def _stream_moderation(spark, d):
@@ -35,14 +38,14 @@ def _stream_rate_limit(spark, d):
 
 
 def _stream_tokens_per_minute(spark, d):
-    stream = streams.tokens_per_minute(view(spark, d, "model_metrics", stream=True))
-    out = streams.latest(_run(spark, stream, "tokens", "update"), ["minute", "user_id"])
+    stream = streams.tokens_per_minute(view(spark, d, "model_metrics", stream=True, files=FILES))
+    out = streams.sum_tokens(_run(spark, stream, "tokens", streams.partial_tokens))
     return out.select(iso("minute").alias("minute"), "user_id", F.round("tokens", 6).alias("tokens"))
 
 
 def _stream_dau(spark, d):
-    stream = streams.daily_users(view(spark, d, "ai_sessions", stream=True))
-    return streams.count_daily_users(_run(spark, stream, "dau"))
+    stream = streams.daily_users(view(spark, d, "ai_sessions", stream=True, files=FILES))
+    return streams.count_daily_users(_run(spark, stream, "dau", streams.sightings))
 
 
 QUERIES = {

@@ -11,6 +11,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from abacist.session import scratch_path
+
 AS_OF = datetime(2024, 1, 31)
 AS_OF_ORDERS = datetime(2001, 8, 2)
 
@@ -236,14 +238,21 @@ VIEWS: dict[str, str] = {
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """One view as a DataFrame, or as a stream of its table's files; only the columns a query uses are read."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, files: int = 0) -> DataFrame:
+    """One view as a DataFrame, or as a stream of its table's files; only the columns a query uses are read.
+
+    With ``files`` the table is dealt out first, in no order, over so many files, each of which is a batch.
+    """
     (table,) = set(_TABLE.findall(VIEWS[name]))
     text = VIEWS[name].replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
     text = text.replace("{", "{{").replace("}", "}}").replace("{{" + table + "}}", "{source}")
     path = f"{sf_dir}/{table}.parquet"
     rows = spark.read.parquet(path)
-    if stream:
+    if stream and files:
+        dealt = scratch_path(spark, f"stream-{table}")
+        rows.repartition(files).write.parquet(dealt)
+        rows = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(dealt)
+    elif stream:
         # As a pattern the path may be one file as well as a folder of files; a batch is bounded by its bytes.
         rows = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", 1 << 30).parquet(path[:-1] + "[t]")
     return spark.sql(text, source=rows)

@@ -10,13 +10,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from abacist.operators import safety
-from abacist.operators.limits import DAY, Admission
+from abacist.operators.limits import Admission
 
 
 def start(stream: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
@@ -26,10 +26,10 @@ def start(stream: DataFrame, write_batch: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink with one folder per batch: a repeated batch overwrites itself."""
+def batch_folder(path: str, reduce: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink with one folder per batch, of the batch or what ``reduce`` makes of it: a repeated batch overwrites itself."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
@@ -49,19 +49,17 @@ def moderation_sink(approved: str, incidents: str) -> Callable[[DataFrame, int],
     return write
 
 
-def admission(actions: DataFrame, watermark: str = "24 hours") -> DataFrame:
+def admission(actions: DataFrame) -> DataFrame:
     """Decisions for a stream of actions (user_id, id, action, ts) with the batch operator's rules.
 
-    State per user: the accepted times of the last hour and day. It is dropped once the watermark is a day
-    past the last of them. Actions are taken in time order within a batch; one that arrives behind an accepted
-    action is judged on arrival.
+    Every action gets a decision, however late: there is no watermark behind which rows are dropped. State per user: the
+    accepted times of the last hour and day, of which the rules allow a fixed number; it is kept, as a state that is dropped by
+    event time needs a watermark. Actions are taken in time order within a batch; one that arrives behind an accepted action is
+    judged on arrival.
     """
     fold = Admission()
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         current = json.loads(state.get[0]) if state.exists else fold.start()
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "id"], kind="stable")
         results = []
@@ -69,38 +67,40 @@ def admission(actions: DataFrame, watermark: str = "24 hours") -> DataFrame:
             current, result = fold.step(current, row)
             results.append(result)
         state.update((json.dumps(current),))
-        last = max([0, *current[0][-1:], *current[1][-1:]])
-        state.setTimeoutTimestamp(max((last + DAY) // 1000, state.getCurrentWatermarkMs() + 1))
         allowed, violations, wait = zip(*results)
         yield pd.DataFrame({"user_id": key[0], "id": rows["id"].to_numpy(), "action": rows["action"].to_numpy(),
                             "allowed": allowed, "violations": violations, "retry_after_seconds": wait})
 
-    timed = actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return timed.withColumn("ts_us", F.unix_micros("ts")).groupBy("user_id").applyInPandasWithState(
+    timed = actions.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed.groupBy("user_id").applyInPandasWithState(
         judge, "user_id STRING, id STRING, action STRING, " + Admission.output, "state STRING", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        GroupStateTimeout.NoTimeout)
 
 
-def tokens_per_minute(model_metrics: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Tokens per user and minute; rows later than the watermark are dropped. Meant for update mode."""
-    used = model_metrics.filter(F.col("metric_type") == "token_usage").select(
-        F.get_json_object("metadata_json", "$.user_id").alias("user_id"), F.col("collected_at").cast("timestamp").alias("ts"), "value")
-    return (used.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute").alias("w"), "user_id")
-            .agg(F.sum("value").alias("tokens")).select(F.col("w.start").alias("minute"), "user_id", "tokens"))
+def tokens_per_minute(model_metrics: DataFrame) -> DataFrame:
+    """minute, user_id, value of the token metrics; ``partial_tokens`` sums a batch, ``sum_tokens`` what all batches wrote."""
+    used = model_metrics.filter(F.col("metric_type") == "token_usage")
+    return used.select(F.date_trunc("MINUTE", F.col("collected_at").cast("timestamp")).alias("minute"),
+                       F.get_json_object("metadata_json", "$.user_id").alias("user_id"), "value")
 
 
-def latest(path_frame: DataFrame, keys: list[str]) -> DataFrame:
-    """What an update-mode sink of batch folders says now: per key the row of the last batch."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return path_frame.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") == 1).drop("rn", "batch")
+def partial_tokens(batch: DataFrame) -> DataFrame:
+    """Sums of one batch. Added up when read, so a row counts however late it comes, and no state is kept."""
+    return batch.groupBy("minute", "user_id").agg(F.sum("value").alias("tokens"))
 
 
-def daily_users(ai_sessions: DataFrame, lateness: str = "25 hours") -> DataFrame:
-    """First sighting of each (day, user); the delay outlasts a day, so one day's repeats always meet their state."""
-    seen = ai_sessions.select(F.col("started_at").cast("timestamp").alias("ts"), "user_id")
-    return (seen.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).withWatermark("ts", lateness)
-            .dropDuplicatesWithinWatermark(["date", "user_id"]).select("date", "user_id"))
+def sum_tokens(written: DataFrame) -> DataFrame:
+    return written.groupBy("minute", "user_id").agg(F.sum("tokens").alias("tokens"))
 
 
-def count_daily_users(sightings: DataFrame) -> DataFrame:
-    return sightings.groupBy("date").agg(F.countDistinct("user_id").alias("active_users"))
+def daily_users(ai_sessions: DataFrame) -> DataFrame:
+    """date, user_id of every session; ``sightings`` keeps one of each in a batch, ``count_daily_users`` counts over all."""
+    return ai_sessions.select(F.date_format(F.col("started_at").cast("timestamp"), "yyyy-MM-dd").alias("date"), "user_id")
+
+
+def sightings(batch: DataFrame) -> DataFrame:
+    return batch.distinct()
+
+
+def count_daily_users(written: DataFrame) -> DataFrame:
+    return written.groupBy("date").agg(F.countDistinct("user_id").alias("active_users"))

@@ -21,8 +21,8 @@ def files(spark, df, order, path, n=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run(spark, stream, tmp_path, mode="append"):
-    streams.start(stream, streams.batch_folder(f"{tmp_path}/out"), f"{tmp_path}/ck", mode, once=True).awaitTermination()
+def run(spark, stream, tmp_path, reduce=None):
+    streams.start(stream, streams.batch_folder(f"{tmp_path}/out", reduce), f"{tmp_path}/ck", once=True).awaitTermination()
     return spark.read.parquet(f"{tmp_path}/out")
 
 
@@ -46,8 +46,9 @@ def test_state_expires_after_a_day(spark, tmp_path):
 
 def test_daily_users_across_batches(spark, tmp_path):
     sessions = view(spark, D, "ai_sessions")
-    out = run(spark, streams.daily_users(files(spark, sessions, "started_at", f"{tmp_path}/in")), tmp_path)
-    assert out.count() == out.select("date", "user_id").distinct().count()
+    stream = streams.daily_users(files(spark, sessions, F.hash("id"), f"{tmp_path}/in"))
+    out = run(spark, stream, tmp_path, streams.sightings)
+    assert out.count() == out.select("date", "user_id", "batch").distinct().count() and out.select("batch").distinct().count() > 1
     want = usage.daily_active_users(sessions, datetime(2024, 1, 31))
     assert sorted(map(tuple, streams.count_daily_users(out).collect())) == sorted(map(tuple, want.collect()))
 
@@ -59,12 +60,19 @@ def test_tokens_across_batches_and_late_rows(spark, tmp_path):
     df = spark.createDataFrame(rows, "metric_type STRING, metadata_json STRING, collected_at TIMESTAMP, value DOUBLE")
     late = df.limit(1).withColumn("value", F.lit(99.0))
     stream = files(spark, df, "collected_at", f"{tmp_path}/in", 3)
-    out = run(spark, streams.tokens_per_minute(stream), tmp_path, "update")
+    run(spark, streams.tokens_per_minute(stream), tmp_path, streams.partial_tokens)
     late.write.mode("append").parquet(f"{tmp_path}/in")
-    run(spark, streams.tokens_per_minute(stream), tmp_path, "update")
-    out = streams.latest(spark.read.parquet(f"{tmp_path}/out"), ["minute", "user_id"])
+    out = streams.sum_tokens(run(spark, streams.tokens_per_minute(stream), tmp_path, streams.partial_tokens))
     got = {(r.minute - t0).total_seconds(): r.tokens for r in out.collect()}
-    assert got == {0.0: 3.0, 60.0: 4.0, 3600.0: 24.0}
+    assert got == {0.0: 102.0, 60.0: 4.0, 3600.0: 24.0}
+
+
+def test_late_actions_get_a_decision(spark, tmp_path):
+    t0 = datetime(2024, 1, 10)
+    rows = [("u", f"{i}", "query", t0 + timedelta(days=d)) for i, d in enumerate((0, 1, 2, -5, 3))]
+    df = spark.createDataFrame(rows, "user_id STRING, id STRING, action STRING, ts TIMESTAMP")
+    out = run(spark, streams.admission(files(spark, df, "id", f"{tmp_path}/in", 5)), tmp_path)
+    assert sorted(r.id for r in out.filter("allowed").collect()) == ["0", "1", "2", "3", "4"]
 
 
 def test_moderation_sinks(spark, tmp_path):
