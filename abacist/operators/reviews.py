@@ -59,7 +59,10 @@ def submit(submissions: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def judge(decisions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Decisions (review_id, decision, reviewer_id, ...) beside their review's version, with a ``reject_reason``."""
+    """Decisions (review_id, decision, reviewer_id, ...) beside their review's version, with a ``reject_reason``.
+
+    ``reviews`` has one row per id, as the table's key says; the join relies on it.
+    """
     owner = reviews.select(F.col("id").alias("review_id"), "model_version_id", F.col("reviewer_id").alias("owner"))
     return decisions.join(owner, "review_id", "left").withColumn(
         "reject_reason", F.when(F.col("owner").isNull(), "unknown review")
@@ -108,10 +111,13 @@ def pending_reviews(reviews: DataFrame, versions: DataFrame, reviewer_id: str |
 
 
 def review_details(reviews: DataFrame, versions: DataFrame) -> DataFrame:
-    """Reviews with their version's data and automated checks.
+    """Reviews (with their criteria, where the row has none the ones every review is given) with their version's data and
+    automated checks.
 
     The checks run once per version, before the join, not once per review.
     """
+    kept = F.col("review_criteria") if "review_criteria" in reviews.columns else F.lit(None).cast("string")
+    reviews = reviews.withColumn("review_criteria", F.coalesce(kept, _criteria()))
     about = vetting_checks(versions).select(
         F.col("id").alias("model_version_id"), F.col("model_name").alias("name"), "version", F.col("model_type").alias("type"),
         "performance_metrics", "training_metadata", *ADVICE, "checks_passed", "recommendations")

@@ -57,8 +57,7 @@ def _review_eligibility(spark, d):
 
 
 def _judged(spark, d):
-    once = view(spark, d, "human_reviews").select("id", "model_version_id", "reviewer_id").distinct()
-    return reviews.judge(view(spark, d, "review_decisions"), once)
+    return reviews.judge(view(spark, d, "review_decisions"), view(spark, d, "human_reviews"))
 
 
 def _review_decision(spark, d):
@@ -84,7 +83,7 @@ def _pending_reviews(spark, d):
 def _review_details(spark, d):
     out = reviews.review_details(view(spark, d, "human_reviews"), view(spark, d, "model_versions"))
     return out.select("id", "model_version_id", "name", "version", "type", "performance_metrics", "training_metadata",
-                      "reviewer_id", "status", "comments", *reviews.ADVICE, "checks_passed",
+                      "reviewer_id", "status", "review_criteria", "safety_score", "quality_score", "comments", *reviews.ADVICE, "checks_passed",
                       F.array_join("recommendations", ";").alias("recommendations"),
                       iso("created_at").alias("created_at"), iso("reviewed_at").alias("reviewed_at"))
 
@@ -95,7 +94,7 @@ def _review_history(spark, d):
 
 
 def _review_escalate(spark, d):
-    rows = view(spark, d, "human_reviews").select("id", "reviewer_id", "status", "comments").distinct()
+    rows = view(spark, d, "human_reviews").select("id", "reviewer_id", "status", "comments")
     escalations = rows.filter(F.col("status") == "pending").select("id", F.concat(F.lit("late by "), "reviewer_id", F.lit(" \n")).alias("reason"))
     return reviews.escalate(rows, escalations).select("id", "status", "comments")
 
@@ -281,13 +280,13 @@ ORACLES = {
         FROM human_reviews h JOIN model_versions v ON v.id = h.model_version_id WHERE h.status = 'pending'"""),
     "review_details": with_views("human_reviews model_versions", _CHECKS + f"""
         SELECT h.id, model_version_id, model_name AS name, version, model_type AS type, performance_metrics, training_metadata,
-               reviewer_id, h.status, comments, accuracy_threshold, consent_verified, toxicity_check, latency_check,
+               reviewer_id, h.status, '{_CRITERIA}' AS review_criteria, safety_score, quality_score, comments, accuracy_threshold, consent_verified, toxicity_check, latency_check,
                checks_passed, recommendations, {_AT.format('h.created_at')} AS created_at, {_AT.format('reviewed_at')} AS reviewed_at
         FROM human_reviews h JOIN vetted v ON v.id = h.model_version_id"""),
     "review_history": with_views("human_reviews", f"""
         SELECT id, model_version_id, reviewer_id, status, {_AT.format('created_at')} AS created_at FROM human_reviews"""),
     "review_escalate": with_views("human_reviews", """
-        SELECT DISTINCT id, status, CASE WHEN status = 'pending'
+        SELECT id, status, CASE WHEN status = 'pending'
                THEN trim(coalesce(comments, '') || chr(10) || chr(10) || '[ESCALATED] late by ' || reviewer_id, ' ' || chr(10))
                ELSE comments END AS comments FROM human_reviews"""),
     "review_stats": with_views("human_reviews", """

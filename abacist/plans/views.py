@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
     "safety_incidents": """
         SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-                 || '-' || CAST(l_suppkey AS STRING) AS id,
+                 || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS id,
                CASE l_returnflag WHEN 'A' THEN 'abuse' WHEN 'N' THEN 'harmful_content' ELSE 'pii_leak' END AS incident_type,
                CASE WHEN l_quantity <= 12 THEN 'low' WHEN l_quantity <= 25 THEN 'medium' WHEN l_quantity <= 37 THEN 'high'
                     ELSE 'critical' END AS severity,
@@ -116,18 +116,19 @@ VIEWS: dict[str, str] = {
         FROM {part} WHERE p_partkey % 3 = 0""",
     "human_reviews": """
         SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-                 || '-' || CAST(l_suppkey AS STRING) AS id,
+                 || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS id,
                CAST(l_partkey AS STRING) AS model_version_id, CAST(l_suppkey AS STRING) AS reviewer_id,
                CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'pending' END AS status,
                CASE WHEN l_linenumber % 2 = 0 THEN '  see notes' END AS comments,
-               CAST(NULL AS BIGINT) AS safety_score, CAST(NULL AS BIGINT) AS quality_score,
+               CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) % 11 END AS safety_score,
+               CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber AS BIGINT) END AS quality_score,
                CASE WHEN l_returnflag <> 'N' AND CAST(l_quantity AS INT) % 7 <> 0
                     THEN l_shipdate + CAST(l_quantity AS INT) * INTERVAL 1 HOUR END AS reviewed_at,
                l_shipdate AS created_at
         FROM {lineitem}""",
     "review_decisions": """
-        SELECT DISTINCT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-                 || '-' || CAST(l_suppkey AS STRING) AS review_id,
+        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+                 || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS review_id,
                CASE WHEN l_orderkey % 13 = 0 THEN 'maybe' WHEN l_orderkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS decision,
                CASE WHEN l_orderkey % 17 = 0 THEN 'someone' ELSE CAST(l_suppkey AS STRING) END AS reviewer_id,
                CAST(l_orderkey % 10 AS BIGINT) AS safety_score, CAST(l_linenumber AS BIGINT) AS quality_score,
