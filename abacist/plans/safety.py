@@ -54,7 +54,7 @@ def _safety_stats(spark, d):
 
 
 def _fixed_window_limit(spark, d):
-    out = limits.fixed_window_limit(view(spark, d, "clients"), width="1 hour")
+    out = limits.fixed_window_limit(view(spark, d, "clients"))
     return out.select("id", "client", iso("window_start").alias("window_start"), "allowed")
 
 
@@ -160,8 +160,8 @@ ORACLES = {
         SELECT breakdown, value, count(*) AS incidents, count(*) FILTER (resolved) AS resolved_incidents,
                round(coalesce(avg(hours), 0), 6) AS average_resolution_time_hours FROM a GROUP BY 1, 2"""),
     "fixed_window_limit": with_views("clients", f"""
-        SELECT id, client, {_AT.format("date_trunc('hour', ts)")} AS window_start,
-               row_number() OVER (PARTITION BY client, date_trunc('hour', ts) ORDER BY ts, id) <= 10 AS allowed FROM clients"""),
+        SELECT id, client, {_AT.format("date_trunc('minute', ts)")} AS window_start,
+               row_number() OVER (PARTITION BY client, date_trunc('minute', ts) ORDER BY ts, id) <= 10 AS allowed FROM clients"""),
     "rate_limit_admission": with_views("actions", """
         , ordered AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM actions),
         replay AS (

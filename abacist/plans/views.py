@@ -178,13 +178,15 @@ VIEWS: dict[str, str] = {
                     ELSE ts END AS ts
         FROM {events}""",
     "actions": """
-        SELECT CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS user_id,
+        SELECT CAST(event_id AS STRING) AS id, CAST(user_id % 15 AS STRING) AS user_id,
                CASE event_type WHEN 'signup' THEN 'session_start' ELSE 'query' END AS action,
                TIMESTAMP '2024-01-01 00:00:00'
-                 + CAST(event_id % 10000 * 26 AS INT) * INTERVAL 1 MILLISECOND AS ts
+                 + CAST(event_id % 10000 * CASE user_id % 3 WHEN 0 THEN 26 WHEN 1 THEN 900 ELSE 12000 END AS INT)
+                   * INTERVAL 1 MILLISECOND AS ts
         FROM {events}""",
     "clients": """
-        SELECT CAST(event_id AS STRING) AS id, '10.0.' || CAST(user_id % 7 AS STRING) || '.1' AS client, ts
+        SELECT CAST(event_id AS STRING) AS id, '10.0.' || CAST(user_id % 7 AS STRING) || '.1' AS client,
+               TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id % 10000 * 700 AS INT) * INTERVAL 1 MILLISECOND AS ts
         FROM {events}""",
     "coin_events": """
         SELECT CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS user_id,
