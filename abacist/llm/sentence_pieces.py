@@ -44,7 +44,9 @@ NO_PIECE = 0xFFFF
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Cells of a batch of equally long words.
-CELLS = 1 << 18
+CELLS = 1 << 17
+#: Bytes of text that are encoded or decoded at once; the arrays meanwhile take some ten times as much.
+TEXT_BYTES = 2 << 20
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -319,7 +321,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(pieces.encode_words)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             ids, counts = pieces.encode(batch.column(text), table)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
@@ -353,7 +355,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(pieces.encode_words)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, counts = pieces.encode(batch.column("text"), table)
             bounds = np.concatenate([[0], np.cumsum(counts)])
             same = [a == (b or "") for a, b in zip(pieces.decode(ids, counts), batch.column("text").to_pylist())]
