@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import metrics as op
 from abacist.plans.views import AS_OF, AS_OF_ORDERS, view, with_views
+from abacist.session import scratch_path
+from abacist.sources import sinks
 
 _START, _END = datetime(2024, 1, 10), datetime(2024, 1, 20, 12)
 _F_START, _F_END = datetime(1996, 1, 1), datetime(1996, 12, 31)
@@ -85,7 +87,11 @@ def _export_metrics(spark, d):
 
 
 def _export_feedback(spark, d):
-    return op.export_feedback(view(spark, d, "user_feedback"), _F_START, _F_END)
+    """Exported in two steps, the second half year again as a job that runs twice, and read back."""
+    path, half, step = scratch_path(spark, "export"), datetime(1996, 7, 1), timedelta(microseconds=1)
+    for start, end in ((_F_START, half - step), (half, _F_END), (half, _F_END)):
+        sinks.export(op.export_feedback(view(spark, d, "user_feedback"), start, end), path, "parquet")
+    return spark.read.parquet(path).drop("date")
 
 
 QUERIES = {

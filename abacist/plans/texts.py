@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from abacist.functions.timing import iso
 from abacist.operators import chat, retrieval
 from abacist.plans.views import view, with_views
+from abacist.session import scratch_path
 from abacist.sources import documents, sinks, tables
 
 
 def _src_tables(spark, d):
-    return tables.conform(view(spark, d, "user_feedback").withColumn(
-        "consent_given", F.when(F.col("rating") != 3, F.col("consent_given"))), "user_feedback").select(
+    """Written without some columns and values, read with the declared schema and defaults."""
+    path = scratch_path(spark, "user-feedback")
+    view(spark, d, "user_feedback").withColumns({
+        "consent_given": F.when(F.col("rating") != 3, F.col("consent_given")), "created_at": F.col("created_at").cast("timestamp")}).write.parquet(path)
+    return tables.read(spark, "user_feedback", path).select(
         "id", "user_id", "session_id", "feedback_type", "rating", "consent_given", "pii_sanitized")
 
 
