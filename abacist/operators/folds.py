@@ -71,12 +71,19 @@ def range_chunks(rows: DataFrame, key: str, order: Sequence[str], partitions: in
 
 
 def replay(rows: DataFrame, fold: Fold, key: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """``rows`` with the fold's output columns; rows of a key are taken in ``order``, which must be unique."""
+    """``rows`` with the fold's output columns; rows of a key are taken in ``order``, which must be unique.
+
+    Rows without a key belong to no sequence: their output columns are null. Runs Spark jobs at once: the chunks are written and
+    the states between them found before the frame is returned.
+    """
     columns = rows.columns
-    chunks = range_chunks(rows, key, order, partitions)
+    nameless = rows.filter(F.col(key).isNull()).select(
+        *columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(fold.output).fields])
+    chunks = range_chunks(rows.filter(F.col(key).isNotNull()), key, order, partitions)
     starts = _boundary_states(chunks, fold, key, order)
     schema = StructType(chunks.drop("chunk").schema.fields + StructType.fromDDL(fold.output).fields)
-    return chunks.mapInPandas(_decider(fold, key, starts), schema).select(*columns, *StructType.fromDDL(fold.output).names)
+    decided = chunks.mapInPandas(_decider(fold, key, starts), schema)
+    return decided.select(*columns, *StructType.fromDDL(fold.output).names).unionByName(nameless)
 
 
 def _boundary_states(chunks: DataFrame, fold: Fold, key: str, order: Sequence[str]) -> dict[int, tuple[object, object]]:

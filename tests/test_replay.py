@@ -173,3 +173,29 @@ def test_fixed_window(spark):
     df = spark.createDataFrame(rows, "client STRING, id STRING, ts TIMESTAMP")
     got = {r.id: r.allowed for r in limits.fixed_window_limit(df).collect()}
     assert [got[f"{i:02d}"] for i in range(12)] == [True] * 10 + [False] * 2 and got["20"] and got["30"]
+
+
+def test_rows_without_a_key_stay_without_a_verdict(spark):
+    rows = events(5, ["x"], hot=60, others=3) + [(None, f"n{i:03d}", "x", 1, T0 + timedelta(seconds=i)) for i in range(80)]
+    got = wallet.ledger_replay(frame(spark, rows).drop("kind"), 12).collect()
+    assert len(got) == len(rows) and {r.accepted for r in got if r.user_id is None} == {None}
+    assert {r.id: (r.accepted, r.balance_after) for r in got if r.user_id} == python_ledger([r for r in rows if r[0]])
+
+
+def test_always_at_the_limit_over_many_partitions(spark):
+    rows = [("busy", f"{i:05d}", "query", T0 + timedelta(seconds=i)) for i in range(1500)]
+    actions = spark.createDataFrame(rows, "user_id STRING, id STRING, action STRING, ts TIMESTAMP")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        got = limits.rate_limit_admission(actions).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    taken, hour = [], []
+    want = {}
+    for _, i, _, t in rows:
+        minute = [x for x in taken if (t - x).total_seconds() < 60]
+        hour = [x for x in taken if (t - x).total_seconds() < 3600]
+        want[i] = len(minute) < 10 and len(hour) < 100
+        if want[i]:
+            taken.append(t)
+    assert {r.id: r.allowed for r in got} == want
