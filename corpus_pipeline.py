@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import abacist
 from abacist.llm import byte_net, containment, divergence, partition_join, sentence_pieces
 from abacist.llm.columns import fresh
-from abacist.session import scratch_path
+from abacist.llm.tables import Tables
 
 # Task functions travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(abacist)
@@ -71,9 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage. Each stage's rows are a table below the shared folder until the next one is written."""
+    docs, tables, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline"), None
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = tables.save(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
     return docs

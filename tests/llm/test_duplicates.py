@@ -105,3 +105,8 @@ def test_containment_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert containment.decontaminate(docs, none).count() == 1
     assert containment.decontaminate(docs.where("false"), none).count() == 0
+
+
+def test_containment_is_native(spark):
+    plan = containment.op8_benchmark_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
