@@ -101,13 +101,14 @@ def apply_to_versions(versions: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def pending_reviews(reviews: DataFrame, versions: DataFrame, reviewer_id: str | None = None) -> DataFrame:
-    """Pending reviews with their version, newest version first."""
+    """Pending reviews with their version; one reviewer's come newest version first, those of all in no order."""
     pending = reviews.filter(F.col("status") == "pending")
     if reviewer_id is not None:
         pending = pending.filter(F.col("reviewer_id") == reviewer_id)
     about = versions.select(F.col("id").alias("model_version_id"), "model_name", "version",
                             F.col("created_at").alias("version_created_at"))
-    return pending.join(about, "model_version_id").orderBy(F.col("version_created_at").desc(), "id")
+    found = pending.join(about, "model_version_id")
+    return found if reviewer_id is None else found.orderBy(F.col("version_created_at").desc(), "id")
 
 
 def review_details(reviews: DataFrame, versions: DataFrame) -> DataFrame:
@@ -125,10 +126,13 @@ def review_details(reviews: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def review_history(reviews: DataFrame, model_version_id: str | None = None, reviewer_id: str | None = None) -> DataFrame:
+    """Reviews of one version or one reviewer, newest first; without either, all of them in no order."""
     if model_version_id is not None:
         reviews = reviews.filter(F.col("model_version_id") == model_version_id)
     if reviewer_id is not None:
         reviews = reviews.filter(F.col("reviewer_id") == reviewer_id)
+    if model_version_id is None and reviewer_id is None:
+        return reviews
     return reviews.orderBy(F.col("created_at").desc(), "id")
 
 
