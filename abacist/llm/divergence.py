@@ -2,20 +2,22 @@
 
 A document's histogram over character classes, and the one over its language's common words, are compared with the language's
 reference, the mean of the histograms of all documents of that language (each different histogram counts once, so that copies
-do not bend it). The comparison is the Jensen-Shannon distance (base 2, 0 to 1). A histogram of too few characters or words
+do not bend it). Every value of the language column is a language of its own. For the languages of COMMON the common words are
+fixed; those of any other are the words that the most different documents of it hold. The comparison is the Jensen-Shannon distance (base 2, 0 to 1). A histogram of too few characters or words
 says nothing and is not judged. Base rules refuse short documents and those that repeat themselves.
 
-Defined results: a null text is an empty one: no words, base_failed. A null or unlisted language shares one reference and is
-judged by character classes alone. Repeated rows are judged alike; an empty table gives no rows; other columns are kept, and the
+Defined results: a null text is an empty one: no words, base_failed. Documents of a null or blank language have nothing in common
+to be compared with, and a language of fewer than MIN_DOCS different histograms has no reference: the base rules alone judge both. Repeated rows are judged alike; an empty table gives no rows; other columns are kept, and the
 verdict's column takes underscores if its name is taken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abacist.llm.columns import fresh, let, total
+from abacist.llm.tables import Tables
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -28,7 +30,12 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
 }
-OTHER = "*"
+#: So many common words are taken from the documents of any other language.
+N_COMMON = 12
+#: A reference is the mean of at least so many different histograms; a word is common if at least so many documents hold it.
+MIN_DOCS = 10
+#: References of at most so many languages (of 500 bytes) are sent to all executors; more are shuffled.
+BROADCAST_LANGUAGES = 50_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Judged histograms hold at least so many characters or words.
@@ -45,10 +52,39 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def _histograms(docs: DataFrame, text: str, lang: str, row: str, words: str) -> DataFrame:
-    """``docs`` with its words and a struct of class and common-word counts."""
-    language = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise(OTHER)
+def _language(lang: str) -> Column:
+    """The language column's value; null where it is blank."""
+    value = F.col(lang).cast("string")
+    return F.when(F.trim(value) != "", value)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_LANGUAGES else df
+
+
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """language, listed: the common words of every language that COMMON does not list, the most frequent one first.
+
+    A document's hash sets one of 64 bits of each of its words; words of more bits come first, so that copies of one document,
+    which share their bit, lift no word above those of many documents.
+    """
+    rows = docs.select(_language(lang).alias("language"), F.col(text).cast("string").alias("text")).where(~F.col("language").isin(*COMMON))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
+    rows = rows.select("language", bit.alias("bit"), _words(F.col("text")).alias("words")).where(F.size("words") >= MIN_COMMON_WORDS)
+    held = rows.select("language", "bit", F.explode(F.array_distinct("words")).alias("word")).groupBy("language", "word").agg(
+        F.bit_count(F.bit_or("bit")).alias("bits"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    first = Window.partitionBy("language").orderBy(F.desc("bits"), F.desc("n"), "word")
+    top = held.withColumn("at", F.row_number().over(first)).where(F.col("at") <= N_COMMON)
+    return top.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("top")) \
+        .select("language", F.col("top.word").alias("listed"))
+
+
+def _histograms(docs: DataFrame, text: str, lang: str, row: str, words: str, taken: Column) -> DataFrame:
+    """``docs`` with its words and a struct of class and common-word counts; ``taken`` has the common words of a language that
+    COMMON does not list, or null."""
+    language = _language(lang)
     listed = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    listed = F.coalesce(F.element_at(listed, language), taken, F.array().cast("array<string>"))
     every = sorted({w for v in COMMON.values() for w in v})
     docs = docs.withColumn(words, _words(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     joined = F.array_join(words, "")
@@ -60,13 +96,15 @@ def _histograms(docs: DataFrame, text: str, lang: str, row: str, words: str) ->
                    lambda less: classes(less, left[1:], (*counts, F.length(rest) - F.length(less))))
 
     def common(found: Column) -> Column:
-        return F.transform(F.coalesce(F.element_at(listed, language), F.array().cast("array<string>")),
-                           lambda c: F.size(F.filter(found, lambda w: w == c)))
+        return F.transform(listed, lambda c: F.size(F.filter(found, lambda w: w == c)))
+
+    held = F.when(language.isin(*COMMON), F.filter(words, lambda w: w.isin(*every))) \
+        .when(taken.isNotNull(), F.filter(words, lambda w: F.array_contains(taken, w))).otherwise(F.array().cast("array<string>"))
 
     return docs.withColumn(row, F.struct(
         language.alias("language"), F.size(words).alias("n_words"),
         let(joined, lambda x: classes(x, CLASSES, ())).alias("classes"),
-        let(F.filter(words, lambda w: w.isin(*every)), common).alias("common")))
+        let(held, common).alias("common")))
 
 
 def _shares(counts: Column, whole: Column) -> Column:
@@ -74,19 +112,29 @@ def _shares(counts: Column, whole: Column) -> Column:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """language, classes, common: mean shares over all documents with enough text; at most one row per listed language and one
-    for all others."""
-    bins = [len(CLASSES) + 1, max(map(len, COMMON.values()))]
-    rows = _histograms(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang", "row", "words").select("row.*")
+    """language, listed, classes, common: mean shares over all documents with enough text, for each language that has enough of
+    them; ``listed`` has the common words that were taken from the documents, or null.
+
+    Runs Spark jobs at once and writes tables below the shared folder.
+    """
+    tables = Tables(docs.sparkSession, "divergence")
+    bins = [len(CLASSES) + 1, max(N_COMMON, *map(len, COMMON.values()))]
+    taken = tables.save(common_words(docs, text, lang), "words")
+    rows = docs.select(F.col(text).alias("text"), _language(lang).alias("language")).where("language is not null") \
+        .join(_few(taken), "language", "left")
+    rows = _histograms(rows, "text", "language", "row", "words", F.col("listed")).select("row.*")
     rows = rows.withColumn("chars", total(F.col("classes")))
     judged = rows.where((F.col("chars") >= MIN_CLASS_CHARS) & (F.col("n_words") >= MIN_COMMON_WORDS))
     judged = judged.select("language", _shares(F.col("classes"), F.col("chars")).alias("classes"),
                            _shares(F.col("common"), F.col("n_words")).alias("common")).distinct()
     sums = [F.sum(F.coalesce(F.get(name, F.lit(i)), F.lit(0))).alias(f"{name}{i}")
             for name, n in zip(("classes", "common"), bins) for i in range(n)]
-    means = judged.groupBy("language").agg(F.count("*").alias("n"), *sums)
-    return means.select("language", *[F.array(*[F.col(f"{name}{i}") / (F.col("n") * SCALE) for i in range(n)]).alias(name)
-                                      for name, n in zip(("classes", "common"), bins)])
+    means = judged.groupBy("language").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= MIN_DOCS)
+    means = means.select("language", *[F.array(*[F.col(f"{name}{i}") / (F.col("n") * SCALE) for i in range(n)]).alias(name)
+                                       for name, n in zip(("classes", "common"), bins)])
+    out = tables.save(means.join(taken, "language", "left"), "references")
+    tables.drop("words")
+    return out
 
 
 def _distance(counts: Column, whole: Column, reference: Column, rest: bool) -> Column:
@@ -138,15 +186,16 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     """``docs`` with a struct column ``into``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, common_distance (null where not judged) and kept.
 
-    Reads ``docs`` twice: once for the references (at most five rows, broadcast), once for the verdicts.
+    Reads ``docs`` three times: for the common words of languages that COMMON does not list, for the references, and for the
+    verdicts. The first two run at once and write tables below the shared folder.
     """
     into = fresh(docs, into)
     names = {name: fresh(docs, f"{into}_{name}") for name in ("row", "words", "measures", "reference")}
     row, measures, reference = (F.col(names[n]) for n in ("row", "measures", "reference"))
     means = references(docs, text, lang)
-    means = means.select(F.col("language").alias(f"{names['reference']}_of"), F.struct("classes", "common").alias(names["reference"]))
-    out = _histograms(docs, text, lang, names["row"], names["words"])
-    out = out.join(F.broadcast(means), row["language"] == F.col(f"{names['reference']}_of"), "left")
+    means = means.select(F.col("language").alias(f"{names['reference']}_of"), F.struct("listed", "classes", "common").alias(names["reference"]))
+    out = docs.join(_few(means), _language(lang) == F.col(f"{names['reference']}_of"), "left")
+    out = _histograms(out, text, lang, names["row"], names["words"], reference["listed"])
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     chars = total(row["classes"])
@@ -156,8 +205,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
         n_words.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         _repeat_words(F.col(names["words"])).alias("n_repeat_words"),
-        F.when(chars >= MIN_CLASS_CHARS, _distance(row["classes"], chars, reference["classes"], False)).alias("class_distance"),
-        F.when((n_words >= MIN_COMMON_WORDS) & (row["language"] != OTHER),
+        F.when(reference.isNotNull() & (chars >= MIN_CLASS_CHARS), _distance(row["classes"], chars, reference["classes"], False)).alias("class_distance"),
+        F.when(reference.isNotNull() & (n_words >= MIN_COMMON_WORDS) & (F.size(row["common"]) > 0),
                _distance(row["common"], n_words, reference["common"], True)).alias("common_distance")))
     failed = (measures["n_words"] < MIN_WORDS) | (100 * measures["n_repeat_words"] > MAX_REPEAT_PERCENT * measures["n_words"])
     near = F.coalesce(measures["class_distance"] <= MAX_CLASS_DISTANCE, F.lit(True)) \

@@ -38,6 +38,35 @@ def test_junk_is_far_and_prose_is_near(spark):
     assert kept[1] > 0.98 and kept[0] < 0.3
 
 
+def _prose(seed, letters, common=(), n=200):
+    """Words of random letters, every fourth one a common word, and one of some digits."""
+    draw = np.random.default_rng(seed)
+    return "7" * (seed % 30) + " " + " ".join(common[i // 4 % len(common)] if common and i % 4 == 0 else "".join(draw.choice(list(letters), 6)) for i in range(n))
+
+
+def test_languages_are_judged_by_their_own(spark):
+    kinds = {"ru": "абвгдежзиклмнопрст", "zh": "天地玄黃宇宙洪荒日月盈昃辰宿列張"}
+    rows = [(100 * k + i, _prose(100 * k + i, letters), lang) for k, (lang, letters) in enumerate(kinds.items()) for i in range(30)]
+    rows += [(900, _prose(900, kinds["ru"]), "zh"), (901, _prose(901, kinds["ru"]), "few"), (902, _prose(902, kinds["zh"]), "few"),
+             (903, _prose(903, kinds["ru"]), None), (904, _prose(904, kinds["zh"]), " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.quality for r in divergence.quality_rules(docs).collect()}
+    assert {i for i, q in got.items() if not q.kept} == {900}
+    assert {i for i, q in got.items() if q.class_distance is None} == {901, 902, 903, 904}
+
+
+def test_common_words_come_from_the_documents(spark):
+    common, letters = ("og", "ikke", "det", "som", "på", "til", "av", "er", "jeg", "han", "ved", "men"), "abdefghijklmnoprstuv"
+    rows = [(i, _prose(i, letters, common), "no") for i in range(30)]
+    rows += [(100 + i, _prose(100, letters), "no") for i in range(40)]  # copies hold more rows than any common word
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    listed = {r.language: set(r.listed) for r in divergence.common_words(docs).collect()}
+    assert listed == {"no": set(common)}
+    got = {r.doc_id: r.quality for r in divergence.quality_rules(docs).collect()}
+    assert {i for i, q in got.items() if q.kept} == set(range(30))
+    assert all(q.common_distance > divergence.MAX_COMMON_DISTANCE for i, q in got.items() if i >= 100)
+
+
 def test_common_words_are_native(spark):
     plan = divergence.op6_quality_rules(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
