@@ -3,8 +3,8 @@
 Lines that begin with ``>`` are quotes, nested as deep as they have such marks. A passage is a run of lines of one level; it and
 its single lines are hashed after normalising (case and white space). The same is done with what messages say themselves.
 A quoted passage comes from the message of its conversation that said it first; if its whole text was never said, its longest
-line decides, and of equally long ones the later message. The message that the longest passage of level one comes from is
-replied to. Following replies upwards gives each message a thread (its topmost message) and a depth; conversations read in the
+line decides, and of equally long ones the later message. Passages of every level are looked up. The lowest level of which one
+was said before decides: the message that its longest passage comes from is replied to. Following replies upwards gives each message a thread (its topmost message) and a depth; conversations read in the
 order of conversation, thread and turn, so that no reply comes before what it answers.
 
 First appearances are aggregated before the join, so each quoted passage meets one row, however often it was said, and no
@@ -78,13 +78,29 @@ def _parsed(messages: DataFrame, text: str, own: str, passages: str) -> DataFram
     return messages.mapInArrow(run, schema)
 
 
+def _quoted(parsed: DataFrame) -> DataFrame:
+    """conv_id, turn, level, size, hash, source: quoted passages of ``parsed`` (conv_id, turn, passages), with the earlier turn that
+    said them first."""
+    units = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
+    said = units.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    return units.where("level > 0").distinct().join(said, ["conv_id", "hash"]).where("source < turn") \
+        .select("conv_id", "turn", "level", "size", "hash", "source")
+
+
 def _links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent of the messages of ``parsed`` (conv_id, turn, passages) that quote an earlier one."""
-    units = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
-    said = units.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("first"))
-    quoted = units.where("level = 1").distinct().join(said, ["conv_id", "hash"]).where("first < turn")
-    return quoted.groupBy("conv_id", "turn").agg(F.max(F.struct("size", "first")).alias("best")) \
-        .select("conv_id", "turn", F.col("best.first").alias("parent"))
+    return _quoted(parsed).groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "size", "source")).alias("best")) \
+        .select("conv_id", "turn", F.col("best.source").alias("parent"))
+
+
+def _keyed(messages: DataFrame, text: str) -> DataFrame:
+    keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col(text).alias("text"))
+    return _parsed(keys.where("conv_id is not null and turn is not null"), "text", "own", "passages").select("conv_id", "turn", "passages")
+
+
+def sources(messages: DataFrame, text: str = "text") -> DataFrame:
+    """conv_id, turn, level, size, hash, source of every passage and line of ``messages`` that quotes an earlier one, at any level."""
+    return _quoted(_keyed(messages, text))
 
 
 def _threads(links: DataFrame, tables: Tables) -> DataFrame:
@@ -109,9 +125,7 @@ def linked(messages: DataFrame, text: str = "text") -> DataFrame:
     into = fresh(messages, "reply")
     own, passages = f"{into}_own", f"{into}_passages"
     tables = Tables(messages.sparkSession, "quotations")
-    keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col(text).alias("text"))
-    parsed = _parsed(keys.where("conv_id is not null and turn is not null"), "text", "own", "passages")
-    links = tables.save(_links(parsed.select("conv_id", "turn", "passages")), "links")
+    links = tables.save(_links(_keyed(messages, text)), "links")
     threads = tables.save(links.join(_threads(links, tables), ["conv_id", "turn"]), "threads")
     conv, turn = f"{into}_conv", f"{into}_turn"
     named = threads.select(F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("parent").alias(f"{into}_to"),

@@ -74,3 +74,14 @@ def test_quotations(spark):
             ("Agreed.", 0, 0, 1), ("", 2, 0, 2)]
     assert got == {r: w for r, w in zip(rows, want)}
     assert quotations.linked(frame.where("false")).collect() == []
+
+
+def test_nested_quotations(spark):
+    rows = [(1, 0, "First line."), (1, 1, "Second."), (1, 2, "Ann wrote:\n>> First line.\nNested only."), (1, 3, ">> First line.\n> Second.\nBoth."),
+            (1, 4, ">> First line.\n> never said\nOuter unknown."), (1, 5, ">>> First line.\n>> Second.\nLowest.")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r.turn: (r.reply.own_text, r.reply.reply_to, r.reply.depth) for r in quotations.linked(frame).collect()}
+    assert got == {0: ("First line.", None, 0), 1: ("Second.", None, 0), 2: ("Nested only.", 0, 1), 3: ("Both.", 1, 1),
+                   4: ("Outer unknown.", 0, 1), 5: ("Lowest.", 1, 1)}
+    found = {(r.turn, r.level, r.source) for r in quotations.sources(frame).collect()}
+    assert found == {(2, 2, 0), (3, 2, 0), (3, 1, 1), (4, 2, 0), (5, 3, 0), (5, 2, 1)}
