@@ -1,9 +1,9 @@
 """HTML extraction: the main text of a page from streamed parser events and text-to-tag ratios.
 
 Every block of a page is a line with a ratio of text to tags. The ratios are smoothed with a Gaussian and split into two clusters;
-the lines of the upper one say where the content is. The content region is the deepest container that holds nearly all of their
-text, or the article element that holds most of the page's text, and all text of that region is kept but for parts that are no content by
-their element or name: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+the lines of the upper one say where the content is. The content region is the deepest container that holds all of them, with the
+lines that stand beside it directly in a container round it (a heading, a lead), or the article elements side by side that hold most
+of the page's text. All text of that region is kept but for parts that are no content by their element or name: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
 
 Defined results: a null or empty page, and one without text, gives an empty text with 0 characters; broken and unclosed markup
 is read as browsers do (a block ends an open paragraph, a stray end tag is ignored); repeated rows give equal results; an empty
@@ -29,9 +29,7 @@ ROWS = "page_id long, url string, text string, n_chars long"
 FEED = 1 << 16
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
-#: Share of the clustered lines' text that the content region holds at least.
-REGION_SHARE = 0.9
-#: Share of all possible text that makes an article element the content region outright.
+#: Share of all possible text that makes article elements side by side the content region outright.
 ARTICLE_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +48,10 @@ NAMES = frozenset(
     "complementary consent contentinfo cookie cookies disqus footer gdpr menu menubar modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination popup promo promoted promotion related respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Those of them that also name a subject: as a part of a name they count only if every part is in NAMES or PARTS.
+AMBIGUOUS = frozenset("ad alert comment comments cookie cookies notice notices notification related respond search share sharing social".split())
+PARTS = frozenset("area article articles bar block box button buttons container content form icons item items links list media news panel "
+                  "post posts reader section site stories top user wrapper".split())
 #: Names that, beside one of those, only describe a page that has such parts.
 ABOUT = frozenset("has no with without open closed enable enabled show hide".split())
 #: Elements that a name alone never removes.
@@ -66,7 +68,8 @@ def _no_content(tag: str, attributes: list, in_article: bool) -> bool:
         if key in ("class", "id", "role") and value:
             for name in value.lower().split():
                 parts = re.split(r"[^a-z]+", name)
-                if not ABOUT.intersection(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
+                known = NAMES if all(not part or part in NAMES | PARTS for part in parts) else NAMES - AMBIGUOUS
+                if not ABOUT.intersection(parts) and (parts[0] in known or parts[-1] in known):
                     return True
     return False
 
@@ -195,17 +198,23 @@ def main_text(html: str | None) -> str:
     for i in range(len(mass) - 1, 0, -1):  # a container comes after the one it stands in
         mass[page.containers[i][0]] += mass[i]
         whole[page.containers[i][0]] += whole[i]
-    region = 0
-    for i, held in enumerate(mass):
-        if held >= REGION_SHARE * mass[0]:
-            region = i  # the later of two such containers stands inside the earlier one
-    articles = [i for i, (_, tag) in enumerate(page.containers) if tag in ARTICLES and whole[i] >= ARTICLE_SHARE * whole[0]]
-    if articles:
-        region = articles[0]
+    beside: dict[int, list[int]] = {}
+    for i, (parent, tag) in enumerate(page.containers):
+        if tag in ARTICLES:
+            beside.setdefault(parent, []).append(i)
+    # Outer ones come first.
+    regions = next((some for some in beside.values() if sum(whole[i] for i in some) >= ARTICLE_SHARE * whole[0]), [])
+    round_it = set()
+    if not regions:
+        region = max(i for i, held in enumerate(mass) if held == mass[0])  # of such containers each stands inside the one before
+        regions = [region]
+        while region > 0:
+            region = page.containers[region][0]
+            round_it.add(region)
     inside = [False] * len(mass)
     for i in range(len(mass)):
-        inside[i] = i == region or i > 0 and inside[page.containers[i][0]]
-    return "\n".join(text for text, _, container, content in lines if content and inside[container])
+        inside[i] = i in regions or i > 0 and inside[page.containers[i][0]]
+    return "\n".join(text for text, _, container, content in lines if content and (inside[container] or container in round_it))
 
 
 def extract(pages: DataFrame) -> DataFrame:

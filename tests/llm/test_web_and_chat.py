@@ -25,6 +25,21 @@ def test_main_text(html, text):
     assert main_text.main_text(html) == text
 
 
+SMALL = "small text " * 8
+WHOLE_PAGES = [
+    (f"<body><nav>n</nav><div><section><p>{LONG * 4}</p></section><section><p>{SMALL}</p><p>{SMALL}</p></section></div></body>", f"{LONG * 4}\n{SMALL}\n{SMALL}"),
+    (f"<body><h1>Title</h1><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p>{'<p>end.</p>' * 4}</div><div><a href=x>a</a></div></body>", "\n".join(["Title", "Lead.", LONG, LONG, *["end."] * 4])),
+    (f"<body><div><article><p>{LONG * 2}</p></article><article><p>{LONG}</p></article></div><p>out</p></body>", f"{LONG * 2}\n{LONG}"),
+    (f"<body><div><p>{LONG}</p><div class=social-history><p>{LONG}</p></div><div id=share-prices><p>{LONG}</p></div><div class=related-work><p>{LONG}</p></div>"
+     f"<div class=share-buttons>{LONG}</div><div class=related>{LONG}</div><div class=post-comments>{LONG}</div></div></body>", "\n".join([LONG] * 4)),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), WHOLE_PAGES)
+def test_whole_region(html, text):
+    assert main_text.main_text(html) == "\n".join(line.strip() for line in text.split("\n"))
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(CASES)] + [(None, None, "<p>a", "x")],
                                   "page_id long, url string, html string, text string")
