@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abacist.llm.arrow import slices
 from abacist.llm.columns import fresh
@@ -43,8 +44,10 @@ from abacist.llm.tables import Tables
 BAND = 1.5
 #: Shingles that at least one of so many documents has are kept out of the segments.
 COMMON_SHARE = 1000
-#: Sides of at most so many ids are sent to all executors (8 bytes each); larger ones are shuffled.
+#: Sides of at most so many ids are sent to all executors (8 to 40 bytes each); larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
+#: What tells sets apart: their size and two hashes.
+KEY = ("n", "k1", "k2")
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
@@ -214,23 +217,33 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return rows.column(0).to_numpy().view(np.uint64)
 
 
+def _set_key(x: np.ndarray) -> list[int]:
+    """Two hashes of a whole set."""
+    with np.errstate(over="ignore"):
+        return np.array([mix(x).sum(dtype=np.uint64), mix(x ^ _M3).sum(dtype=np.uint64)]).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, elements of every row of ``docs`` (node, text)."""
+    """node, elements of the rows of ``docs`` (node, n, k1, k2, text) whose set is the node's own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, limit=1 << 20):
-            found = [x.view(np.int64) for x in shingle_sets(batch.column("text"), width, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "elements"])
+            sets = list(shingle_sets(batch.column("text"), width, hashes))
+            own = [[len(x), *_set_key(x)] == list(key) for x, *key in zip(sets, *(batch.column(c).to_pylist() for c in KEY))]
+            found = [x.view(np.int64) for x, same in zip(sets, own) if same]
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(own, pa.bool_())), pa.array(found, pa.list_(pa.int64()))],
+                                             names=["node", "elements"])
 
     return docs.mapInArrow(run, "node long, elements array<long>")
 
 
-def _with_sets(pairs: DataFrame, docs: DataFrame, width: int, tables: Tables, name: str) -> DataFrame:
+def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, tables: Tables, name: str) -> DataFrame:
     """``pairs`` (a, b) with the whole sets of both, x and y."""
-    wanted = tables.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = tables.save(classes.join(nodes, "node"), f"{name}-nodes")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    whole = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
+    whole = docs.join(wanted, docs.doc_id == wanted.doc).select("node", *KEY, "text")
     sets = tables.save(_sets(whole, width).dropDuplicates(["node"]), f"{name}-sets")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
@@ -286,6 +299,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
 
     Runs Spark jobs at once and writes tables below the shared folder.
     """
+    return _judged(docs, width, p, q).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _judged(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """doc_id, n, k1, k2, component_id of every row of ``docs``. Each different set is a node of its own, whatever doc_ids have it."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tables = Tables(spark, "jaccard-join")
@@ -295,18 +313,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
         hashes = WordHashes()
         for batch in slices(batches, limit=2 << 20):
             found = list(shingle_sets(batch.column("text"), width, hashes))
-            with np.errstate(over="ignore"):
-                keys = [np.array([mix(x).sum(dtype=np.uint64), mix(x ^ _M3).sum(dtype=np.uint64)]).view(np.int64) for x in found]
+            keys = [_set_key(x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([int(k[0]) for k in keys], pa.int64()),
-                 pa.array([int(k[1]) for k in keys], pa.int64()),
+                [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                 pa.array([k[1] for k in keys], pa.int64()),
                  pa.array([index.signatures(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))],
                 names=["doc_id", "n", "k1", "k2", "signatures"])
 
-    key = ["n", "k1", "k2"]
+    key = list(KEY)
     signed = tables.save(docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, signatures array<long>"), "signed")
-    classes = tables.save(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = tables.save(signed.withColumn("node", F.col("doc_id")).join(classes, [*key, "node"]).select("node", "n", "signatures"), "nodes")
+    classes = tables.save(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc"))
+                          .withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = tables.save(signed.withColumn("doc", F.col("doc_id")).join(classes, [*key, "doc"]).select("node", "n", "signatures"), "nodes")
     members = tables.save(signed.drop("signatures"), "members")
     tables.drop("signed")
 
@@ -315,7 +333,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
                          .select("signature", "first"), "shared")
     pairs = tables.save(rows.join(shared, "signature").where("node <> first")
                         .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    stars = tables.save(_compared(_with_sets(pairs, docs, width, tables, "star"), p, q, index.common), "stars")
+    stars = tables.save(_compared(_with_sets(pairs, docs, classes, width, tables, "star"), p, q, index.common), "stars")
     edges = stars.where("linked").select("a", "b")
     linked = tables.save(components(edges, tables, "linked"), "linked")
 
@@ -340,36 +358,58 @@ def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> Da
         .select(F.least("b_one", "b_two").alias("a"), F.greatest("b_one", "b_two").alias("b")).distinct()
     rest = tables.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     both = F.size(F.array_intersect("x", "y"))
-    more = tables.save(_with_sets(rest, docs, width, tables, "rest").where(q * both >= p * (F.size("x") + F.size("y") - both))
+    more = tables.save(_with_sets(rest, docs, classes, width, tables, "rest").where(q * both >= p * (F.size("x") + F.size("y") - both))
                        .select("a", "b"), "more")
     if not more.isEmpty():
         linked = tables.save(components(edges.unionByName(more), tables, "all"), "all")
     tables.drop("nodes", "shared", "pairs", "star-nodes", "star-sets", "stars", "members-of", "groups", "rest", "rest-nodes", "rest-sets", "more")
 
-    classes = classes.join(linked, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
+    lowest = tables.save(linked.join(classes, "node").groupBy("component").agg(F.min("doc").alias("lowest")), "lowest")
+    if lowest.count() <= BROADCAST_IDS:
+        lowest = F.broadcast(lowest)
+    named = linked.join(lowest, "component").select("node", "lowest")
+    classes = classes.join(named, "node", "left").select(*key, F.coalesce("lowest", "doc").alias("component"))
     return members.join(classes, key, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", *key, F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _with_keys(docs: DataFrame, width: int, into: str) -> DataFrame:
+    """``docs`` with the key of each row's set."""
+    key = T.StructType([T.StructField(c, T.LongType()) for c in KEY])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, limit=1 << 20):
+            keys = [dict(zip(KEY, (len(x), *_set_key(x)))) for x in shingle_sets(batch.column("text").cast(pa.string()), width, hashes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.struct([(c, pa.int64()) for c in KEY]))],
+                                             names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, key)]))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """Rows of ``docs`` without those that are similar to one of a smaller doc_id, directly or by way of others.
 
-    Of several rows of one doc_id one stays; of rows without a doc_id those whose text no other row has, and one of equal ones.
+    Of several rows of one doc_id one stays that is no copy itself; of rows without a doc_id those whose text no other row has, and one of equal ones.
     """
-    found = jaccard_join(docs, width, p, q).where("doc_id is not null")
-    marks = found.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("copy"), F.count("*").alias("rows"))
-    id_name, copy_name = fresh(docs, "copy_id"), fresh(docs, "copy_of")
+    found = _judged(docs, width, p, q).where("doc_id is not null")
+    copy = F.col("component_id") < F.col("doc_id")
+    marks = found.groupBy("doc_id").agg(F.min(copy).alias("copy"), F.count("*").alias("rows"), F.min(F.when(~copy, F.struct(*KEY))).alias("own"))
+    id_name, copy_name, own_name, set_name = (fresh(docs, c) for c in ("copy_id", "copy_of", "copy_own", "copy_set"))
     marks = Tables(docs.sparkSession, "one-of-each").save(
-        marks.where("copy or rows > 1").select(F.col("doc_id").alias(id_name), F.col("copy").alias(copy_name)), "marks")
+        marks.where("copy or rows > 1").select(F.col("doc_id").alias(id_name), F.col("copy").alias(copy_name), F.col("own").alias(own_name)), "marks")
 
     def kept(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
         listed = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
-        return rows.join(listed.select(id_name), rows["doc_id"].cast("long") == listed[id_name], how)
+        return rows.join(listed, rows["doc_id"].cast("long") == listed[id_name], how)
 
     out = kept(docs, marks, "left_anti")
     repeated = marks.where(~F.col(copy_name))
     if not repeated.isEmpty():
-        out = out.unionByName(kept(docs, repeated, "left_semi").dropDuplicates(["doc_id"]))
+        rows = kept(_with_keys(docs.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated,
+                                         docs["doc_id"].cast("long") == repeated[id_name], "left_semi"), width, set_name), repeated, "inner")
+        rows = rows.where(F.col(set_name) == F.col(own_name))
+        out = out.unionByName(rows.select(*docs.columns).dropDuplicates(["doc_id"]))
     if docs.where("doc_id is null").isEmpty():
         return out
     key = fresh(docs, "text_key")

@@ -47,6 +47,17 @@ def test_one_of_each_keeps_the_smallest(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([(1, "a b c d e f g"), (3, None), (4, ""), (5, "x y z"), (None, "p q r s t u")], key=repr)
 
 
+def test_texts_of_one_id_are_judged_each_by_its_own(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (7, one + " more"), (7, two), (7, three), (8, two + " more"), (9, three + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in partition_join.jaccard_join(docs).collect())
+    assert got == [(1, 1, 56), (7, 1, 57), (7, 7, 56), (7, 7, 56), (8, 7, 57), (9, 7, 57)]
+    rows = [(1, one), *[(5, one)] * 8, (5, two), *[(5, one + " more")] * 8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, partition_join.one_of_each(docs).collect())) == [(1, one), (5, two)]
+
+
 def test_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert partition_join.jaccard_join(none).collect() == [] and partition_join.one_of_each(none).collect() == []
