@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_files", "token_counts", "divergence", "byte_net", "main_text", "partition_join", "containment", "sentence_pieces", "url_lists", "quotations")
+MODULES = ("token_files", "token_counts", "divergence", "byte_net", "main_text", "partition_join", "containment", "sentence_pieces", "url_lists", "quotations",
+           "merkle", "personal_data")
 
 
 def _collect(attribute: str) -> dict:
