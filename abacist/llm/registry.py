@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("token_files", "token_counts", "divergence", "byte_net", "main_text", "partition_join", "containment", "sentence_pieces", "url_lists", "quotations",
-           "merkle", "personal_data")
+           "merkle", "personal_data", "spellings")
 
 
 def _collect(attribute: str) -> dict:
