@@ -1,6 +1,8 @@
 """Main texts, URL lists and quotations on hand-made cases."""
 
 import datetime
+import math
+import random
 
 import pytest
 
@@ -10,7 +12,7 @@ LONG = "long text " * 30
 CASES = [
     (None, ""), ("", ""), ("<p>only", "only"), ("no tags &lt;at all&gt;", "no tags <at all>"),
     ("<div><script>var a='<p>x</p>'</script></div>", ""), ("<!-- open <p>hi</p>", ""),
-    ("<article><header><h1>Tt</h1></header><p>a<p>b&nbsp; c<ul><li>d</li></ul><footer>f</footer></article><div>zz</div>", "Tt\na\nb c\nd"),
+    ("<article><header><h1>Tt</h1></header><p>a<p>b&nbsp; c<ul><li>d</li></ul><footer>f</footer></article><div class=sidebar>zz</div>", "Tt\na\nb c\nd"),
     ("<table><tr><td>a</td><td>b c</td></tr></table>", "a\nb c"),
     (f"<body><div class='cookie-notice'>We use cookies {LONG}</div><div id=content><h1>T</h1><p>Hi &amp; <b>wor</b>ld<br>x</p><p>{LONG}</p>"
      f"<div class=comments><p>{LONG}</p></div><form><label>N</label></form><aside>s</aside></div><div class=sidebar>{LONG}</div></body>",
@@ -29,7 +31,19 @@ SMALL = "small text " * 8
 WHOLE_PAGES = [
     (f"<body><nav>n</nav><div><section><p>{LONG * 4}</p></section><section><p>{SMALL}</p><p>{SMALL}</p></section></div></body>", f"{LONG * 4}\n{SMALL}\n{SMALL}"),
     (f"<body><h1>Title</h1><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p>{'<p>end.</p>' * 4}</div><div><a href=x>a</a></div></body>", "\n".join(["Title", "Lead.", LONG, LONG, *["end."] * 4])),
-    (f"<body><div><article><p>{LONG * 2}</p></article><article><p>{LONG}</p></article></div><p>out</p></body>", f"{LONG * 2}\n{LONG}"),
+    (f"<body><div><article><p>{LONG * 2}</p></article><article><p>{LONG}</p></article></div><p>out</p></body>", f"{LONG * 2}\n{LONG}\nout"),
+    (f"<div class=content><h1>The title</h1><p>Lead by someone.</p><article>{LONG}</article></div>", f"The title\nLead by someone.\n{LONG}"),
+    (f"<article>{LONG}</article><div class=part>SECOND {LONG}</div>", f"{LONG}\nSECOND {LONG}"),
+    (f"<div id=w><section>{LONG}</section><section><h2>End</h2><p>Short end.</p></section></div>", f"{LONG}\nEnd\nShort end."),
+    (f"<form id=aspnetForm><div>{LONG}</div><div class=menu>m</div></form>", LONG),
+    (f"<header class=entry-header><h1>Title</h1></header><div class=entry-content>{LONG}</div><header>site</header>", f"Title\n{LONG}"),
+    (f"<div class=menu-recipes>{LONG}</div><div class=promo-code-guide>{LONG}</div><div class='sidebar-left'>{LONG}</div>", f"{LONG}\n{LONG}"),
+    (f"<div><div><p>{LONG}</p><p>{LONG}</p></div></div><div><ul><li><a href=1>one</a><li><a href=2>two {LONG}</a></ul></div><p><a href=3>up</a>", f"{LONG}\n{LONG}"),
+    (f"<div class=text><p>{LONG}</p></div><div class=text><p>end</p></div><div class=other>imprint</div>", f"{LONG}\nend"),
+    (f"<article><p>{LONG}</p></article><div class=comments>{LONG * 9}</div>", LONG),
+    (f"<body><div class=x><p>{LONG}</div><div class=teaser><p>one</p><p>two</p></div>", LONG),
+    (f"<body><div class=x><p>{LONG}</div><div class=y>{'<p>a</p>' * 5}</div>", LONG),
+    (f"<div><div class=x><p>{LONG}<p>{LONG}</div></div><div class=z>{'<p>Copyright</p>' * 4}</div>", f"{LONG}\n{LONG}"),
     (f"<body><div><p>{LONG}</p><div class=social-history><p>{LONG}</p></div><div id=share-prices><p>{LONG}</p></div><div class=related-work><p>{LONG}</p></div>"
      f"<div class=share-buttons>{LONG}</div><div class=related>{LONG}</div><div class=post-comments>{LONG}</div></div></body>", "\n".join([LONG] * 4)),
 ]
@@ -37,7 +51,41 @@ WHOLE_PAGES = [
 
 @pytest.mark.parametrize(("html", "text"), WHOLE_PAGES)
 def test_whole_region(html, text):
-    assert main_text.main_text(html) == "\n".join(line.strip() for line in text.split("\n"))
+    assert main_text.main_text(html) == "\n".join(line.strip() for line in text.strip().split("\n"))
+
+
+def test_clusters_decide(monkeypatch):
+    """Where the cut between the clusters lies changes what is taken on at least one page in five."""
+    pages = [h for h, _ in CASES + WHOLE_PAGES]
+    real = [main_text.main_text(h) for h in pages]
+    changed = set()
+    for cut in (-1.0, 1e12):
+        monkeypatch.setattr(main_text, "threshold", lambda values, cut=cut: cut)
+        changed |= {i for i, h in enumerate(pages) if main_text.main_text(h) != real[i]}
+    assert 5 * len(changed) >= len(pages), len(changed)
+
+
+def plain_clusters(values, sigma=main_text.SIGMA):
+    """Ratios smoothed and cut, position by position: the best of all cuts into two clusters that 2-means can end in."""
+    smooth = []
+    for i in range(len(values)):
+        weights = {j: math.exp(-(i - j) ** 2 / (2 * sigma**2)) for j in range(len(values)) if abs(i - j) <= math.ceil(3 * sigma)}
+        smooth.append(sum(weights[j] * values[j] for j in weights) / sum(weights.values()))
+    return smooth
+
+
+def test_smoothing_and_clusters_are_those_of_plain_loops():
+    rng = random.Random(1)
+    for _ in range(200):
+        values = [rng.choice([rng.uniform(0, 5), rng.uniform(0, 200)]) for _ in range(rng.randint(1, 40))]
+        smooth = main_text.smoothed(values)
+        assert smooth == pytest.approx(plain_clusters(values))
+        cut = main_text.threshold(smooth)
+        lower, upper = [v for v in smooth if v <= cut], [v for v in smooth if v > cut]
+        assert upper
+        if lower:  # a fixed point: every value is nearer to its own centre, and the centres are apart
+            low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+            assert 2 * low < high and all(abs(v - low) <= abs(v - high) + 1e-9 for v in lower) and all(abs(v - high) <= abs(v - low) + 1e-9 for v in upper)
 
 
 def test_pages(spark):
