@@ -1,61 +1,55 @@
-"""Exact order statistics without a global sort."""
+"""Exact order statistics by radix selection: no sort of the values, and none of them leaves its task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000  # rank error of a quantile sketch is n / ACCURACY
-STEPS = 200  # grid of the later sketches
-ROUNDS = 2  # later sketches
+#: Bits of the three digits of a 64-bit number, the highest one first; a histogram has at most 2 ** 22 bins.
+DIGITS = (22, 21, 21)
+_LOW = 0x7FFFFFFFFFFFFFFF
+
+
+def ordered(value: Column) -> Column:
+    """A double (null as 0) as a signed 64-bit number of the same order (-0.0 as 0.0, NaN above all): its bits, those of negative values flipped but for the sign."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value.cast("double"), F.lit(0.0)) + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOW))).otherwise(bits)
+
+
+def _chosen(rows: DataFrame, shift: int, bits: int, rank: Column) -> DataFrame:
+    """One row ``at``: the digit under which the value of this rank lies, the rank among the values of that digit, and one of them.
+
+    ``rank`` may use ``n``, the number of rows. Counts by digit are merged before they are shuffled; their prefix sums choose.
+    """
+    digit = F.shiftright("key", shift)
+    digit = digit if shift + bits == 64 else digit.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    bins = rows.groupBy(digit.alias("digit")).agg(F.count("*").alias("c"), F.min("v").alias("v"))
+    listed = bins.agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("digit", "c", "v"))).alias("bins")) \
+        .withColumn("rank", rank.cast("long"))
+    start = F.struct(F.col("rank").alias("rank"), F.lit(None).cast("long").alias("digit"), F.lit(None).cast("double").alias("v"))
+
+    def step(state: Column, x: Column) -> Column:
+        here = state["digit"].isNull() & (state["rank"] < x["c"])
+        passed = F.when(state["digit"].isNull() & ~here, state["rank"] - x["c"]).otherwise(state["rank"])
+        return F.struct(passed.alias("rank"), F.when(here, x["digit"]).otherwise(state["digit"]).alias("digit"),
+                        F.when(here, x["v"]).otherwise(state["v"]).alias("v"))
+
+    return listed.select(F.aggregate("bins", start, step).alias("at"))
 
 
 def quantile_element(values: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row ``value`` = ``sorted(column)[int(n * fraction)]``; null when there is no value.
 
-    Mergeable quantile sketches narrow the column, pass by pass, to a band of about n / 2,000,000 rows round
-    the wanted rank; only that band is ranked, by counts per distinct value, so duplicates collapse before
-    they move. Rows below the band are counted exactly, and a band is many times wider than the guaranteed
-    rank error of a sketch, so the element is exact.
+    Three passes, one for each digit: each counts the values that agree in the digits chosen before by their next digit.
     """
-    data = values.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
-    slack = 2 / ACCURACY
-    sketch = F.percentile_approx("v", [max(0.0, fraction - slack), min(1.0, fraction + slack)], ACCURACY)
-    band = data.agg(sketch.alias("q")).select(
-        F.struct(F.lit(0).cast("bigint").alias("rank"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high")).alias("band"))
-    for _ in range(ROUNDS):
-        band = _narrow(data, band.scalar(), fraction)
-
-    v = F.col("v")
-    final = data.select("v", band.scalar().alias("band")).select("v", "band.*")
-    below = ~_from(v)
-    # Everything below the band becomes one group, so the running sum starts from an exact count.
-    counts = final.filter(_upto(v)).groupBy(below.alias("outside"), F.when(~below, v).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"), F.first("rank").alias("rank"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first())))
-    return running.filter(~F.col("outside") & (F.col("upto") > F.col("rank"))).agg(F.min("v").alias("value"))
-
-
-def _from(v: Column) -> Column:
-    return F.coalesce(v >= F.col("low"), F.lit(True))
-
-
-def _upto(v: Column) -> Column:
-    return F.coalesce(v <= F.col("high"), F.lit(True))
-
-
-def _narrow(data: DataFrame, band: Column, fraction: float) -> DataFrame:
-    """The part of ``band`` that holds the rank, checked against exact counts; unbounded if the band misses it."""
-    v = F.col("v")
-    probe = data.select("v", band.alias("band")).select("v", "band.low", "band.high").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~_from(v)).alias("below"), F.count_if(_upto(v)).alias("upto"),
-        F.percentile_approx(F.when(_from(v) & _upto(v), v), [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("grid"),
-    ).withColumn("rank", F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1))
-    inside = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("upto"))
-    cell = F.floor((F.col("rank") - F.col("below")) / F.greatest(F.lit(1), F.col("upto") - F.col("below")) * STEPS)
-
-    def edge(offset: int) -> Column:
-        place = F.greatest(F.lit(1), F.least(cell + offset, F.lit(STEPS + 1))).cast("int")
-        return F.when(inside, F.element_at("grid", place))
-
-    return probe.select(F.struct("rank", edge(-2).alias("low"), edge(5).alias("high")).alias("band"))
+    v = F.col(column).cast("double")
+    rows = values.select(v.alias("v"), ordered(v).alias("key")).where("v is not null")
+    rank, at, shift = F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1), None, 64
+    for bits in DIGITS:
+        shift -= bits
+        at = _chosen(rows, shift, bits, rank)
+        chosen = at.scalar()
+        digit = F.shiftright("key", shift)
+        digit = digit if shift + bits == 64 else digit.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        rows, rank = rows.where(digit == chosen["digit"]), chosen["rank"]
+    return at.select(F.col("at.v").alias("value"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import struct
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -25,6 +27,21 @@ def test_quantile_element(spark, n):
     assert quantile_element(df, "x", 0.95).first().value == want
 
 
+def test_quantile_element_by_digits(spark):
+    """Distinct values over the whole range of doubles, signs and zeros, equal ones, none; three passes over the values."""
+    rng = random.Random(4)
+    some = [struct.unpack("<d", struct.pack("<q", rng.getrandbits(64) - 2**63))[0] for _ in range(3000)]
+    some = [x for x in some if x == x] + [0.0, -0.0, 1.0, math.nextafter(1.0, 2), math.inf, -math.inf, 5e-324, -5e-324]
+    for values in (some, [2.5] * 500, [math.nextafter(1.0, 2)] * 30 + [1.0] * 30, [-1.0, None, -2.0], [None]):
+        df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+        known = sorted(x for x in values if x is not None)
+        for fraction in (0.0, 0.5, 0.95, 1.0):
+            got = quantile_element(df, "x", fraction)
+            assert got.first().value == (known[min(int(len(known) * fraction), len(known) - 1)] if known else None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
 def test_quantile_element_large_and_constant(spark):
     df = spark.range(200_000).select(F.pmod(F.col("id") * 7919, F.lit(199_999)).cast("double").alias("x"))
     values = sorted((i * 7919) % 199_999 for i in range(200_000))
