@@ -69,7 +69,8 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     which share their bit, lift no word above those of many documents.
     """
     rows = docs.select(_language(lang).alias("language"), F.col(text).cast("string").alias("text")).where(~F.col("language").isin(*COMMON))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
+    hashed = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 2), 16, 10).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed, F.lit(64)))
     rows = rows.select("language", bit.alias("bit"), _words(F.col("text")).alias("words")).where(F.size("words") >= MIN_COMMON_WORDS)
     held = rows.select("language", "bit", F.explode(F.array_distinct("words")).alias("word")).groupBy("language", "word").agg(
         F.bit_count(F.bit_or("bit")).alias("bits"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
@@ -201,13 +202,14 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     chars = total(row["classes"])
     symbols = F.get(row["classes"], F.lit(CLASSES.index(SYMBOLS + "+"))).cast("long")
     n_words = row["n_words"].cast("long")
-    out = out.withColumn(names["measures"], F.struct(
+    # A generator of one row: a filter on the verdict is not pushed through it, so that nothing is evaluated again for each use.
+    out = out.withColumn(names["measures"], F.explode(F.array(F.struct(
         n_words.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         _repeat_words(F.col(names["words"])).alias("n_repeat_words"),
         F.when(reference.isNotNull() & (chars >= MIN_CLASS_CHARS), _distance(row["classes"], chars, reference["classes"], False)).alias("class_distance"),
         F.when(reference.isNotNull() & (n_words >= MIN_COMMON_WORDS) & (F.size(row["common"]) > 0),
-               _distance(row["common"], n_words, reference["common"], True)).alias("common_distance")))
+               _distance(row["common"], n_words, reference["common"], True)).alias("common_distance")))))
     failed = (measures["n_words"] < MIN_WORDS) | (100 * measures["n_repeat_words"] > MAX_REPEAT_PERCENT * measures["n_words"])
     near = F.coalesce(measures["class_distance"] <= MAX_CLASS_DISTANCE, F.lit(True)) \
         & F.coalesce(measures["common_distance"] <= MAX_COMMON_DISTANCE, F.lit(True))
@@ -231,10 +233,17 @@ WITH common_words(language, common_list) AS (VALUES
   ('es', ['de', 'la', 'que', 'el', 'en', 'y', 'a', 'los', 'se', 'del', 'las', 'un']),
   ('fr', ['de', 'la', 'le', 'et', 'les', 'des', 'en', 'un', 'du', 'une', 'que', 'est'])),
 texts AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-         CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE '*' END AS language FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, text, CASE WHEN trim(lang, ' ') <> '' THEN lang END AS language FROM documents),
 worded AS (
   SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM texts),
+held AS (
+  SELECT language, word, count(DISTINCT bit) AS bits, count(*) AS n FROM (
+    SELECT language, ('0x' || md5(t)[1:2])::INT % 64 AS bit, unnest(list_distinct(words)) AS word
+    FROM worded WHERE text IS NOT NULL AND len(words) >= 120 AND language NOT IN ('de', 'en', 'es', 'fr')) GROUP BY language, word HAVING count(*) >= 10),
+listed AS (
+  SELECT * FROM common_words UNION ALL
+  SELECT language, list(word ORDER BY bits DESC, n DESC, word) FROM (
+    SELECT *, row_number() OVER (PARTITION BY language ORDER BY bits DESC, n DESC, word) AS place FROM held) WHERE place <= 12 GROUP BY language),
 c0 AS (SELECT *, coalesce(array_to_string(words, ''), '') AS s0 FROM worded),
 c1 AS (SELECT *, regexp_replace(s0, '\p{Ll}+', '', 'g') AS s1 FROM c0),
 c2 AS (SELECT *, regexp_replace(s1, '\p{Lu}+', '', 'g') AS s2 FROM c1),
@@ -247,11 +256,12 @@ counted AS (
          [length(s0) - length(s1), length(s1) - length(s2), length(s2) - length(s3), length(s3) - length(s4),
           length(s4) - length(s5), length(s5) - length(s6), length(s6)] AS classes,
          list_transform(coalesce(common_list, []), lambda c: len(list_filter(words, lambda x: x = c))) AS common
-  FROM c6 c LEFT JOIN common_words k ON c.language = k.language),
+  FROM c6 c LEFT JOIN listed k ON c.language = k.language),
 shares AS (
   SELECT DISTINCT language, list_transform(classes, lambda c: c * 1000000 // greatest(word_chars, 1)) AS a,
          list_transform(common, lambda c: c * 1000000 // greatest(n_words, 1)) AS b
-  FROM counted WHERE word_chars >= 150 AND n_words >= 120),
+  FROM counted WHERE word_chars >= 150 AND n_words >= 120 AND language IS NOT NULL),
+enough AS (SELECT language FROM shares GROUP BY language HAVING count(*) >= 10),
 ref_a AS (
   SELECT language, list(m ORDER BY i) AS ref_classes FROM (
     SELECT language, i, sum(a[i]) / (count(*) * 1000000.0) AS m FROM shares, range(1, 8) g(i) GROUP BY language, i) GROUP BY language),
@@ -261,11 +271,11 @@ ref_b AS (
   GROUP BY language),
 pairs AS (
   SELECT r, 'a' AS kind, classes[i] / word_chars::DOUBLE AS p, ref_classes[i] AS q
-  FROM counted JOIN ref_a USING (language), range(1, 8) g(i) WHERE word_chars >= 150
+  FROM counted JOIN ref_a USING (language) JOIN enough USING (language), range(1, 8) g(i) WHERE word_chars >= 150
   UNION ALL
-  SELECT r, 'b', CASE WHEN i <= 12 THEN common[i] / n_words::DOUBLE ELSE 1 - list_sum(common) / n_words::DOUBLE END,
+  SELECT r, 'b', CASE WHEN i <= 12 THEN coalesce(common[i], 0) / n_words::DOUBLE ELSE 1 - list_sum(common) / n_words::DOUBLE END,
          CASE WHEN i <= 12 THEN ref_common[i] ELSE 1 - list_sum(ref_common) END
-  FROM counted JOIN ref_b USING (language), range(1, 14) g(i) WHERE n_words >= 120 AND language <> '*'),
+  FROM counted JOIN ref_b USING (language) JOIN enough USING (language), range(1, 14) g(i) WHERE n_words >= 120 AND len(common) > 0),
 distances AS (
   SELECT r, sqrt(greatest(0, sum(CASE WHEN kind = 'a' THEN h ELSE 0 END))) AS class_distance,
          sqrt(greatest(0, sum(CASE WHEN kind = 'b' THEN h ELSE 0 END))) AS common_distance

@@ -1,9 +1,14 @@
 """Quality rules against plain Python, the classifier on held-out labels, and the odd cases of both."""
 
+import re
+
+import duckdb
 import numpy as np
 import plain
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from abacist.llm import byte_net, divergence
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -67,6 +72,36 @@ def test_common_words_come_from_the_documents(spark):
     assert all(q.common_distance > divergence.MAX_COMMON_DISTANCE for i, q in got.items() if i >= 100)
 
 
+def test_twin_follows_the_code_in_any_language(spark, tmp_path):
+    """A language with listed words, two with words from the corpus, a rare one, blank ones, copies and foreign texts."""
+    common = {"no": ("og", "ikke", "det", "som", "på", "til", "av", "er", "jeg", "han", "ved", "men", "så"), "pt": ("não", "uma", "os", "ao")}
+    letters = {"no": "abdefghijklmnoprstuv", "pt": "aceilmnoprst", "ru": "абвгдежзиклмнопрст"}
+    rows = [(100 * k + i, _prose(100 * k + i, letters[lang], common.get(lang, ()), 150 + 3 * i), lang) for k, lang in enumerate(letters) for i in range(25)]
+    rows += [(1000 + i, _prose(5, letters["no"], (), 200), "no") for i in range(30)] + [(1100 + i, _prose(900 + i, letters["ru"], (), 200), lang) for i, lang in
+                                                                                          enumerate(["no", "pt", "rare", None, " ", "en", "ru"])]
+    rows += [(1200 + i, _prose(i, "etaoinshrdlu", divergence.COMMON["en"], 200), "en") for i in range(12)] + [(1300, None, "no"), (1301, "", "pt"), (1302, "é " * 130, "pt")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(divergence.ORACLES["op6_quality_rules"])
+    names = [c[0] for c in result.description]
+    want = sorted(result.fetchall())
+    assert sorted(tuple(r) for r in divergence.op6_quality_rules(spark, str(tmp_path)).select(*names).collect()) == want
+    kept = {r[0]: r[-1] for r in want}
+    assert sum(kept.values()) > 60 and not kept[1000] and not kept[1100] and kept[1102]
+
+
+def test_rules_are_evaluated_once_in_the_pipeline(spark):
+    """A filter on the verdict repeats nothing of what the verdict is made from."""
+    def counts(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.findall(r"split\(", plan)), len(re.findall("regexp_replace", plan))
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plain_rules, stage = counts(divergence.quality_rules(docs)), counts(corpus_pipeline.quality_rules(spark, docs, SF_DIR))
+    assert stage == plain_rules == (2, len(divergence.CLASSES))
+
+
 def test_common_words_are_native(spark):
     plan = divergence.op6_quality_rules(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -97,6 +132,34 @@ def test_every_part_of_a_text_counts():
     assert np.allclose(batch, [model.score([x])[0] for x in (text, b"", b"JUNK!! " * 9, text)])
 
 
+def plain_score(model, text):
+    """The network position by position: padded as its layout says, chunks of CHUNK blocks every STEP, maxima, means."""
+    size, width = byte_net.BLOCK, byte_net.WIDTH
+    blocks = -(-(len(text) + width - 1) // size)
+    data = text + bytes([byte_net.PAD]) * (blocks * size - len(text))
+    answers = []
+    for i in range(blocks * size - width + 1):
+        answers.append((i, sum(model.filters[j][data[i + j]].astype(np.float64) for j in range(width))))
+    starts = [0]
+    while starts[-1] + byte_net.CHUNK < blocks:
+        starts.append(starts[-1] + byte_net.STEP)
+    pooled = []
+    for first in starts:
+        last = min(first + byte_net.CHUNK, blocks)
+        pooled.append(np.tanh(np.max([x for i, x in answers if first * size <= i < last * size], axis=0) + model.bias))
+    given = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+    return 1 / (1 + np.exp(-(given @ model.weights + model.offset)))
+
+
+def test_scores_are_those_of_a_plain_loop():
+    model = byte_net.train([b"good prose " * 9, b"JUNK!! " * 9] * 20, np.array([1, 0] * 20), 0.5)
+    draw = np.random.default_rng(2)
+    size = byte_net.BLOCK
+    lengths = [0, 1, size - 1, size, size + 1, size * byte_net.CHUNK, size * byte_net.CHUNK + 1, size * (byte_net.CHUNK + byte_net.STEP), size * 40 + 7]
+    texts = [bytes(draw.integers(32, 127, n).astype(np.uint8)) for n in lengths]
+    assert np.allclose(model.score(texts), [plain_score(model, x) for x in texts], atol=1e-4)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
