@@ -34,6 +34,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b")))
         after = tables.save(small.distinct(), f"{name}-{step}")
         tables.drop(f"{name}-{step}l", f"{name}-{step}m", f"{name}-{step}s")
+        tables.drop(f"{name}-{step - 1}")
         before, seen, now = seen, _print(after), after
         if seen == before:
             break

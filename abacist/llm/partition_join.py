@@ -10,10 +10,12 @@ expected to get there. What would meet everybody is not probed at all: empty sub
 documents have (they are kept out of the segments). A set gets further segments in exchange; one that has not enough left is
 indexed once more with all its shingles, and if that is not enough, with its empty segments too, and meets its like there.
 
-Equal sets are joined first. A signature that several sets share gives one pair for each of them with the smallest of them, not
-all pairs. Two of them that are not both linked to the smallest may still be linked with each other: such pairs are found by
-their differences from it (see ``_compared``) and verified too, unless links connect them already, so no link between components
-is lost.
+Equal sets are joined first. Sets that share a signature make a group, named by the smallest of them: each of them gives one row, not
+one for each other. Groups are resolved in chunks of bounded size (see ``links``): within a chunk, sets meet by their differences
+from the chunk's majority, in which whatever most of them share is no element. A group of several chunks is described once more:
+each set by its difference from the majority of a sample that all chunks see. What is close enough to it is linked outright, and
+sets of the group that share one of the first elements of their differences make smaller groups, which are resolved in the same way, until none
+is left. So links cost rows in proportion to sets, and no link between components is lost.
 
 Shingles are 64-bit hashes of words; two different ones of a pair of sets of n elements agree with odds of about n² / 2⁶⁴.
 
@@ -223,74 +225,200 @@ def _set_key(x: np.ndarray) -> list[int]:
         return np.array([mix(x).sum(dtype=np.uint64), mix(x ^ _M3).sum(dtype=np.uint64)]).view(np.int64).tolist()
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, elements of the rows of ``docs`` (node, n, k1, k2, text) whose set is the node's own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, limit=1 << 20):
-            sets = list(shingle_sets(batch.column("text"), width, hashes))
-            own = [[len(x), *_set_key(x)] == list(key) for x, *key in zip(sets, *(batch.column(c).to_pylist() for c in KEY))]
-            found = [x.view(np.int64) for x, same in zip(sets, own) if same]
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(own, pa.bool_())), pa.array(found, pa.list_(pa.int64()))],
-                                             names=["node", "elements"])
+#: Elements of a chunk: what one task resolves at once (8 bytes each).
+CHUNK_ELEMENTS = 1 << 19
+#: Members of a group of several chunks that all of them see, about so many.
+SAMPLE_SETS = 32
 
-    return docs.mapInArrow(run, "node long, elements array<long>")
 
+class Links:
+    """Joins members and remembers which unions did it."""
 
-def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, tables: Tables, name: str) -> DataFrame:
-    """``pairs`` (a, b) with the whole sets of both, x and y."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = tables.save(classes.join(nodes, "node"), f"{name}-nodes")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    whole = docs.join(wanted, docs.doc_id == wanted.doc).select("node", *KEY, "text")
-    sets = tables.save(_sets(whole, width).dropDuplicates(["node"]), f"{name}-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-
-def _compared(pairs: DataFrame, p: int, q: int, common: np.ndarray) -> DataFrame:
-    """a, b, linked, near (a similarity of a half), b's size, that of its difference from a (``apart``), and, as ``prefix``, the
-    first elements of this difference, of which ``short`` will do in one role.
-
-    Two sets b and c that are similar enough, of which b is not so to a, have differences from a that overlap, by at least half of
-    what both together are above the most that c may differ from b. With r = (q - p) / (q + p) the latter is r * (|b| + |c|),
-    while b's difference from a is above r * (|a| + |b|); so more than half of c's difference less r / 2 * (|c| - |a|) is shared,
-    and at least what b's is above its D. Then some element is among the first ones of both, in any order; here what a or very many
-    documents have comes last, as it would pair unlike documents.
-    """
-    order = np.sort(common)
+    def __init__(self, n: int) -> None:
+        self.top, self.made = list(range(n)), []
+
+    def find(self, i: int) -> int:
+        while self.top[i] != i:
+            self.top[i] = self.top[self.top[i]]
+            i = self.top[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.top[max(a, b)] = min(a, b)
+            self.made.append((i, j))
+
+
+def _slack(apart: np.ndarray, sizes: np.ndarray, p: int, q: int) -> np.ndarray:
+    """(q + p) * apart - (q - p) * size. Sets at distances e and f from any one set are linked if their slacks add up to 0 or less,
+    and only if their differences from it share at least the sum over 2 * (q + p)."""
+    return (q + p) * apart - (q - p) * sizes
 
-    def first(x: np.ndarray, y: np.ndarray, linked: bool) -> tuple[int, np.ndarray, int]:
-        added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-        late = np.isin(added, order, assume_unique=True)
-        ordered = np.concatenate([added[~late], np.sort(np.concatenate([added[late], removed]))])
-        n, most = len(ordered), difference(len(y), p, q)
-        far = max(1, n - most)
-        near = max(far, (n * (q + p) - (q - p) * (len(y) - len(x))) // (2 * (q + p)) + 1)
-        return n, ordered[:n - (near if linked else far) + 1], max(0, n - near + 1)
+
+def _prefixes(apart: np.ndarray, sizes: np.ndarray, slack: np.ndarray, lowest, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first elements of a difference will do to meet any partner of higher slack, and of lower (not below ``lowest``).
+
+    Of two sets that are linked, but not outright, the one of lower slack s shares s / (q + p) elements at least, or one. The other
+    shares the mean of both slacks; and as no more is shared than the partner's difference holds, that is its own slack
+    less (q - p) times the partner's size at least, which is at most its own times q / p.
+    """
+    few = np.maximum(1, -(-slack // (q + p)))
+    most = np.maximum(1, np.maximum(-(-(slack + lowest) // (2 * (q + p))), -(-(slack - (q - p) * (sizes * q // p)) // (q + p))))
+    return np.maximum(0, apart - few + 1), np.maximum(0, apart - most + 1)
+
+
+def links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs of linked sets that connect whatever links connect: exact, with prefix filters on differences from the majority."""
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    names, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    major = np.flatnonzero(2 * counts > m)
+    held = np.where(2 * counts > m, m - counts, counts)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(names))
+    shared = np.sort(held)  # by rank: in how many differences an element is
+    apart = [np.sort(rank[np.setxor1d(at[bounds[i]:bounds[i + 1]], major, assume_unique=True)]) for i in range(m)]
+    far = np.array([len(x) for x in apart], np.int64)
+    slack = _slack(far, sizes, p, q)
+    out, first = Links(m), int(slack.argmin())
+    for i in np.flatnonzero(slack + slack[first] <= 0).tolist():
+        if i != first:
+            out.join(first, i)
+    short, long = _prefixes(far, sizes, slack, int(slack[first]), p, q)
+    place = np.empty(m, np.int64)
+    place[np.argsort(slack, kind="stable")] = np.arange(m)
+
+    def rows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        element = np.concatenate([x[:k] for x, k in zip(apart, lengths)])
+        owner = np.repeat(np.arange(m), lengths)
+        left = np.repeat(far, lengths) - (np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        met = shared[element] > 1
+        return element[met], owner[met], left[met]
+
+    element, owner, left = rows(np.minimum(short, far))
+    order = np.argsort(element, kind="stable")
+    element, owner, left = element[order], owner[order], left[order]
+    asked, asker, remain = rows(np.minimum(long, far))
+    low, high = np.searchsorted(element, asked), np.searchsorted(element, asked, side="right")
+    total = np.cumsum(high - low)
+    found = []
+    for a in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
+        some = np.arange(a, min(a + (1 << 20), int(total[-1])))
+        row = np.searchsorted(total, some, side="right")
+        other = low[row] + some - (total[row] - (high - low)[row])
+        b, c = asker[row], owner[other]
+        both = slack[b] + slack[c]
+        ok = (place[c] < place[b]) & (both > 0) & (2 * (q + p) * np.minimum(remain[row], left[other]) >= both) \
+            & ((q + p) * np.abs(far[b] - far[c]) <= (q - p) * (sizes[b] + sizes[c]))
+        found.append(np.unique(b[ok] * m + c[ok]))
+    for pair in np.unique(np.concatenate(found)).tolist() if found else []:
+        b, c = divmod(pair, m)
+        if out.find(b) != out.find(c):
+            common = len(np.intersect1d(apart[b], apart[c], assume_unique=True))
+            if (q + p) * (far[b] + far[c] - 2 * common) <= (q - p) * (sizes[b] + sizes[c]):
+                out.join(b, c)
+    return out.made
+
+
+_RESOLVED = "g long, a long, b long, slack long, short int, prefix array<long>"
+_FIELDS = ("g", "a", "b", "slack", "short", "prefix")
+
+
+def _resolve(p: int, q: int):
+    """Rows come by chunk. Links within each; and of chunks that are not a whole group every set's difference from the sample's
+    majority: its slack, and its first elements, those that the sample has in few differences before others."""
+
+    def one(g: int, nodes: list, roles: list, sets: list) -> pa.RecordBatch:
+        made = links(sets, p, q)
+        pairs = [(g, nodes[i], nodes[j], None, None, None) for i, j in made]
+        sample = [x for x, r in zip(sets, roles) if r < 2]
+        if any(roles):
+            names, counts = np.unique(np.concatenate(sample), return_counts=True) if sample else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            major = names[2 * counts > len(sample)]
+            held = np.where(2 * counts > len(sample), len(sample) - counts, counts)
+            for node, role, x in zip(nodes, roles, sets):
+                if role:
+                    apart = np.setxor1d(x, major, assume_unique=True)
+                    seen = np.zeros(len(apart), np.int64)
+                    if len(names):
+                        at = np.minimum(np.searchsorted(names, apart), len(names) - 1)
+                        seen = np.where(names[at] == apart, held[at], 0)
+                    apart = apart[np.lexsort((apart, seen))]
+                    slack = _slack(np.array([len(apart)]), np.array([len(x)]), p, q)
+                    short, long = _prefixes(np.array([len(apart)]), np.array([len(x)]), slack, -10**12, p, q)
+                    pairs.append((g, node, None, int(slack[0]), int(short[0]), apart[:max(short[0], long[0])].view(np.int64)))
+        columns = list(zip(*pairs)) or [[]] * len(_FIELDS)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=list(_FIELDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, nodes, roles, sets = None, [], [], []
         for batch in batches:
-            linked, near, size, apart, prefix, short = [], [], [], [], [], []
-            for at in range(batch.num_rows):
-                x, y = (batch.column(c)[at].values.to_numpy().view(np.uint64) for c in "xy")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(q * both >= p * (len(x) + len(y) - both))
-                near.append(3 * both >= len(x) + len(y))
-                n, elements, less = first(x, y, linked[-1])
-                size.append(len(y))
-                apart.append(n)
-                prefix.append(elements.view(np.int64))
-                short.append(less)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()),
-                 pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(prefix, pa.list_(pa.int64())),
-                 pa.array(short, pa.int32())], names=["a", "b", "linked", "near", "size", "apart", "prefix", "short"])
+            elements = batch.column("elements")
+            for i, (g, number, node, role) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "chunk", "node", "role")))):
+                if chunk != (g, number):
+                    if len(nodes) > 1 or any(roles):
+                        yield one(chunk[0], nodes, roles, sets)
+                    chunk, nodes, roles, sets = (g, number), [], [], []
+                if not nodes or nodes[-1] != node:  # several rows of one doc_id may have the set
+                    nodes.append(node)
+                    roles.append(role)
+                    sets.append(elements[i].values.to_numpy().view(np.uint64).copy())
+        if len(nodes) > 1 or any(roles):
+            yield one(chunk[0], nodes, roles, sets)
+    return run
+
+
+def _resolved(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p: int, q: int, tables: Tables, name: str) -> DataFrame:
+    """Links (a, b) within groups, and descriptions of the sets of groups that have several chunks. ``members`` has g and node once each."""
+    sized = members.join(classes, "node")
+    groups = sized.groupBy("g").agg(F.ceil(F.sum("n") / CHUNK_ELEMENTS).cast("int").alias("parts"), F.count("*").alias("sets"))
+    own, several = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.col("parts") > 1
+    sampled = several & (F.pmod(F.xxhash64("node", "g"), F.greatest(F.lit(1), F.floor(F.col("sets") / SAMPLE_SETS))) == 0)
+    dealt = sized.join(groups, "g").withColumn("own", own).withColumn("sampled", sampled)
+    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("sampled"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    # 0: in the chunk for comparison only, or the group has one chunk; 1: in the sample too; 2: not in it.
+    role = F.when(~several | (F.col("chunk") != F.col("own")), 0).when(F.col("sampled"), 1).otherwise(2)
+    wanted = tables.save(dealt.groupBy("node", "doc", *KEY).agg(F.collect_list(F.struct("g", "chunk", role.alias("role"))).alias("to")), f"{name}-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
-    return pairs.mapInArrow(
-        run, "a long, b long, linked boolean, near boolean, size long, apart long, prefix array<long>, short int")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, limit=1 << 20):
+            keys = zip(*(batch.column(c).to_pylist() for c in KEY))
+            for x, key, node, to in zip(shingle_sets(batch.column("text"), width, hashes), keys, batch.column("node").to_pylist(), batch.column("to").to_pylist()):
+                if [len(x), *_set_key(x)] != list(key):  # another text of the same doc_id
+                    continue
+                held, step = pa.array(x.view(np.int64)), max(1, (1 << 20) // len(x))
+                for k in range(0, len(to), step):
+                    some = to[k:k + step]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(x)), pa.concat_arrays([held] * len(some)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d["g"] for d in some], pa.int64()), pa.array([d["chunk"] for d in some], pa.int32()), pa.array([node] * len(some), pa.int64()),
+                         pa.array([d["role"] for d in some], pa.int32()), lists], names=["g", "chunk", "node", "role", "elements"])
+
+    whole = docs.join(wanted, docs.doc_id == wanted.doc).select("node", *KEY, "to", "text")
+    sets = whole.mapInArrow(deal, "g long, chunk int, node long, role int, elements array<long>")
+    out = tables.save(sets.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "node").mapInArrow(_resolve(p, q), _RESOLVED), name)
+    tables.drop(f"{name}-wanted")
+    return out
+
+
+def _smaller_groups(far: DataFrame, linked: DataFrame) -> DataFrame:
+    """g, node: sets of groups that links do not connect yet, by an element that their differences' beginnings share.
+
+    Of the lists of one group that hold the same sets one will do.
+    """
+    rows = far.join(linked.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    live = rows.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+    rows = rows.join(live, "g", "left_semi").select("g", "a", "component", "short", F.posexplode("prefix").alias("at", "element"))
+    rows = rows.select(F.xxhash64("g", "element").alias("key"), "a", "component", (F.col("at") < F.col("short")).alias("first")).repartition("key")
+    lists = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first"),
+                                    F.bit_xor(F.xxhash64("a")).alias("h"), F.min("a").alias("m")).where("low <> high and first")
+    kept = lists.groupBy("c", "h", "m").agg(F.min("key").alias("key")).select("key")
+    return rows.join(kept, "key").select(F.col("key").alias("g"), F.col("a").alias("node")).distinct()
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
@@ -325,51 +453,39 @@ def _judged(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     classes = tables.save(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc"))
                           .withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = tables.save(signed.withColumn("doc", F.col("doc_id")).join(classes, [*key, "doc"]).select("node", "n", "signatures"), "nodes")
-    members = tables.save(signed.drop("signatures"), "members")
+    rows_of = tables.save(signed.drop("signatures"), "rows")
     tables.drop("signed")
 
-    rows = nodes.select("node", F.explode("signatures").alias("signature"))
-    shared = tables.save(rows.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-                         .select("signature", "first"), "shared")
-    pairs = tables.save(rows.join(shared, "signature").where("node <> first")
-                        .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    stars = tables.save(_compared(_with_sets(pairs, docs, classes, width, tables, "star"), p, q, index.common), "stars")
-    edges = stars.where("linked").select("a", "b")
-    linked = tables.save(components(edges, tables, "linked"), "linked")
-
-    # Pairs that share a signature with a smaller set, to which not both are linked, and that no links connect yet. A set's home is
-    # the smallest near one it was compared with, else the smallest: two sets with one home are looked at there and nowhere else.
-    # From the first element that two differences share, in their order, on there must be as many left in both as they have to share.
-    homes = stars.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("near"), F.col("a"))), F.min("a")).alias("home"))
-    members_of = tables.save(stars.join(homes, "b").join(linked.withColumnRenamed("node", "b"), "b", "left")
-                             .withColumn("component", F.coalesce("component", "b")), "members-of")
-    groups = members_of.groupBy("a").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all_linked"),
-        F.min("home").alias("first_home"), F.max("home").alias("last_home"))
-    groups = groups.where("low <> high and not all_linked and (first_home <> last_home or first_home = a)").select("a")
-    spread = members_of.join(tables.save(groups, "groups"), "a", "left_semi") \
-        .select("a", "b", "linked", "component", "home", "size", "apart", "short", F.posexplode("prefix").alias("at", "element")) \
-        .withColumn("left", F.col("apart") - F.col("at"))
-    one, two = (some.select("a", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("b", "component", "home", "size", "apart", "left")])
-                for some, side in ((spread.where("not linked"), "one"), (spread.where("at < short"), "two")))
-    rest = one.join(two, ["a", "element"]).where("component_one <> component_two and (home_one <> home_two or home_one = a)") \
-        .where(2 * (q + p) * F.least("left_one", "left_two") >= (q + p) * (F.col("apart_one") + F.col("apart_two"))
-               - (q - p) * (F.col("size_one") + F.col("size_two"))) \
-        .select(F.least("b_one", "b_two").alias("a"), F.greatest("b_one", "b_two").alias("b")).distinct()
-    rest = tables.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    both = F.size(F.array_intersect("x", "y"))
-    more = tables.save(_with_sets(rest, docs, classes, width, tables, "rest").where(q * both >= p * (F.size("x") + F.size("y") - both))
-                       .select("a", "b"), "more")
-    if not more.isEmpty():
-        linked = tables.save(components(edges.unionByName(more), tables, "all"), "all")
-    tables.drop("nodes", "shared", "pairs", "star-nodes", "star-sets", "stars", "members-of", "groups", "rest", "rest-nodes", "rest-sets", "more")
+    # Dealt out by signature once: the smallest set of each, and the rows that meet it, are read from the same shuffle.
+    rows = nodes.select("node", F.explode("signatures").alias("signature")).repartition("signature")
+    shared = rows.groupBy("signature").agg(F.min("node").alias("g"), F.count("*").alias("c")).where("c > 1").select("signature", "g")
+    members = tables.save(rows.join(shared, "signature").select("g", "node").distinct(), "members-0")
+    tables.drop("nodes")
+    edges, step = None, 0
+    while True:
+        found = _resolved(members, docs, classes, width, p, q, tables, f"found-{step}")
+        tables.drop(f"members-{step}")
+        more, far = found.where("b is not null").select("a", "b"), found.where("b is null").drop("b")
+        edges = more if edges is None else edges.unionByName(more)
+        if far.isEmpty():
+            break
+        nearest = far.groupBy("g").agg(F.min(F.struct("slack", "a")).alias("nearest"))
+        outright = far.join(nearest, "g").where("slack + nearest.slack <= 0 and a <> nearest.a").select("a", F.col("nearest.a").alias("b"))
+        edges = edges.unionByName(tables.save(outright, f"outright-{step}"))
+        linked = tables.save(components(edges, tables, f"linked-{step}"), f"linked-{step}")
+        step += 1
+        members = tables.save(_smaller_groups(far, linked), f"members-{step}")
+        if members.isEmpty():
+            break
+    linked = tables.save(components(edges, tables, "all"), "all")
+    tables.drop(*[f"{kind}-{k}" for k in range(step + 1) for kind in ("members", "found", "outright", "linked")])
 
     lowest = tables.save(linked.join(classes, "node").groupBy("component").agg(F.min("doc").alias("lowest")), "lowest")
     if lowest.count() <= BROADCAST_IDS:
         lowest = F.broadcast(lowest)
     named = linked.join(lowest, "component").select("node", "lowest")
     classes = classes.join(named, "node", "left").select(*key, F.coalesce("lowest", "doc").alias("component"))
-    return members.join(classes, key, "left").select(
+    return rows_of.join(classes, key, "left").select(
         "doc_id", *key, F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
