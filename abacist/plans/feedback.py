@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from abacist.functions import pii
 from abacist.functions.timing import iso
 from abacist.operators import feedback as op
-from abacist.plans.views import AS_OF_ORDERS, view, with_views
+from abacist.plans.views import AS_OF_ORDERS, appended, view, with_views
 from abacist.sources.tables import spread
 
 
@@ -77,7 +77,7 @@ def _correction_ingest(spark, d):
 def _consent_requests(spark, d):
     rows = view(spark, d, "support_tickets").select(
         "id", "user_id", F.col("category").alias("consent_type"), F.lit("model_training").alias("purpose"), "created_at")
-    return op.consent_requests(rows).withColumn("created_at", iso("created_at"))
+    return appended(op.consent_requests(rows), "consent").withColumn("created_at", iso("created_at"))
 
 
 def _consent_status(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import metrics as op
-from abacist.plans.views import AS_OF, AS_OF_ORDERS, view, with_views
+from abacist.plans.views import AS_OF, AS_OF_ORDERS, appended, view, with_views
 from abacist.session import scratch_path
 from abacist.sources import sinks
 
@@ -22,7 +22,7 @@ def _json_contains(spark, d):
 
 
 def _new_metrics(spark, d):
-    return op.new_metrics(view(spark, d, "model_metrics")).withColumn("collected_at", iso("collected_at"))
+    return appended(op.new_metrics(view(spark, d, "model_metrics")), "metrics").withColumn("collected_at", iso("collected_at"))
 
 
 def _user_metrics_summary(spark, d):
@@ -83,7 +83,12 @@ def _version_compare(spark, d):
 
 
 def _export_metrics(spark, d):
-    return op.export_metrics(view(spark, d, "model_metrics"), _START, _END)
+    """Exported in two steps as JSON lines, the second one again as a job that runs twice, and read back."""
+    path, half, step = scratch_path(spark, "export"), datetime(2024, 1, 15), timedelta(microseconds=1)
+    for start, end in ((_START, half - step), (half, _END), (half, _END)):
+        sinks.export(op.export_metrics(view(spark, d, "model_metrics"), start, end), path)
+    kinds = "model_version_id STRING, metric_type STRING, value DOUBLE, timestamp STRING, metadata STRING"
+    return spark.read.schema(kinds).json(path).drop("date")
 
 
 def _export_feedback(spark, d):

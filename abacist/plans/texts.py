@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import chat, retrieval
-from abacist.plans.views import view, with_views
+from abacist.plans.views import appended, view, with_views
 from abacist.session import scratch_path
-from abacist.sources import documents, sinks, tables
+from abacist.sources import commits, documents, tables
 
 
 def _src_tables(spark, d):
@@ -22,13 +22,8 @@ def _src_tables(spark, d):
 
 
 def _uploads(spark, d):
-    """Documents as uploaded bytes; some names are of formats without decoder, some bytes are not UTF-8."""
-    files = view(spark, d, "files")
-    content = F.encode("extracted_text", "UTF-8")
-    return files.select(
-        "id", F.when(F.col("id") % 7 == 0, "scan.PDF").otherwise(F.col("filename")).alias("name"),
-        F.when(F.col("id") % 5 == 0, F.concat(content, F.unhex(F.lit("FFFE"))))
-        .when(F.col("id") % 11 == 0, F.lit(b"")).otherwise(content).alias("content"))
+    """Every document as uploaded bytes."""
+    return view(spark, d, "files").select("id", F.col("filename").alias("name"), F.encode("extracted_text", "UTF-8").alias("content"))
 
 
 def _src_files_text(spark, d):
@@ -108,16 +103,17 @@ def _admin_chat(spark, d):
 def _feedback_queue(spark, d):
     items = view(spark, d, "user_feedback").select(
         F.col("id").alias("interaction_id"), F.col("feedback_type").alias("type"), "rating", "created_at")
-    return chat.feedback_queue(items).withColumn("timestamp", iso("timestamp"))
+    return appended(chat.feedback_queue(items), "queue").withColumn("timestamp", iso("timestamp"))
 
 
 def _upsert_vectors(spark, d):
-    """The even half of the index, then every vector of id divisible by 3 written again, scaled."""
-    vectors = view(spark, d, "vectors").select("id", "embedding", "source")
-    old = vectors.filter(F.col("id") % 2 == 0)
-    new = vectors.filter(F.col("id") % 3 == 0).select(
-        "id", F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"), F.lit("again").alias("source"), F.lit(1).alias("at"))
-    out = sinks.upsert(old, new, ["id"], "at")
+    """The whole index written, then every vector twice again, scaled: the later change counts."""
+    path, vectors = scratch_path(spark, "vectors"), view(spark, d, "vectors").select("id", "embedding", "source")
+    commits.create(vectors, ["id"], path)
+    changes = vectors.select("id", "embedding", F.explode(F.array(F.lit(3), F.lit(2))).alias("times"))
+    commits.merge(changes.select("id", F.transform("embedding", lambda x: (x * F.col("times")).cast("float")).alias("embedding"),
+                                 F.lit("again").alias("source"), (-F.col("times")).alias("at")), ["id"], "at", path)
+    out = commits.read(spark, path)
     return out.select("id", "source", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
@@ -157,16 +153,13 @@ ORACLES = {
         SELECT id AS interaction_id, '{{"type":"' || feedback_type || '"' || coalesce(',"rating":' || CAST(rating AS VARCHAR), '') || '}}'
                  AS feedback, {_AT.format('created_at')} AS timestamp FROM user_feedback"""),
     "sink_upsert_vectors": with_views("vectors", """
-        SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'again' ELSE source END AS source,
-               round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))
-                     * CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END, 4) AS total
-        FROM vectors WHERE CAST(id AS BIGINT) % 2 = 0 OR CAST(id AS BIGINT) % 3 = 0"""),
+        SELECT id, 'again' AS source, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * 2, 4) AS total FROM vectors"""),
     "src_tables": with_views("user_feedback", """
         SELECT id, user_id, CAST(NULL AS VARCHAR) AS session_id, feedback_type, rating,
                coalesce(CASE WHEN rating <> 3 THEN consent_given END, false) AS consent_given, pii_sanitized FROM user_feedback"""),
     "src_files_text": with_views("files", """
         SELECT id, filename AS name, string_split(lower(filename), '.')[-1] AS ext, extracted_text AS text FROM files
-        WHERE CAST(id AS BIGINT) % 7 <> 0 AND (CAST(id AS BIGINT) % 5 = 0 OR CAST(id AS BIGINT) % 11 <> 0) AND extracted_text <> ''"""),
+        WHERE extracted_text <> ''"""),
     # Walks each page's tokens with the stack of open elements; enough for the markup these pages use.
     "src_html_extract": with_views("pages_html", """
         , clean AS (SELECT page_id, url, regexp_replace(regexp_replace(html,

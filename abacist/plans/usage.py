@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import support, usage
-from abacist.plans.views import AS_OF, AS_OF_ORDERS, view, with_views
+from abacist.plans.views import AS_OF, AS_OF_ORDERS, appended, view, with_views
 
 
 def _dau(spark, d):
@@ -70,7 +70,7 @@ def _new_tickets(spark, d):
     requests = view(spark, d, "support_tickets").select(
         "id", "user_id", "subject", "category", F.concat(F.lit("About "), "subject").alias("description"),
         F.when(F.col("priority") != "low", F.col("priority")).alias("priority"), "created_at")
-    return support.new_tickets(requests).select("id", "user_id", "subject", "category", "description", "status", "priority",
+    return appended(support.new_tickets(requests), "tickets", "support_tickets").select("id", "user_id", "subject", "category", "description", "status", "priority",
                                                 iso("created_at").alias("created_at"))
 
 
@@ -84,12 +84,12 @@ def _reports(spark, d):
 
 
 def _abuse_tickets(spark, d):
-    return support.abuse_tickets(_reports(spark, d)).select(
+    return appended(support.abuse_tickets(_reports(spark, d)), "abuse-tickets", "support_tickets").select(
         "id", "user_id", "subject", "category", "description", "status", "priority", iso("created_at").alias("created_at"))
 
 
 def _abuse_incidents(spark, d):
-    return support.abuse_incidents(_reports(spark, d)).select(
+    return appended(support.abuse_incidents(_reports(spark, d)), "abuse-incidents", "safety_incidents").select(
         "id", "incident_type", "severity", "description", "user_id", "content_snippet", "actions_taken", "resolved",
         iso("created_at").alias("created_at"))
 

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from abacist.session import scratch_path
+from abacist.sources import commits
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_ORDERS = datetime(2001, 8, 2)
@@ -265,3 +266,11 @@ def with_views(names: str, body: str) -> str:
     """DuckDB text of ``body`` with the named views in front."""
     parts = [f"{name} AS ({_TABLE.sub(lambda m: m.group(1), VIEWS[name])})" for name in names.split()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
+
+
+def appended(rows: DataFrame, name: str, table: str | None = None) -> DataFrame:
+    """The rows after they were appended as a batch, twice as by a job that runs again, and read back."""
+    path = scratch_path(rows.sparkSession, name)
+    for _ in range(2):
+        commits.append(rows, path, "one", table)
+    return commits.read(rows.sparkSession, path)

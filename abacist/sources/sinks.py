@@ -1,4 +1,4 @@
-"""Writers: append, keyed upsert and range export."""
+"""Writers: keyed upsert, snapshots and range export; appends and updates in place are in ``commits``."""
 
 from __future__ import annotations
 
@@ -9,19 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abacist.schemas import DEFAULTS
-from abacist.sources.tables import conform
-
-
-def append(rows: DataFrame, table: str, path: str, batch: str, date_column: str | None = None) -> None:
-    """Add a batch of rows to a table, partitioned by the day of ``date_column`` where facts are written.
-
-    A batch has a folder of its own (``batch=...``), so a job that runs again replaces what it wrote and doubles nothing.
-    """
-    out, target = conform(rows, table), f"{path}/batch={batch}"
-    if date_column is None:
-        out.write.mode("overwrite").parquet(target)
-    else:
-        out.withColumn("day", F.to_date(date_column)).write.mode("overwrite").partitionBy("day").parquet(target)
 
 
 def latest(changes: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:

@@ -14,7 +14,7 @@ from abacist.functions import stats
 from abacist.functions.ranks import quantile_element
 from abacist.operators import (chat, experiments, feedback, jobs, metrics, registry, retrieval, reviews, safety, support, usage,
                                wallet)
-from abacist.sources import sinks, tables
+from abacist.sources import commits, documents, sinks, tables
 
 NOW = datetime(2024, 1, 31)
 
@@ -318,10 +318,58 @@ def test_conform_and_append(spark, tmp_path):
     rows = spark.createDataFrame([("1", "u", NOW), ("2", "u", NOW + timedelta(days=1))], "id STRING, user_id STRING, created_at TIMESTAMP")
     path = str(tmp_path / "tickets")
     for batch in ("one", "one", "two"):  # the first one twice, as a job that runs again does
-        sinks.append(rows, "support_tickets", path, batch, "created_at")
-    back = tables.read(spark, "support_tickets", path)
+        commits.append(rows, path, batch, "support_tickets")
+    back = commits.read(spark, path)
     assert back.count() == 4 and {(r.status, r.priority) for r in back.collect()} == {("open", "medium")}
-    assert (tmp_path / "tickets" / "batch=one" / "day=2024-01-31").exists()
+    assert commits.read(spark, path, 1).count() == 2
+
+
+def test_append_that_fails_half_way(spark, tmp_path, monkeypatch):
+    rows, path = spark.createDataFrame([("1",), ("2",)], "id STRING"), str(tmp_path / "t")
+    commits.append(rows, path, "zero")
+    publish = commits.Log.publish
+    monkeypatch.setattr(commits.Log, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        commits.append(rows.withColumn("id", F.concat(F.lit("n"), "id")), path, "one")
+    assert commits.read(spark, path).count() == 2  # written, but named by no manifest
+    monkeypatch.setattr(commits.Log, "publish", publish)
+    commits.append(rows.withColumn("id", F.concat(F.lit("n"), "id")), path, "one")
+    assert sorted(r.id for r in commits.read(spark, path).collect()) == ["1", "2", "n1", "n2"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    """The slower one of two appends takes the next version; of two updates of a bucket it fails and changes nothing."""
+    rows, path = spark.createDataFrame([("1", 1)], "id STRING, v INT"), str(tmp_path / "t")
+    log = commits.Log(spark, path)
+    assert log.publish(1, {"a": "x"}) and not log.publish(1, {"a": "y"}) and log.parts(1) == {"a": "x"}
+    assert log.commit({"b": "z"}) == 2 and log.parts(2) == {"a": "x", "b": "z"}
+    with pytest.raises(commits.Conflict):
+        log.commit({"a": "w"}, based_on={"a": "older"})
+    with pytest.raises(FileNotFoundError):
+        commits.read(spark, str(tmp_path / "none"))
+    with pytest.raises(commits.Conflict):
+        commits.create(rows, ["id"], str(tmp_path / "u")), commits.create(rows, ["id"], str(tmp_path / "u"))
+
+
+def test_merge_keeps_the_files_of_other_buckets(spark, tmp_path):
+    rows, path = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"), F.lit("x").alias("kept")), str(tmp_path / "t")
+    commits.create(rows, ["id"], path)
+    changes = spark.createDataFrame([("7", 1, 1), ("7", 2, 2), ("new", 3, 1)], "id STRING, v INT, at INT")
+    before = commits.Log(spark, path).parts(1)
+    assert commits.merge(changes, ["id"], "at", path) == 2
+    after = commits.Log(spark, path).parts(2)
+    assert len(before) == commits.BUCKETS and sum(before[p] != after[p] for p in before) == 2
+    got = {r.id: (r.v, r.kept) for r in commits.read(spark, path).collect()}
+    assert got == {**{str(i): (0, "x") for i in range(500)}, "7": (2, "x"), "new": (3, None)}
+    assert commits.read(spark, path, 1).count() == 500 and commits.merge(changes.where("false"), ["id"], "at", path) == 2
+
+
+def test_uploads_that_cannot_be_read(spark):
+    rows = [("scan.PDF", b"%PDF"), ("a.txt", b""), ("b.txt", b"caf\xc3\xa9\xff\xfe"), ("c.docx", b"no archive"), ("d.txt", None)]
+    got = documents.extract_text(spark.createDataFrame(rows, "name STRING, content BINARY"))
+    assert {r.name: (r.ext, r.text) for r in got.collect()} == {"scan.PDF": ("pdf", ""), "a.txt": ("txt", ""), "b.txt": ("txt", "café"),
+                                                                 "c.docx": ("docx", ""), "d.txt": ("txt", "")}
+    assert [r.name for r in documents.indexable(got).collect()] == ["b.txt"]
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
