@@ -227,6 +227,8 @@ def _set_key(x: np.ndarray) -> list[int]:
 
 #: Elements of a chunk: what one task resolves at once (8 bytes each).
 CHUNK_ELEMENTS = 1 << 19
+#: Pairs of a chunk that are looked at together.
+PAIRS = 1 << 18
 #: Members of a group of several chunks that all of them see, about so many.
 SAMPLE_SETS = 32
 
@@ -301,23 +303,24 @@ def links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     element, owner, left = element[order], owner[order], left[order]
     asked, asker, remain = rows(np.minimum(long, far))
     low, high = np.searchsorted(element, asked), np.searchsorted(element, asked, side="right")
-    total = np.cumsum(high - low)
-    found = []
-    for a in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
-        some = np.arange(a, min(a + (1 << 20), int(total[-1])))
+    total, refused, seen = np.cumsum(high - low), [], np.zeros(0, np.int64)
+    for a in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+        some = np.arange(a, min(a + PAIRS, int(total[-1])))
         row = np.searchsorted(total, some, side="right")
         other = low[row] + some - (total[row] - (high - low)[row])
         b, c = asker[row], owner[other]
-        both = slack[b] + slack[c]
-        ok = (place[c] < place[b]) & (both > 0) & (2 * (q + p) * np.minimum(remain[row], left[other]) >= both) \
+        both, top = slack[b] + slack[c], np.array([out.find(i) for i in range(m)])
+        ok = (top[b] != top[c]) & (place[c] < place[b]) & (both > 0) & (2 * (q + p) * np.minimum(remain[row], left[other]) >= both) \
             & ((q + p) * np.abs(far[b] - far[c]) <= (q - p) * (sizes[b] + sizes[c]))
-        found.append(np.unique(b[ok] * m + c[ok]))
-    for pair in np.unique(np.concatenate(found)).tolist() if found else []:
-        b, c = divmod(pair, m)
-        if out.find(b) != out.find(c):
-            common = len(np.intersect1d(apart[b], apart[c], assume_unique=True))
-            if (q + p) * (far[b] + far[c] - 2 * common) <= (q - p) * (sizes[b] + sizes[c]):
-                out.join(b, c)
+        for pair in np.setdiff1d(b[ok] * m + c[ok], seen).tolist():
+            b, c = divmod(pair, m)
+            if out.find(b) != out.find(c):
+                common = len(np.intersect1d(apart[b], apart[c], assume_unique=True))
+                if (q + p) * (far[b] + far[c] - 2 * common) <= (q - p) * (sizes[b] + sizes[c]):
+                    out.join(b, c)
+                else:
+                    refused.append(pair)
+        seen = np.array(refused, np.int64)
     return out.made
 
 

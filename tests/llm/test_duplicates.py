@@ -40,6 +40,62 @@ def test_components_are_those_of_all_pairs(spark, seed, width, p, q):
     assert {tuple(r) for r in partition_join.jaccard_join(docs, width, p, q).collect()} == want
 
 
+def family(rng, size, copies, edits, chain=0.5):
+    """Copies of one text with edits, some of them of the copy before: chains whose ends are far apart."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(size)]
+    texts, last = [], base
+    for _ in range(copies):
+        text = list(last if rng.random() < chain else base)
+        for _ in range(rng.randint(0, edits)):
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        texts.append(" ".join(text))
+        last = text
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "chunk", "width", "p", "q"), [(1, 2000, 5, 8, 10), (2, 900, 3, 90, 100), (3, 1 << 19, 5, 8, 10)])
+def test_groups_of_several_chunks(spark, monkeypatch, seed, chunk, width, p, q):
+    """A family of 500 near copies in chains and two smaller ones that share a passage: chunks, samples, smaller groups."""
+    monkeypatch.setattr(partition_join, "CHUNK_ELEMENTS", chunk)
+    monkeypatch.setattr(partition_join, "SAMPLE_SETS", 6)
+    rng = random.Random(seed)
+    texts = family(rng, 70, 500, 3) + family(rng, 60, 120, 2) + family(rng, 90, 120, 5, 0.8)
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts += [f"{passage} " + " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(3, 60))) for _ in range(150)] + ["x " * 20_000]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = {i: plain.shingles(t, width) for i, t in rows}
+    want = {(i, len(sets[i]), c) for i, c in plain.components(sets, p, q).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {tuple(r) for r in partition_join.jaccard_join(docs, width, p, q).collect()} == want
+
+
+@pytest.mark.parametrize(("p", "q"), [(8, 10), (90, 100), (1, 2), (1, 1)])
+def test_links_connect_what_is_similar(p, q):
+    rng = random.Random(p)
+    for _ in range(60):
+        base, sets = rng.sample(range(400), rng.randint(1, 60)), []
+        for _ in range(rng.randint(1, 30)):
+            x = set(base) if rng.random() < 0.7 else set(rng.sample(range(400), rng.randint(1, 60)))
+            x -= set(rng.sample(sorted(x), rng.randint(0, len(x) // 5)))
+            sets.append(x | set(rng.sample(range(400), rng.randint(0, 6))) or {1})
+        want = plain.components(dict(enumerate(map(frozenset, sets))), p, q)
+        top = list(range(len(sets)))
+        for i, j in partition_join.links([np.array(sorted(x), np.uint64) for x in sets], p, q):
+            assert q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])
+            a, b = top[i], top[j]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        assert dict(enumerate(top)) == want
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(2, "a b c d e f", *"wxyz"), (1, "A b c d e f", *"stuv"), (3, "long " * 200_000, *"abcd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy_id string, copy_of string, copy_own string, copy_set string")
+    got = partition_join.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(tuple(r)[0] for r in got.collect()) == [1, 3]
+
+
 def test_one_of_each_keeps_the_smallest(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "x y z"), (5, "x y z"), (None, "x y z"), (None, "p q r s t u"),
             (None, "p q r s t u"), (None, None)]
