@@ -192,7 +192,16 @@ def privacy_history(feedback: DataFrame) -> DataFrame:
         F.col("pii_sanitized").alias("sanitized"))
 
 
+def _expired(feedback: DataFrame, as_of: datetime, retention_days: int):
+    cutoff = at(feedback, "created_at", as_of - timedelta(days=retention_days))
+    return F.coalesce((F.col("created_at") < cutoff) & ~F.col("consent_given"), F.lit(False))
+
+
 def purge_expired(feedback: DataFrame, as_of: datetime, retention_days: int = 365) -> DataFrame:
     """The rows to keep: everything but old rows known to lack consent."""
-    cutoff = at(feedback, "created_at", as_of - timedelta(days=retention_days))
-    return feedback.filter(~F.coalesce((F.col("created_at") < cutoff) & ~F.col("consent_given"), F.lit(False)))
+    return feedback.filter(~_expired(feedback, as_of, retention_days))
+
+
+def count_expired(feedback: DataFrame, as_of: datetime, retention_days: int = 365) -> DataFrame:
+    """The number of rows that ``purge_expired`` leaves out."""
+    return feedback.agg(F.count_if(_expired(feedback, as_of, retention_days)).alias("purged_count"))

@@ -11,6 +11,8 @@ from abacist.functions.timing import at, on_day
 from abacist.sources import sinks
 
 GRANT = 4
+#: Description of the ledger rows of grants on reading.
+ON_READ = "Daily free coins granted"
 GRANT_COLUMN = "free_daily_coins_last_grant_date"
 
 
@@ -63,13 +65,19 @@ def run_delete_old_chats(chats: DataFrame, path: str, as_of: datetime, days: int
     return count_old_chats(chats, as_of, days)
 
 
-def grant_on_read(coins: DataFrame, as_of: datetime) -> DataFrame:
-    """The twin that runs when wallets are read: a grant where the last one was before today or never."""
+def grant_on_read(readers: DataFrame, coins: DataFrame, as_of: datetime) -> DataFrame:
+    """The twin that runs when wallets are read: a grant where the last one was before today or never.
+
+    ``readers`` (id) without a record get one, with the grant; records of others stay as they are. ``grant_ledger`` makes
+    the ledger rows, with ON_READ as their description.
+    """
     start = datetime(as_of.year, as_of.month, as_of.day)
-    due = F.col(GRANT_COLUMN).isNull() | (F.col(GRANT_COLUMN) < at(coins, GRANT_COLUMN, start))
-    return coins.withColumn("granted", due).withColumns({
-        "balance": F.when(F.col("granted"), F.col("balance") + GRANT).otherwise(F.col("balance")),
-        GRANT_COLUMN: F.when(F.col("granted"), at(coins, GRANT_COLUMN, as_of)).otherwise(F.col(GRANT_COLUMN))})
+    reads = readers.select(F.col("id").alias("user_id")).distinct().withColumn("reads", F.lit(True))
+    due = F.coalesce("reads", F.lit(False)) & F.coalesce(F.col(GRANT_COLUMN) < at(coins, GRANT_COLUMN, start), F.lit(True))
+    balance = F.coalesce("balance", F.lit(0).cast("bigint"))
+    return coins.join(reads, "user_id", "full_outer").withColumn("granted", due).withColumns({
+        "balance": F.when(F.col("granted"), balance + GRANT).otherwise(balance),
+        GRANT_COLUMN: F.when(F.col("granted"), at(coins, GRANT_COLUMN, as_of)).otherwise(F.col(GRANT_COLUMN))}).drop("reads")
 
 
 def delete_old_chats(chats: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:

@@ -124,6 +124,7 @@ QUERIES = {
     "privacy_report": _privacy_report,
     "privacy_history": _privacy_history,
     "job_purge_feedback": _job_purge_feedback,
+    "job_purge_feedback_count": lambda spark, d: op.count_expired(view(spark, d, "user_feedback"), AS_OF_ORDERS),
 }
 
 _TS = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -278,4 +279,6 @@ ORACLES = {
     "job_purge_feedback": with_views("user_feedback", f"""
         SELECT id, user_id, feedback_type, consent_given, {_CREATED} AS created_at FROM user_feedback
         WHERE NOT (created_at < TIMESTAMP '2000-08-02 00:00:00' AND NOT consent_given)"""),
+    "job_purge_feedback_count": with_views("user_feedback", """
+        SELECT count(*) AS purged_count FROM user_feedback WHERE created_at < TIMESTAMP '2000-08-02 00:00:00' AND NOT consent_given"""),
 }

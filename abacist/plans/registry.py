@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import experiments, registry, reviews
-from abacist.plans.views import AS_OF, view, with_views
+from abacist.plans.views import AS_OF, appended, view, with_views
 
 
 def _list_models(spark, d):
@@ -132,6 +132,14 @@ def _ab_observations(spark, d):
     return experiments.observations(_nested_tests(spark, d)).select("experiment_id", "user_id", "variant", "metric_value", "timestamp")
 
 
+def _ab_record(spark, d):
+    """Observations arrive, some of experiments that there are not; the others are appended and read back."""
+    seen = view(spark, d, "ab_observations")
+    arriving = seen.withColumn("experiment_id", F.when(F.col("user_id").endswith("9"), "unknown").otherwise(F.col("experiment_id")))
+    tests = seen.select(F.col("experiment_id").alias("id")).distinct()
+    return appended(experiments.record(arriving, tests), "observations").withColumn("timestamp", iso("timestamp"))
+
+
 def _ab_summary(spark, d):
     out = experiments.summary(view(spark, d, "ab_observations"))
     return out.withColumns({c: F.round(c, 6) for c in ("sum", "average")})
@@ -173,6 +181,7 @@ QUERIES = {
     "active_experiments": _active_experiments,
     "ab_assign": _ab_assign,
     "ab_observations": _ab_observations,
+    "ab_observations_record": _ab_record,
     "ab_summary": _ab_summary,
     "ab_ttest": _ab_ttest,
     "ab_stop": _ab_stop,
@@ -314,6 +323,9 @@ ORACLES = {
     "ab_observations": with_views("ab_observations", f"""
         SELECT experiment_id, user_id, variant, metric_value * s AS metric_value, {_AT.format('timestamp')} AS timestamp
         FROM ab_observations, (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) x(s)"""),
+    "ab_observations_record": with_views("ab_observations", f"""
+        SELECT experiment_id, user_id, variant, metric_value, {_AT.format('timestamp')} AS timestamp
+        FROM ab_observations WHERE user_id NOT LIKE '%9'"""),
     "ab_summary": with_views("ab_observations", """
         , e AS (SELECT experiment_id, count(*) AS total_observations FROM ab_observations GROUP BY 1),
         v AS (SELECT experiment_id, variant, count(*) AS n, sum(metric_value) AS s FROM ab_observations GROUP BY 1, 2)

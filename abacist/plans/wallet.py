@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from abacist.functions.timing import iso
 from abacist.operators import jobs, wallet
 from abacist.operators.settings import public_settings
-from abacist.plans.views import AS_OF, view, with_views
+from abacist.plans.views import AS_OF, appended, view, with_views
 from abacist.sources import sinks
 
 _MIDDAY = AS_OF.replace(hour=12)
@@ -82,7 +82,18 @@ def _job_daily_grant_ledger(spark, d):
 
 
 def _grant_on_read(spark, d):
-    return jobs.grant_on_read(view(spark, d, "coins"), _MIDDAY).withColumn(jobs.GRANT_COLUMN, iso(jobs.GRANT_COLUMN))
+    return _read_wallets(spark, d).withColumn(jobs.GRANT_COLUMN, iso(jobs.GRANT_COLUMN))
+
+
+def _read_wallets(spark, d):
+    """Every wallet is read, those of users without a record too."""
+    people = view(spark, d, "users").select("id").unionByName(view(spark, d, "coins").select(F.concat(F.lit("new-"), "user_id").alias("id")))
+    return jobs.grant_on_read(people, view(spark, d, "coins"), _MIDDAY)
+
+
+def _grant_on_read_ledger(spark, d):
+    rows = jobs.grant_ledger(_read_wallets(spark, d), _MIDDAY, jobs.ON_READ)
+    return appended(rows, "grants", "transactions").select("id", "user_id", "type", "amount", "description", iso("created_at").alias("created_at"))
 
 
 def _job_delete_old_chats(spark, d):
@@ -136,6 +147,7 @@ QUERIES = {
     "job_daily_grant": _job_daily_grant,
     "job_daily_grant_ledger": _job_daily_grant_ledger,
     "job_grant_on_read": _grant_on_read,
+    "job_grant_on_read_ledger": _grant_on_read_ledger,
     "job_delete_old_chats": _job_delete_old_chats,
     "job_delete_old_chats_count": _deleted_chats,
     "sink_upsert": _sink_upsert,
@@ -144,6 +156,10 @@ QUERIES = {
 }
 
 _AT = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"
+_READ = """, people AS (SELECT id FROM users UNION SELECT 'new-' || user_id FROM coins),
+  wallets AS (SELECT coalesce(user_id, p.id) AS user_id, coalesce(balance, 0)::BIGINT AS balance, free_daily_coins_last_grant_date,
+      p.id IS NOT NULL AND (free_daily_coins_last_grant_date IS NULL
+        OR CAST(free_daily_coins_last_grant_date AS DATE) < DATE '2024-01-31') AS due FROM people p FULL JOIN coins ON user_id = p.id) """
 _LIVE = """, live AS (SELECT user_id, id AS session_id, expires_at,
     round(greatest(0, (epoch_us(expires_at) - epoch_us(TIMESTAMP '2024-01-30 23:30:00')) / 60000000), 6) AS remaining_minutes
   FROM ai_sessions WHERE is_active AND expires_at > TIMESTAMP '2024-01-30 23:30:00'
@@ -226,12 +242,13 @@ ORACLES = {
     "job_daily_grant_ledger": with_views("users coins", _GRANTS + """
         SELECT 'grant-2024-01-31-' || user_id AS id, user_id, 'free_grant' AS type, CAST(4 AS BIGINT) AS amount,
                'Daily free coins' AS description, '2024-01-31T12:00:00.000000' AS created_at FROM g WHERE granted"""),
-    "job_grant_on_read": with_views("coins", f"""
+    "job_grant_on_read": with_views("coins users", _READ + f"""
         SELECT user_id, CASE WHEN due THEN balance + 4 ELSE balance END AS balance,
                CASE WHEN due THEN '2024-01-31T12:00:00.000000' ELSE {_AT.format('free_daily_coins_last_grant_date')} END
-                 AS free_daily_coins_last_grant_date, due AS granted
-        FROM (SELECT *, free_daily_coins_last_grant_date IS NULL
-                OR CAST(free_daily_coins_last_grant_date AS DATE) < DATE '2024-01-31' AS due FROM coins)"""),
+                 AS free_daily_coins_last_grant_date, due AS granted FROM wallets"""),
+    "job_grant_on_read_ledger": with_views("coins users", _READ + """
+        SELECT 'grant-2024-01-31-' || user_id AS id, user_id, 'free_grant' AS type, CAST(4 AS BIGINT) AS amount,
+               'Daily free coins granted' AS description, '2024-01-31T12:00:00.000000' AS created_at FROM wallets WHERE due"""),
     "job_delete_old_chats": with_views("chat_messages", f"""
         SELECT id, user_id, message, {_AT.format('created_at')} AS created_at FROM chat_messages
         WHERE created_at >= TIMESTAMP '2024-01-01 00:30:00'"""),
