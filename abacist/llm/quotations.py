@@ -144,7 +144,7 @@ def _marked(said: Column, marks: str) -> Column:
 
 def _mails(conversations: DataFrame) -> DataFrame:
     """The conversations as mails: every second message quotes the one before whole, every fourth the two before (nested), some
-    only a message's first line."""
+    only a message's first line, some the message before the last one with two marks and nothing else."""
     said = conversations.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min("text").alias("said"))
     one = said.select("c", (F.col("t") + 1).alias("t"), F.col("said").alias("one"))
     two = said.select("c", (F.col("t") + 2).alias("t"), F.col("said").alias("two"))
@@ -153,6 +153,7 @@ def _mails(conversations: DataFrame) -> DataFrame:
     n = F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(8))
     quote = F.when(n.isin(1, 5), _marked(F.col("one"), "> ")) \
         .when(n == 3, F.concat(_marked(F.col("two"), ">> "), F.lit("\n"), _marked(F.col("one"), "> "))) \
+        .when(n == 7, _marked(F.col("two"), ">> ")) \
         .when(n == 6, F.concat(F.lit(">  "), F.translate(F.split("two", "\n")[0], "aeiou", "AEIOU")))
     return joined.select("conv_id", "turn", "role", F.concat_ws("\n", F.when(quote.isNotNull(), F.lit("They wrote:")), quote, "text").alias("text"))
 
@@ -172,6 +173,7 @@ mails AS (
           WHEN (c.conv_id * 3 + c.turn) % 8 IN (1, 5) THEN '> ' || replace(a.said, chr(10), chr(10) || '> ')
           WHEN (c.conv_id * 3 + c.turn) % 8 = 3
             THEN '>> ' || replace(b.said, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(a.said, chr(10), chr(10) || '> ')
+          WHEN (c.conv_id * 3 + c.turn) % 8 = 7 THEN '>> ' || replace(b.said, chr(10), chr(10) || '>> ')
           WHEN (c.conv_id * 3 + c.turn) % 8 = 6 THEN '>  ' || translate(string_split(b.said, chr(10))[1], 'aeiou', 'AEIOU') END AS q
         FROM conversations c LEFT JOIN said a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
         LEFT JOIN said b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2) c),
@@ -195,8 +197,8 @@ units AS (
     SELECT conv_id, turn, level, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS piece FROM pieces) WHERE piece <> ''),
 firsts AS (SELECT conv_id, piece, min(turn) AS first FROM units WHERE level = 0 GROUP BY conv_id, piece),
 links AS (
-  SELECT conv_id, turn, arg_max(first, length(piece) * 1000000 + first) AS parent
-  FROM units JOIN firsts USING (conv_id, piece) WHERE level = 1 AND first < turn GROUP BY conv_id, turn),
+  SELECT conv_id, turn, arg_max(first, length(piece) * 1000000 + first - level * 1000000000000) AS parent
+  FROM units JOIN firsts USING (conv_id, piece) WHERE level > 0 AND first < turn GROUP BY conv_id, turn),
 up AS (
   SELECT conv_id, turn, parent, parent AS thread, 1 AS depth FROM links
   UNION ALL SELECT up.conv_id, up.turn, up.parent, links.parent, up.depth + 1 FROM up JOIN links ON links.conv_id = up.conv_id AND links.turn = up.thread),
