@@ -1,12 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, with DataFrame functions only.
 
-A document is contaminated by a test item if it contains at least p / q of the item's distinct shingles. Items are partitioned by
-their number n of shingles; the MinHash sketch of an item is its smallest hashes, as many as its partition needs: of n shingles a
-contaminated document lacks at most n - p * n / q, so of one sketch value more it must have one. A document's sketch holds its hashes
-up to the largest that any partition asks for. Documents and items that share a sketch value are candidates, whatever the
-document's length; candidates are verified by the whole shingles, as text.
-
-Words are runs of letters and digits of the lower-cased text; shingles have five words (all words, where there are fewer).
+A document is contaminated by a test item if it contains at least p / q of the item's distinct shingles. The MinHash sketch of an item
+of n shingles is its smallest hashes: a contaminated document lacks at most n - p * n / q of the shingles, so of one sketch value more
+it must have one. Items are partitioned by size, n doubling from band to band, and each band has a cut-off of its own, the largest
+sketch value in it: a fifth of the hashes' range and a little where items are long, up to all of it where they have a few shingles.
+A value of a document carries the bands whose cut-off it does not exceed, and is sent only if there are any: it meets the sketches of
+these bands alone. Documents and items that so share a sketch value are candidates, whatever the document's length;
+candidates are verified by the whole shingles, as text.
+
+Words are runs of letters and digits of the lower-cased text; shingles have five words (all words, where there are fewer: an item of
+one to four words is found in documents that are exactly these words, not within longer ones).
 Defined results: null and empty texts have no shingles and contaminate nothing; rows of equal text are searched once and all
 reported; several texts of one item_id are items of their own and the best of them is reported; rows without a doc_id are
 reported without one; a document is reported once with each of its items; empty tables give no rows.
@@ -71,11 +74,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tables: Tables) -> DataF
     items = tables.save(items.where(F.size("item_shingles") > 0), "items")
     n = F.size("item_hashes")
     needed = n - F.floor((n * P + Q - 1) / Q).cast("int") + 1
-    sketches = tables.save(items.select("item_id", "item_key", F.explode(F.slice("item_hashes", F.lit(1), needed)).alias("hash")), "sketches")
-    top = sketches.agg(F.max("hash")).first()[0]
-    sketch = F.filter(hashes(F.col("text")), lambda h: h <= F.lit(top if top is not None else 0).cast("long"))
-    candidates = texts.select("text_key", F.explode(sketch).alias("hash")).join(sketches, "hash") \
-        .select("text_key", "item_id", "item_key").distinct()
+    band = F.floor(F.log2(n.cast("double"))).cast("int")
+    sketches = tables.save(items.select("item_id", "item_key", band.alias("band"), F.explode(F.slice("item_hashes", F.lit(1), needed)).alias("hash")),
+                           "sketches")
+    # At most 31 rows: the bands from the highest cut-off down, so that the bands a value serves are the first ones of them.
+    cuts = sorted(((r["cut"], r["band"]) for r in sketches.groupBy("band").agg(F.max("hash").alias("cut")).collect()), reverse=True)
+    place = F.element_at(F.create_map(*[F.lit(x) for k, (_, b) in enumerate(cuts) for x in (b, k)]), F.col("band")) if cuts else F.lit(0)
+    serves = lambda h: sum((F.when(h <= F.lit(cut).cast("long"), 1).otherwise(0) for cut, _ in cuts), F.lit(0))
+    sketch = F.filter(hashes(F.col("text")), lambda h: h <= F.lit(cuts[0][0] if cuts else 0).cast("long"))
+    values = texts.select("text_key", F.explode(sketch).alias("hash")).withColumn("serves", serves(F.col("hash")))
+    candidates = values.join(sketches.withColumn("place", place), "hash").where("place < serves").select("text_key", "item_id", "item_key").distinct()
     candidates = tables.save(candidates, "candidates")
     wanted = _few(tables.save(candidates.select("text_key").distinct(), "wanted"))
     whole = tables.save(texts.join(wanted, "text_key").dropDuplicates(["text_key"])

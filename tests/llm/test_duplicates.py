@@ -5,6 +5,7 @@ import random
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from abacist.llm import containment, partition_join
 from abacist.llm.components import components
@@ -161,12 +162,25 @@ def test_containment_is_that_of_all_pairs(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     bad = {t for _, t in docs if any(plain.contained(t, x) for _, x in items)}
     assert len(bad) > 20
-    kept = containment.decontaminate(frame.withColumnRenamed("doc_id", "text_key").withColumnRenamed("text_key", "doc_id"), bench).collect()
-    assert sorted(map(tuple, kept), key=repr) == sorted([d for d in docs if d[1] not in bad], key=repr)
+    clashing = frame.withColumns({c: F.lit("own") for c in ("text_key", "hash", "serves", "item_id", "item_key", "place")})
+    kept = containment.decontaminate(clashing, bench.withColumns({c: F.lit(1) for c in ("doc_id", "text_key", "hash", "band", "place")}))
+    assert kept.columns == clashing.columns and {r.text_key for r in kept.collect()} == {"own"}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([d for d in docs if d[1] not in bad], key=repr)
     hits = {(r.text_key, r.item_id) for r in containment.contaminated(frame, bench, Tables(spark, "test")).collect()}
     assert len(hits) == len({(t, i) for t in bad for i, x in items if plain.contained(t, x)})
 
 
+def test_short_items_in_a_very_long_text_and_sizes_apart(spark):
+    """Items of one shingle and of thousands lie in bands of their own; a text of a million words holds one of each."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    items = [(1, "five words are one shingle"), (2, " ".join(long[5000:9000])), (3, "not in any of the texts"), (4, " ".join(f"z{i}" for i in range(3000)))]
+    text = " ".join(long[:150_000]) + " Five words, are one -- shingle " + " ".join(long[150_000:])
+    docs = spark.createDataFrame([(1, text), (2, "five words are one"), (3, text[:20_000])], "doc_id long, text string")
+    found = containment.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), Tables(spark, "test")).collect()
+    assert {r.item_id for r in found} == {1, 2} and len({r.text_key for r in found}) == 1
+
+
 def test_containment_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
