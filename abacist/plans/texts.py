@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions.timing import iso
 from abacist.operators import chat, retrieval
-from abacist.plans.views import appended, view, with_views
+from abacist.plans.views import AS_OF, appended, view, with_views
 from abacist.session import scratch_path
 from abacist.sources import commits, documents, tables
 
@@ -31,7 +31,7 @@ def _src_files_text(spark, d):
 
 
 def _src_html_extract(spark, d):
-    return documents.extract_pages(view(spark, d, "pages_html"))
+    return documents.extract_pages(view(spark, d, "pages_html"), AS_OF)
 
 
 def _vector_topk(spark, d):
@@ -186,7 +186,8 @@ ORACLES = {
         plain AS (SELECT page_id, element, tag, regexp_replace(replace(replace(replace(text, '&quot;', '"'), '&copy;', '©'),
                     '&middot;', '·'), '&amp;?', '&', 'g') AS text FROM texts)
         SELECT url, coalesce((SELECT arg_min(text, element) FROM plain t WHERE t.page_id = p.page_id AND tag = 'title'), '') AS title,
-               coalesce((SELECT string_agg(text, ' ' ORDER BY element) FROM plain t WHERE t.page_id = p.page_id AND tag = 'p'), '') AS content
+               coalesce((SELECT string_agg(text, ' ' ORDER BY element) FROM plain t WHERE t.page_id = p.page_id AND tag = 'p'), '') AS content,
+               '2024-01-31T00:00:00' AS crawled_at
         FROM pages_html p"""),
     "vector_topk": with_views("vectors", _TOP + """
         SELECT query_id, rank, id, text, source, round(score, 6) AS score FROM top"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -151,8 +152,8 @@ def page_text(html: str) -> tuple[str, str]:
     return "".join(page.title or []), " ".join("".join(p) for p in page.paragraphs)
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, title, content) of each page; unreadable pages give no row."""
+def extract_pages(pages: DataFrame, crawled_at: datetime, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, title, content, crawled_at) of each page, with the time of the crawl as ISO text; unreadable pages give no row."""
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).filter(F.col("html").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,4 +161,4 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
             found = [page_text(h) for h in pdf["html"]]
             yield pd.DataFrame({"url": pdf["url"], "title": [t for t, _ in found], "content": [c for _, c in found]})
 
-    return rows.mapInPandas(run, "url STRING, title STRING, content STRING")
+    return rows.mapInPandas(run, "url STRING, title STRING, content STRING").withColumn("crawled_at", F.lit(crawled_at.isoformat()))
