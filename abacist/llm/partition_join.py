@@ -11,7 +11,9 @@ documents have (they are kept out of the segments). A set gets further segments
 indexed once more with all its shingles, and if that is not enough, with its empty segments too, and meets its like there.
 
 Equal sets are joined first. Sets that share a signature make a group, named by the smallest of them: each of them gives one row, not
-one for each other. Groups are resolved in chunks of bounded size (see ``links``): within a chunk, sets meet by their differences
+one for each other. Most sets that meet are far apart, and the more of them the larger the input is. So parities go first, about a
+bit for each element: two sets differ in at least as many elements as their parities in bits. Members whose parities rule
+out every other one of the group leave it, and only the sets of the rest move. Groups are resolved in chunks of bounded size (see ``links``): within a chunk, sets meet by their differences
 from the chunk's majority, in which whatever most of them share is no element. A group of several chunks is described once more:
 each set by its difference from the majority of a sample that all chunks see. What is close enough to it is linked outright, and
 sets of the group that share one of the first elements of their differences make smaller groups, which are resolved in the same way, until none
@@ -194,6 +196,32 @@ class Partitions:
             return mix(np.concatenate(values) ^ mix(np.concatenate(names).astype(np.uint64) + tag)), enough
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls on each of so many bits as there are elements, or up to twice as many (64 at least)."""
+    m = 64
+    while m < len(elements):
+        m *= 2
+    odd = np.bincount((elements & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def plausible(sizes: np.ndarray, parities: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Which sets have another one that their parities do not rule out; ``sizes`` ascend. No linked set is refused."""
+    out, lengths = np.zeros(len(sizes), bool), np.array([len(x) for x in parities])
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        ends = np.searchsorted(sizes, sizes[own] * q // p, side="right")
+        first, last = int(own[0]), int(ends[-1])
+        # Larger sets' parities fold to the length of the smaller one's.
+        folded = np.array([np.bitwise_xor.reduce(x.reshape(-1, length), axis=0) for x in parities[first:last]])
+        for i, end in zip(own.tolist(), ends.tolist()):
+            apart = np.bitwise_count(folded[i + 1 - first:end - first] ^ folded[i - first]).sum(axis=1, dtype=np.int64)
+            near = (q + p) * apart <= (q - p) * (sizes[i] + sizes[i + 1:end])
+            out[i] |= near.any()
+            out[i + 1:end] |= near
+    return out
+
+
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles of at least one in COMMON_SHARE documents, counted over all of them.
 
@@ -231,6 +259,8 @@ CHUNK_ELEMENTS = 1 << 19
 PAIRS = 1 << 18
 #: Members of a group of several chunks that all of them see, about so many.
 SAMPLE_SETS = 32
+#: Members of the largest groups whose parities are compared; larger ones stay as they are.
+PARITY_SETS = 2048
 
 
 class Links:
@@ -324,6 +354,34 @@ def links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     return out.made
 
 
+def _plausible(members: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """``members`` (g, node) without those whose parities rule out every other member of the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept() -> pa.RecordBatch:
+            some = [x for x, ok in zip(found, plausible(np.array(sizes, np.int64), parities, p, q)) if ok]
+            return pa.RecordBatch.from_pydict({"g": pa.array([group] * len(some), pa.int64()), "node": pa.array(some, pa.int64())})
+
+        group, found, sizes, parities = None, [], [], []
+        for batch in batches:
+            for g, node, n, bits in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "n", "parity"))):
+                if g != group:
+                    if len(found) > 1:
+                        yield kept()
+                    group, found, sizes, parities = g, [], [], []
+                if not found or found[-1] != node:  # several rows of one doc_id may have the set
+                    found.append(node)
+                    sizes.append(n)
+                    parities.append(np.frombuffer(bits, np.uint64))
+        if len(found) > 1:
+            yield kept()
+
+    counted = members.join(members.groupBy("g").agg(F.count("*").alias("sets")), "g")
+    few = counted.where(F.col("sets") <= PARITY_SETS).select("g", "node").join(nodes.select("node", "n", "parity"), "node")
+    out = few.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "g long, node long")
+    return out.unionByName(counted.where(F.col("sets") > PARITY_SETS).select("g", "node"))
+
+
 _RESOLVED = "g long, a long, b long, slack long, short int, prefix array<long>"
 _FIELDS = ("g", "a", "b", "slack", "short", "prefix")
 
@@ -448,22 +506,24 @@ def _judged(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                  pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([index.signatures(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "k1", "k2", "signatures"])
+                 pa.array([index.signatures(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64())),
+                 pa.array([parity(x).tobytes() for x in found], pa.binary())],
+                names=["doc_id", "n", "k1", "k2", "signatures", "parity"])
 
     key = list(KEY)
-    signed = tables.save(docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, signatures array<long>"), "signed")
+    signed = tables.save(docs.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, signatures array<long>, parity binary"), "signed")
     classes = tables.save(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc"))
                           .withColumn("node", F.monotonically_increasing_id()), "classes")
-    nodes = tables.save(signed.withColumn("doc", F.col("doc_id")).join(classes, [*key, "doc"]).select("node", "n", "signatures"), "nodes")
-    rows_of = tables.save(signed.drop("signatures"), "rows")
+    nodes = tables.save(signed.withColumn("doc", F.col("doc_id")).join(classes, [*key, "doc"]).select("node", "n", "signatures", "parity"), "nodes")
+    rows_of = tables.save(signed.drop("signatures", "parity"), "rows")
     tables.drop("signed")
 
     # Dealt out by signature once: the smallest set of each, and the rows that meet it, are read from the same shuffle.
     rows = nodes.select("node", F.explode("signatures").alias("signature")).repartition("signature")
     shared = rows.groupBy("signature").agg(F.min("node").alias("g"), F.count("*").alias("c")).where("c > 1").select("signature", "g")
-    members = tables.save(rows.join(shared, "signature").select("g", "node").distinct(), "members-0")
-    tables.drop("nodes")
+    met = tables.save(rows.join(shared, "signature").select("g", "node").distinct(), "met")
+    members = tables.save(_plausible(met, nodes, p, q), "members-0")
+    tables.drop("nodes", "met")
     edges, step = None, 0
     while True:
         found = _resolved(members, docs, classes, width, p, q, tables, f"found-{step}")

@@ -191,3 +191,51 @@ def test_containment_of_nothing(spark):
 def test_containment_is_native(spark):
     plan = containment.op8_benchmark_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_parities_refuse_no_linked_set():
+    """Sets of one group at all distances, some with parities of other lengths: all with a partner stay, most without go."""
+    rng, least = np.random.default_rng(5), 0
+    for p, q in ((8, 10), (90, 100)):
+        sets = []
+        for size in (3, 60, 64, 66, 250, 600, 1000, 1030):
+            base = partition_join.mix(rng.integers(0, 1 << 62, size).astype(np.uint64))
+            for changed in (0, size // 30, size // 8, size // 3):
+                new = partition_join.mix(rng.integers(0, 1 << 62, changed + size // 40).astype(np.uint64))
+                sets.append(np.unique(np.concatenate([base[changed:], new])))
+        sets.sort(key=len)
+        near = [[i != j and q * len(np.intersect1d(a, b)) >= p * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        want = np.array(near).any(axis=1)
+        got = partition_join.plausible(np.array([len(x) for x in sets]), [partition_join.parity(x) for x in sets], p, q)
+        assert got[want].all()
+        least += int((~got).sum())
+    assert least >= 20
+
+
+def test_sets_that_only_meet_do_not_move(spark, monkeypatch):
+    """Different texts around one passage share signatures; their sets were sent to their common groups all the same."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(100_000)}" for _ in range(60)) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    moved, resolved = [], partition_join._resolved
+
+    def counting(members, *rest):
+        moved.append(members.select("node").distinct().count())
+        return resolved(members, *rest)
+
+    monkeypatch.setattr(partition_join, "_resolved", counting)
+    monkeypatch.setattr(partition_join, "common_shingles", lambda docs, width: np.zeros(0, np.uint64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in partition_join.jaccard_join(docs, 5, 8, 10).collect()}
+    assert found == {**{i: i for i in range(60)}, 60: 0, 61: 1}
+    assert moved[0] <= 8
+
+
+def test_large_groups_stay_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(partition_join, "PARITY_SETS", 2)
+    rows = corpus(6)
+    sets = {i: plain.shingles(t, 3) for i, t in rows}
+    want = {(i, len(sets[i]), c) for i, c in plain.components(sets, 8, 10).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in partition_join.jaccard_join(docs, 3, 8, 10).collect()} == want
