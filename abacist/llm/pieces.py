@@ -44,6 +44,12 @@ class PieceTable:
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _add(self, fresh) -> None:
+        counts, starts, ids = self.encode(fresh)
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, ids])
+
     def look_up(self, pieces: pa.Array) -> np.ndarray:
         """The slot of every piece; those met for the first time are encoded together. Slots hold until the next call."""
         if len(self.slots) > self.most:
@@ -53,10 +59,7 @@ class PieceTable:
         slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
         fresh, self.slots.fresh = self.slots.fresh, []
         if fresh:
-            counts, starts, ids = self.encode(fresh)
-            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, ids])
+            self._add(fresh)
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
     def gather(self, slots: np.ndarray) -> np.ndarray:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacist.llm.arrow import slices
-from abacist.llm.pieces import PieceTable, by_text, in_batches
+from abacist.llm.pieces import PieceTable, by_text
 from abacist.session import scratch_path
 
 SHARDS = "shard int, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Characters of distinct pieces that go to the tokenizer as one text.
+#: Bytes of distinct pieces that go to the tokenizer as one text, about so many.
 JOINED = 2048
 #: Stands for a null doc_id in a file.
 NO_ID = np.iinfo(np.int64).min
@@ -70,40 +70,65 @@ class ByteLevel:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.encode([text])[0], np.uint32)
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = ["".join(pieces[a:b]) for a, b in in_batches(pieces, JOINED)]
+    def _joined(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, text = pieces.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+        some = np.unique(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1] + JOINED, JOINED)).clip(max=len(pieces)))
+        texts = [text[a:b].to_pybytes().decode() for a, b in zip(offsets[some].tolist(), offsets[some[1:]].tolist())]
         ids = np.concatenate([np.array(x, np.uint32) for x in self.encode(texts)])
-        ends = np.cumsum(self.n_bytes[ids])
-        cuts = np.cumsum([len(p.encode()) for p in pieces])
+        ends, cuts = np.cumsum(self.n_bytes[ids]), offsets[1:] - offsets[0]
         at = np.searchsorted(ends, cuts)
         if not np.array_equal(ends[at], cuts):
             raise RuntimeError("the tokenizer joined two pieces")
         return np.diff(np.concatenate([[0], at + 1])), ids
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, pieces: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pieces = pieces if isinstance(pieces, pa.StringArray) else pa.array(pieces, pa.string())
         counts, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         flat, size = [], 0
 
-        def put(some: list[int], n: np.ndarray, ids: np.ndarray) -> None:
+        def put(some, n: np.ndarray, ids: np.ndarray) -> None:
             nonlocal size
             counts[some], starts[some] = n, size + np.cumsum(n) - n
             flat.append(ids)
             size += len(ids)
 
-        alone = [i for i, p in enumerate(pieces) if p in ("", " ", "\n")]
-        for i in alone:
-            ids = self.whole(pieces[i])
+        alone = pc.is_in(pieces, pa.array(["", " ", "\n"])).to_numpy(zero_copy_only=False)
+        first = pc.utf8_slice_codeunits(pieces, 0, 1)
+        for i in np.flatnonzero(alone):
+            ids = self.whole(pieces[i].as_py())
             put([i], np.array([len(ids)]), ids)
-        spaced = [i for i, p in enumerate(pieces) if p[:1] == " " and p != " "]
-        if spaced:
-            put(spaced, *self._joined([pieces[i] for i in spaced]))
-        bare = [i for i, p in enumerate(pieces) if p[:1] not in ("", " ", "\n")]
-        if bare:
-            n, ids = self._joined(["\n" + pieces[i] for i in bare])
+        spaced = pc.equal(first, " ").to_numpy(zero_copy_only=False) & ~alone
+        if spaced.any():
+            put(spaced, *self._joined(pieces.filter(pa.array(spaced))))
+        bare = ~pc.is_in(first, pa.array(["", " ", "\n"])).to_numpy(zero_copy_only=False)
+        if bare.any():
+            n, ids = self._joined(pc.binary_join_element_wise("\n", pieces.filter(pa.array(bare)), ""))
             put(bare, n - 1, np.delete(ids, np.cumsum(n) - n))
         return counts, starts, np.concatenate(flat)
 
 
+class ArrowTable(PieceTable):
+    """A table whose pieces stay in Arrow: nothing is done for each of them in Python."""
+
+    def _empty(self) -> None:
+        super()._empty()
+        self.known = pa.array([], pa.string())
+
+    def look_up(self, pieces: pa.Array) -> np.ndarray:
+        if len(self.known) > self.most:
+            self._empty()
+        coded = pieces.dictionary_encode()
+        found = pc.index_in(coded.dictionary, self.known)
+        fresh = coded.dictionary.filter(pc.is_null(found))
+        slots = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        slots[slots < 0] = len(self.known) + np.arange(len(fresh))
+        if len(fresh):
+            self._add(fresh)
+            self.known = pa.concat_arrays([self.known, fresh])
+        return slots[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def encode_texts(texts: pa.Array, table: PieceTable, tokenizer: ByteLevel) -> Iterator[np.ndarray]:
     """The ids of every text in turn."""
     texts = pc.fill_null(texts, "")
@@ -165,7 +190,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = ByteLevel(tokenizer)
-        table = PieceTable(library)
+        table = ArrowTable(library)
         shard, doc_ids, lengths = TaskContext.get().partitionId(), [], []
 
         def chunks():

@@ -82,6 +82,22 @@ def test_table_starts_anew():
         assert table.gather(table.look_up(lists.flatten())).tolist() == library("byte_bpe_50k.json", texts)[0]
 
 
+def test_pieces_stay_in_arrow():
+    """No piece becomes a Python object on its way to the library; odd ones and a table that starts anew included."""
+    seen, library_of = [], token_files.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def encode(pieces):
+        seen.append(pieces)
+        return library_of(pieces)
+
+    table = token_files.ArrowTable(encode, most=30)
+    for texts in (["a b c d e", "", " ", "é\n\nΣίσυφος 日本語 it's 12,5 q"], ["x" * 3000 + " y", "a b"], [f"w{i} v{i}" for i in range(900)], ["a b c", "d"]):
+        lists = token_files.byte_level_pieces(pa.array(texts))
+        assert table.gather(table.look_up(lists.flatten())).tolist() == [i for x in library("byte_bpe_50k.json", texts) for i in x]
+    assert len(seen) >= 4 and all(isinstance(x, pa.StringArray) for x in seen)
+    assert not table.slots
+
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
