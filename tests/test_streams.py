@@ -1,7 +1,9 @@
 """Streams over several batches give what the batch operators give."""
 
+import weakref
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from abacist.operators import limits, safety, usage
@@ -34,6 +36,31 @@ def test_admission_across_batches(spark, tmp_path):
     assert got == want and out.select("batch").distinct().count() > 1
 
 
+def test_admission_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "PIECE", 7)
+    test_admission_across_batches(spark, tmp_path)
+
+
+def test_rows_of_a_user_wait_outside_pandas(monkeypatch):
+    """In order and a piece at a time; when the first piece comes, no frame but the last that came in is held."""
+    monkeypatch.setattr(streams, "PIECE", 100)
+    rows = [(f"{i * 7919 % 1000}", "query" if i % 3 else "session_start", i * 31 % 50) for i in range(1000)]
+    frames = []
+
+    def batches():
+        for a in range(0, 1000, 130):
+            frame = pd.DataFrame(rows[a:a + 130], columns=["id", "action", "ts_us"])
+            frames.append(weakref.ref(frame))
+            yield frame
+            del frame
+
+    got = []
+    for piece in streams.in_time_order(batches()):
+        assert len(piece) <= 100 and sum(frame() is not None for frame in frames) <= 1
+        got += zip(piece["id"], piece["action"], piece["ts_us"])
+    assert got == sorted(rows, key=lambda r: (r[2], r[0])) and len(frames) == 8
+
+
 def test_state_expires_after_a_day(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [("u", f"{i}", "session_start", t0 + timedelta(minutes=i)) for i in range(6)]
