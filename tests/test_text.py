@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import harm, pii
 from abacist.operators import feedback, safety
+from abacist.plans import texts
 from abacist.plans.views import view
 from abacist.sources import documents
 
@@ -141,6 +142,21 @@ def test_file_text(spark):
     assert documents.indexable(out).count() == sum(bool(t) for *_, t in FILES)
 
 
+def test_uploads_of_every_kind(spark, tmp_path):
+    """No document is given up for the odd files: those come beside it, and only they have no row."""
+    docs = {i: f"téxt {i}" for i in range(1, 386)}
+    df = spark.createDataFrame([*docs.items(), (390, ""), (391, None)], "doc_id BIGINT, text STRING")
+    df.withColumn("n_chars", F.length("text").cast("bigint")).write.parquet(f"{tmp_path}/documents.parquet")
+    uploads = texts._uploads(spark, str(tmp_path)).collect()
+    assert sum(u.name == "scan.PDF" for u in uploads) == 55
+    assert sum(u.name != "scan.PDF" and u.content == b"" for u in uploads) == 35
+    assert sum((u.content or b"").endswith(b"\xff\xfe") for u in uploads) == 78
+    names = ("Notes.TXT", "read.me.md", "data.csv", "plain")
+    rows = texts.QUERIES["src_files_text"](spark, str(tmp_path)).collect()
+    assert sorted((int(r.id), r.name, r.ext, r.text) for r in rows) == [
+        (i, names[i % 4], names[i % 4].lower().split(".")[-1], t) for i, t in docs.items()]
+
+
 def test_files_from_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.TXT").write_bytes(b"one")
